@@ -253,28 +253,41 @@ def training_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def epoch_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_steps(spark, sf_dir).groupBy("run_id", "epoch").agg(F.avg("loss").alias("val_loss"))
+    return training_steps(spark, sf_dir).groupBy("run_id", "epoch").agg(F.round(F.avg("loss"), 6).alias("val_loss"))
 
 
 # ---- scorer for the plug point ----------------------------------------------------------
 
 
-def echo_scorer():
-    """Scores that are a plain function of the token id and position; refuses id 300 and above in first place."""
-
-    def score(batch):
-        results = []
-        for ids in batch:
-            if ids[0] >= 300:
-                raise ValueError(f"refused token {ids[0]}")
-            results.append(
-                [
-                    None
-                    if pos == 0
-                    else {token: -0.5 - pos % 3, token + 1: -1.0, token + 2: -0.25 * (token % 8) - 0.125}
-                    for pos, token in enumerate(ids)
-                ]
-            )
-        return results
-
-    return score
+def echo_scorer(longest: int | None = None):
+    """A scorer whose scores are plain functions of token id and position; refuses long sequences."""
+
+    def make():
+        def score_one(ids):
+            if longest is not None and len(ids) > longest:
+                raise ValueError(f"{len(ids)} tokens")
+            return [
+                {token: -0.5 - pos % 3, token + 1: -1.0, token + 2: -0.25 * (token % 8)} if pos else None
+                for pos, token in enumerate(ids)
+            ]
+
+        return lambda batch: [score_one(ids) for ids in batch]
+
+    return make
+
+
+def word_encoder():
+    """A tokenizer whose tokens reach over the edges of parts: runs of white space, runs of the rest."""
+
+    def make():
+        import re
+
+        pattern = re.compile(r"[^ \t\n]+|[ \t\n]+")
+
+        def encode_all(texts):
+            found = [list(pattern.finditer(text)) for text in texts]
+            return [([len(m.group()) for m in ms], [m.span() for m in ms]) for ms in found]
+
+        return encode_all
+
+    return make

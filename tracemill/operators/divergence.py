@@ -8,7 +8,7 @@ all logits in ``logits`` instead. The k scores of a position stay in arrays thro
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +30,20 @@ def student_log_softmax(student: DataFrame, temperature: float = 1.0) -> DataFra
     )
 
 
+def _gather(teacher: DataFrame, scores: DataFrame, look_up: Callable[[Column], Column]) -> DataFrame:
+    """Join student rows (_z, _lse) by position and read _z at each teacher id."""
+    joined = teacher.join(scores, ["trajectory_id", "pos"], "left")
+    # _z is a column of the join's output here, so the lambda reads it without building it again.
+    z = F.transform("top_ids", look_up)
+    logp = F.zip_with(z, F.array_repeat(F.col("_lse"), F.size("top_ids")), lambda z, lse: z - lse)
+    missing = F.size(F.filter("student_logp", lambda x: x.isNull()))
+    return (
+        joined.withColumn("student_logp", logp)
+        .withColumn("n_missing", F.coalesce(missing, F.lit(0)))
+        .drop("_z", "_lse")
+    )
+
+
 def gather_student(teacher: DataFrame, student: DataFrame, *, shift: int = 0) -> DataFrame:
     """Add ``student_logp``, the student's ln q at each teacher id, and ``n_missing``.
 
@@ -37,37 +51,21 @@ def gather_student(teacher: DataFrame, student: DataFrame, *, shift: int = 0) ->
     list gives NULL and is counted, as is every id of a position without a student row. Ids
     listed twice for one position are an error.
     """
-    # Full vocabularies are read by position, listed ids through a map.
-    by_id = F.map_from_arrays("ids", "z")
     scores = student.select(
-        "trajectory_id", (F.col("pos") + shift).cast("int").alias("pos"), by_id.alias("_z"), F.col("lse").alias("_lse")
+        "trajectory_id",
+        (F.col("pos") + shift).cast("int").alias("pos"),
+        F.map_from_arrays("ids", "z").alias("_z"),
+        F.col("lse").alias("_lse"),
     )
-    joined = teacher.join(scores, ["trajectory_id", "pos"], "left")
-    # _z is read twice per row (here and in n_missing), so the map is built before the join only.
-    looked_up = F.transform("top_ids", lambda i: F.try_element_at(F.col("_z"), i))
-    shifted = F.zip_with(looked_up, F.array_repeat(F.col("_lse"), F.size("top_ids")), lambda z, lse: z - lse)
-    with_logp = joined.withColumn("student_logp", F.when(F.col("top_ids").isNotNull(), shifted))
-    missing = F.size(F.filter("student_logp", lambda x: x.isNull()))
-    return with_logp.withColumn(
-        "n_missing", F.when(F.col("top_ids").isNotNull(), missing).otherwise(0)
-    ).drop("_z", "_lse")
+    return _gather(teacher, scores, lambda i: F.try_element_at(F.col("_z"), i))
 
 
 def gather_dense(teacher: DataFrame, student: DataFrame, temperature: float = 1.0) -> DataFrame:
     """The same for dense student logits, read by array index."""
-    dense = student.select(
-        "trajectory_id",
-        "pos",
-        scaled(F.col("logits"), temperature).alias("_z"),
+    scores = student.select(
+        "trajectory_id", "pos", scaled(F.col("logits"), temperature).alias("_z")
     ).withColumn("_lse", log_sum_exp(F.col("_z")))
-    joined = teacher.join(dense, ["trajectory_id", "pos"], "left")
-    looked_up = F.transform("top_ids", lambda i: F.get(F.col("_z"), i))
-    shifted = F.zip_with(looked_up, F.array_repeat(F.col("_lse"), F.size("top_ids")), lambda z, lse: z - lse)
-    with_logp = joined.withColumn("student_logp", F.when(F.col("top_ids").isNotNull(), shifted))
-    missing = F.size(F.filter("student_logp", lambda x: x.isNull()))
-    return with_logp.withColumn(
-        "n_missing", F.when(F.col("top_ids").isNotNull(), missing).otherwise(0)
-    ).drop("_z", "_lse")
+    return _gather(teacher, scores, lambda i: F.get(F.col("_z"), i))
 
 
 def position_kl(gathered: DataFrame, temperature: float = 1.0) -> DataFrame:
@@ -89,58 +87,59 @@ def position_kl(gathered: DataFrame, temperature: float = 1.0) -> DataFrame:
     ).drop("_u")
 
 
-def _masked(name: str, mask: Column) -> list[Column]:
+def _sums() -> list[Column]:
+    # A position without scores counts as masked out.
+    weight = F.when(F.col("kl").isNotNull(), F.col("loss_mask")).otherwise(0)
     return [
-        F.sum(F.coalesce(F.col("kl"), F.lit(0.0)) * mask).alias(f"{name}_num"),
-        F.sum(mask).alias(f"{name}_den"),
+        F.sum(F.coalesce(F.col("kl"), F.lit(0.0)) * weight).alias("kl_sum"),
+        F.sum(weight).alias("n_masked"),
     ]
 
 
-def masked_mean(positions: DataFrame, keys: Sequence[str], name: str = "loss", mask: str = "loss_mask") -> DataFrame:
+def _mean(total: Column, count: Column) -> Column:
+    return (total / (count + F.lit(EPSILON))).alias("loss")
+
+
+def masked_mean(positions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Sum of kl over masked positions divided by their number + 1e-8, per key."""
-    weight = F.when(F.col("kl").isNotNull(), F.col(mask)).otherwise(0)
-    sums = positions.groupBy(*keys).agg(*_masked("kl", weight))
-    return sums.select(
-        *keys,
-        (F.col("kl_num") / (F.col("kl_den") + F.lit(EPSILON))).alias(name),
-        F.col("kl_den").alias("n_masked"),
-    )
+    return positions.groupBy(*keys).agg(*_sums()).select(*keys, _mean(F.col("kl_sum"), F.col("n_masked")), "n_masked")
 
 
 def chunk_sums(positions: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Numerator and denominator per trajectory and slice of ``chunk`` positions."""
-    weight = F.when(F.col("kl").isNotNull(), F.col("loss_mask")).otherwise(0)
-    return positions.groupBy("trajectory_id", F.floor(F.col("pos") / chunk).cast("int").alias("chunk")).agg(
-        *_masked("kl", weight)
-    )
+    """kl_sum and n_masked per trajectory and slice of ``chunk`` positions."""
+    slice_number = F.floor(F.col("pos") / chunk).cast("int").alias("chunk")
+    return positions.groupBy("trajectory_id", slice_number).agg(*_sums())
 
 
-def chunked_mean(positions: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Masked mean per trajectory, rolled up from its slices."""
-    return (
-        chunk_sums(positions, chunk)
-        .groupBy("trajectory_id")
-        .agg(F.sum("kl_num").alias("num"), F.sum("kl_den").alias("den"), F.count("*").alias("n_chunks"))
-        .select("trajectory_id", (F.col("num") / (F.col("den") + F.lit(EPSILON))).alias("loss"), "n_chunks")
+def sample_sums(positions: DataFrame) -> DataFrame:
+    """kl_sum and n_masked per trajectory; batches are formed from these, not from positions."""
+    return positions.groupBy("trajectory_id").agg(*_sums())
+
+
+def roll_up_chunks(chunks: DataFrame) -> DataFrame:
+    """Slices to trajectories."""
+    return chunks.groupBy("trajectory_id").agg(
+        F.sum("kl_sum").alias("kl_sum"), F.sum("n_masked").alias("n_masked"), F.count("*").alias("n_chunks")
     )
 
 
-def sample_loss(positions: DataFrame) -> DataFrame:
+def sample_loss(sums: DataFrame) -> DataFrame:
     """Loss of each trajectory on its own."""
-    return masked_mean(positions, ["trajectory_id"])
+    return sums.withColumn("loss", _mean(F.col("kl_sum"), F.col("n_masked"))).drop("kl_sum")
 
 
-def batch_loss(positions: DataFrame, keys: Sequence[str] = ("batch_id",)) -> DataFrame:
+def batch_loss(sums: DataFrame, keys: Sequence[str] = ("batch_id",)) -> DataFrame:
     """Loss of each batch over all its masked positions: long trajectories weigh more."""
-    return masked_mean(positions, list(keys))
+    return sums.groupBy(*keys).agg(
+        _mean(F.sum("kl_sum"), F.sum("n_masked")), F.sum("n_masked").alias("n_masked")
+    )
 
 
 def batch_mean_of_samples(
-    positions: DataFrame, keys: Sequence[str] = ("batch_id",), accumulation_steps: int = 1
+    sums: DataFrame, keys: Sequence[str] = ("batch_id",), accumulation_steps: int = 1
 ) -> DataFrame:
     """Loss of each batch as the plain mean over its trajectories, divided by the accumulation steps."""
-    per_sample = masked_mean(positions, [*keys, "trajectory_id"])
-    return per_sample.groupBy(*keys).agg(
+    return sample_loss(sums).groupBy(*keys).agg(
         (F.avg("loss") / F.lit(accumulation_steps)).alias("loss"), F.count("*").alias("n_samples")
     )
 
@@ -153,7 +152,7 @@ def dense_teacher_positions(teacher: DataFrame, k: int = 128) -> DataFrame:
 def dense_loss(teacher: DataFrame, student: DataFrame, k: int = 128, temperature: float = 1.0) -> DataFrame:
     """Loss per trajectory when the teacher's logits are dense too."""
     top = dense_teacher_positions(teacher, k)
-    return sample_loss(position_kl(gather_dense(top, student, temperature), temperature))
+    return sample_loss(sample_sums(position_kl(gather_dense(top, student, temperature), temperature)))
 
 
 def chosen_mask(loss_mask: Column, attention: Column) -> Column:

@@ -88,7 +88,7 @@ def score_with(samples: DataFrame, make_scorer: Callable[[], Scorer], batch_size
                     "pos": range(start, start + len(chunk)),
                     "token_id": row.input_ids[start : start + len(chunk)],
                     "loss_mask": row.loss_mask[start : start + len(chunk)],
-                    "scores": [None if m is None else list(m.items()) for m in chunk],
+                    "scores": [None if m is None else dict(m) for m in chunk],
                     "status": "ok",
                     "error": None,
                 }

@@ -149,15 +149,6 @@ def boundary_token(starts: Column, boundary_char: Column) -> Column:
     return F.when(first > 0, first - 1).otherwise(F.size(starts)).cast("int")
 
 
-def boundary_from_tokens(tokens: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """Boundary token per trajectory from token rows with offsets."""
-    joined = tokens.join(boundaries.select("trajectory_id", "prompt_boundary_char"), "trajectory_id")
-    reached = F.col("tok_start") >= F.col("prompt_boundary_char")
-    return joined.groupBy("trajectory_id").agg(
-        F.coalesce(F.min(F.when(reached, F.col("pos"))), F.max("pos") + 1).alias("prompt_boundary")
-    )
-
-
 def valid_mask(positions: DataFrame) -> DataFrame:
     """Mark positions that have scores and take the others out of the loss."""
     valid = F.col("top_ids").isNotNull().cast("int")

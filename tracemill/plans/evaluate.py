@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.operators.batching import SEED, assign_batches, shuffled_index, split_train_val
-from tracemill.operators.divergence import batch_loss, gather_student, mean_of_batches, position_kl
+from tracemill.operators.divergence import batch_loss, gather_student, mean_of_batches, position_kl, sample_sums
 from tracemill.operators.tokens import truncate_positions
 
 
@@ -36,15 +36,5 @@ def evaluate(
         gather_student(truncate_positions(cache, max_tokens), student, shift=shift), temperature
     )
     # Summed per trajectory first, so that the join to batches sees one row per trajectory.
-    weight = F.when(F.col("kl").isNotNull(), F.col("loss_mask")).otherwise(0)
-    sums = positions.groupBy("trajectory_id").agg(
-        F.sum(F.col("kl") * weight).alias("kl"), F.sum(weight).alias("loss_mask")
-    )
-    return mean_of_batches(losses_of(sums.join(assignment, "trajectory_id")), ["split"])
-
-
-def losses_of(sums: DataFrame) -> DataFrame:
-    """Token-weighted batch losses from sums per trajectory."""
-    return sums.groupBy("split", "batch_id").agg(
-        (F.coalesce(F.sum("kl"), F.lit(0.0)) / (F.sum("loss_mask") + F.lit(1e-8))).alias("loss")
-    )
+    sums = sample_sums(positions).join(assignment, "trajectory_id")
+    return mean_of_batches(batch_loss(sums, ["split", "batch_id"]), ["split"])
