@@ -308,12 +308,11 @@ def m1_flatten_tool_calls(spark, sf_dir):
 
 @query
 def m2_normalise_arguments(spark, sf_dir):
-    calls = (
-        _nested_messages(spark, sf_dir)
-        .withColumn("functions", called_functions(F.col("tool_calls")))
-        .withColumn("arguments", normalise_arguments(F.transform("functions", lambda f: f["arguments"])))
+    raw = F.transform(called_functions(F.col("tool_calls")), lambda function: function["arguments"])
+    calls = _nested_messages(spark, sf_dir).withColumn("arguments", normalise_arguments(F.array(raw)))
+    return calls.select(
+        "trajectory_id", "msg_idx", F.posexplode(F.get("arguments", F.lit(0))).alias("call_idx", "arguments")
     )
-    return calls.select("trajectory_id", "msg_idx", F.posexplode("arguments").alias("call_idx", "arguments"))
 
 
 @query

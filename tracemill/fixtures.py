@@ -19,7 +19,10 @@ from tracemill.session import materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One that is read by fewer tasks than there are cores is spread out first."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 # ---- conversations: one row per message -------------------------------------------------
@@ -149,7 +152,7 @@ def count_scores(spark: SparkSession, sf_dir: str, k: int = 8) -> tuple[DataFram
     add-one smoothed frequency of each token, already normalised (lse = 0). Position 0 has no
     scores.
     """
-    parts = materialise(gold_parts(spark, sf_dir), "gold-parts")
+    parts = materialise(locate_parts(gold_messages(spark, sf_dir), previous=True), "gold-parts")
     tokens = explode_tokens(parts, offsets=False)
     dictionary = token_dictionary(tokens)
     n_tokens, n_distinct = dictionary.agg(F.sum("n"), F.count("*")).first()

@@ -52,9 +52,12 @@ def token_list(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def normalise_arguments(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Re-dump each JSON text; a text that is not JSON becomes a JSON string."""
+    """Re-dump each JSON text, given as one list of texts per message of a trajectory.
+
+    A text that is not JSON becomes a JSON string, a missing one an empty object.
+    """
 
     def redump(text: str | None) -> str:
         try:
@@ -62,8 +65,11 @@ def normalise_arguments(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         except json.JSONDecodeError:
             return json.dumps(text)
 
+    def per_message(texts):
+        return None if texts is None else [redump(text) for text in texts]
+
     for batch in batches:
-        yield batch.map(lambda texts: None if texts is None else [redump(t) for t in texts])
+        yield batch.map(lambda messages: None if messages is None else [per_message(m) for m in messages])
 
 
 def called_functions(tool_calls: Column) -> Column:

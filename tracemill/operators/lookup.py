@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_HEAD_ROWS = 20_000
+_HEAD_ROWS = 200_000
 _HEAD_KEY_CHARS = 128
 
 

@@ -6,15 +6,15 @@ trajectory) are rendered by array functions inside the row, with no shuffle. Bot
 parts table:
 
     trajectory_id, msg_idx, role, part, char_start, char_end, n_chars,
-    tok_start, n_tok, n_tokens, prev_token
+    tok_start, n_tok, n_tokens
 
 where n_chars and n_tokens are totals of the trajectory and the tok_* columns are positions under
-the default tokenizer.
+the default tokenizer. On request there is also prev_token, the last token of the part before.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.arrays import running_sum
@@ -41,7 +41,6 @@ PART_COLUMNS = [
     "tok_start",
     "n_tok",
     "n_tokens",
-    "prev_token",
 ]
 
 
@@ -52,31 +51,35 @@ def explode_messages(trajectories: DataFrame, *keep: str) -> DataFrame:
     ).select("trajectory_id", *keep, "msg_idx", "_message.*")
 
 
+def _with_calls(role: Column, content: Column, tool_calls: Column, arguments: Column) -> Column:
+    text = tool_call_text(called_functions(tool_calls), arguments)
+    calling = (role == "assistant") & (F.size(tool_calls) > 0)
+    return F.when(calling, F.concat(F.coalesce(content, F.lit("")), text)).otherwise(content)
+
+
+def _with_response(role: Column, content: Column, name: Column) -> Column:
+    return F.when(role == "tool", tool_response_text(name, content)).otherwise(content)
+
+
+def _known_role(role: Column, tool_role_supported: bool) -> Column:
+    return role if tool_role_supported else F.when(role == "tool", F.lit("user")).otherwise(role)
+
+
 def flatten_tool_calls(messages: DataFrame) -> DataFrame:
     """Append the calls of assistant messages to their content, with nothing in between."""
-    calls = F.when(F.col("role") == "assistant", called_functions(F.col("tool_calls")))
-    listed = messages.withColumn("_functions", calls).withColumn(
-        "_arguments",
-        normalise_arguments(F.transform("_functions", lambda function: function["arguments"])),
-    )
-    text = tool_call_text(F.col("_functions"), F.col("_arguments"))
-    content = F.when(
-        F.col("_functions").isNotNull() & (F.size("tool_calls") > 0),
-        F.concat(F.coalesce("content", F.lit("")), text),
-    ).otherwise(F.col("content"))
-    return listed.withColumn("content", content).drop("_functions", "_arguments")
+    raw = F.transform(called_functions(F.col("tool_calls")), lambda function: function["arguments"])
+    dumped = messages.withColumn("_arguments", normalise_arguments(F.array(raw)))
+    content = _with_calls(F.col("role"), F.col("content"), F.col("tool_calls"), F.get("_arguments", F.lit(0)))
+    return dumped.withColumn("content", content).drop("_arguments")
 
 
 def wrap_tool_responses(messages: DataFrame) -> DataFrame:
-    wrapped = tool_response_text(F.col("name"), F.col("content"))
-    return messages.withColumn("content", F.when(F.col("role") == "tool", wrapped).otherwise(F.col("content")))
+    return messages.withColumn("content", _with_response(F.col("role"), F.col("content"), F.col("name")))
 
 
 def remap_tool_role(messages: DataFrame, tool_role_supported: bool = False) -> DataFrame:
     """Give tool messages the role ``user`` unless the template knows the tool role."""
-    if tool_role_supported:
-        return messages
-    return messages.withColumn("role", F.when(F.col("role") == "tool", F.lit("user")).otherwise(F.col("role")))
+    return messages.withColumn("role", _known_role(F.col("role"), tool_role_supported))
 
 
 def normalise_messages(messages: DataFrame, tool_role_supported: bool = False) -> DataFrame:
@@ -84,35 +87,58 @@ def normalise_messages(messages: DataFrame, tool_role_supported: bool = False) -
     return remap_tool_role(wrap_tool_responses(flatten_tool_calls(messages)), tool_role_supported)
 
 
-def locate_parts(messages: DataFrame, template: Template = PLAIN, *, trailing: bool = False) -> DataFrame:
+def normalise_trajectories(trajectories: DataFrame, tool_role_supported: bool = False) -> DataFrame:
+    """The same for nested rows, inside the row."""
+    raw = F.transform(
+        F.col("trajectory"),
+        lambda m: F.transform(called_functions(m["tool_calls"]), lambda function: function["arguments"]),
+    )
+    dumped = trajectories.withColumn("_arguments", normalise_arguments(raw))
+
+    def rewrite(m: Column, arguments: Column) -> Column:
+        content = _with_calls(m["role"], m["content"], m["tool_calls"], arguments)
+        return F.struct(
+            _known_role(m["role"], tool_role_supported).alias("role"),
+            _with_response(m["role"], content, m["name"]).alias("content"),
+        )
+
+    return dumped.withColumn("trajectory", F.zip_with("trajectory", "_arguments", rewrite)).drop("_arguments")
+
+
+def locate_parts(
+    messages: DataFrame, template: Template = PLAIN, *, trailing: bool = False, previous: bool = False
+) -> DataFrame:
     """Parts table of message rows; messages without content vanish.
 
-    ``trailing`` counts a separator after the last part into ``n_chars``.
+    ``trailing`` counts a separator after the last part into ``n_chars``; ``previous`` adds
+    prev_token.
     """
     template.check_token_safe()
-    separator_chars = len(template.separator)
+    gap_chars, gap_tokens = len(template.separator), template.separator_tokens
     role = F.coalesce("role", F.lit(""))
-    parts = drop_empty_messages(messages).select(
-        "trajectory_id", "msg_idx", role.alias("role"), template.part(role, F.col("content")).alias("part")
+    parts = (
+        drop_empty_messages(messages)
+        .select("trajectory_id", "msg_idx", role.alias("role"), template.part(role, F.col("content")).alias("part"))
+        .withColumn("n_tok", F.size(token_list(F.col("part"))).cast("bigint"))
     )
+    before = {
+        "char_start": ("sum", F.length("part") + gap_chars),
+        "tok_start": ("sum", F.col("n_tok") + gap_tokens),
+    }
+    if previous:
+        before["prev_token"] = ("last", F.element_at(token_list(F.col("part")), -1))
     placed = running(
         parts,
         ["trajectory_id"],
         "msg_idx",
-        before={
-            "char_start": ("sum", F.length("part") + separator_chars),
-            "tok_start": ("sum", F.size(token_list(F.col("part"))) + template.separator_tokens),
-            "prev_token": ("last", F.element_at(token_list(F.col("part")), -1)),
-        },
+        before=before,
         totals={"n_chars": "char_start", "n_tokens": "tok_start"},
     )
-    extra = 0 if trailing else separator_chars
     return (
         placed.withColumn("char_end", F.col("char_start") + F.length("part"))
-        .withColumn("n_chars", F.col("n_chars") - extra)
-        .withColumn("n_tok", F.size(token_list(F.col("part"))).cast("bigint"))
-        .withColumn("n_tokens", F.col("n_tokens") - template.separator_tokens)
-        .select(*PART_COLUMNS)
+        .withColumn("n_chars", F.col("n_chars") - (0 if trailing else gap_chars))
+        .withColumn("n_tokens", F.col("n_tokens") - gap_tokens)
+        .select(*PART_COLUMNS, *(["prev_token"] if previous else []))
     )
 
 
@@ -178,25 +204,25 @@ def render_trajectories(trajectories: DataFrame, template: Template = PLAIN, *,
     )
 
 
-def explode_parts(rendered: DataFrame, template: Template = PLAIN) -> DataFrame:
+def explode_parts(rendered: DataFrame, template: Template = PLAIN, *, previous: bool = False) -> DataFrame:
     """Parts table of rendered nested rows, with no shuffle."""
     template.check_token_safe()
     gap = template.separator_tokens
-    counted = rendered.withColumn(
-        "_counts", F.transform("parts", lambda p: F.size(token_list(p["part"])) + F.lit(gap))
-    ).withColumn("_starts", running_sum(F.col("_counts")))
-    last_tokens = F.transform("parts", lambda p: F.element_at(token_list(p["part"]), -1))
-    zipped = F.arrays_zip(
+    listed = rendered.withColumn("_lists", F.transform("parts", lambda p: token_list(p["part"])))
+    counted = listed.withColumn("_counts", F.transform("_lists", lambda tokens: F.size(tokens) + F.lit(gap)))
+    columns = [
         F.col("parts").alias("p"),
-        F.col("_starts").alias("tok_start"),
+        running_sum(F.col("_counts")).alias("tok_start"),
         F.col("_counts").alias("n"),
-        F.concat(F.array(F.lit(None).cast("string")), last_tokens).alias("prev_token"),
-    )
+    ]
+    if previous:
+        last_tokens = F.transform("_lists", lambda tokens: F.element_at(tokens, -1))
+        columns.append(F.concat(F.array(F.lit(None).cast("string")), last_tokens).alias("prev_token"))
     exploded = counted.select(
         "trajectory_id",
         F.length("text").cast("bigint").alias("n_chars"),
         (F.aggregate("_counts", F.lit(0).cast("bigint"), lambda a, x: a + x) - gap).alias("n_tokens"),
-        F.explode(zipped).alias("z"),
+        F.explode(F.arrays_zip(*columns)).alias("z"),
     ).filter("z.p is not null")
     return exploded.select(
         "trajectory_id",
@@ -209,7 +235,7 @@ def explode_parts(rendered: DataFrame, template: Template = PLAIN) -> DataFrame:
         "z.tok_start",
         (F.col("z.n") - gap).cast("bigint").alias("n_tok"),
         "n_tokens",
-        "z.prev_token",
+        *(["z.prev_token"] if previous else []),
     )
 
 

@@ -22,59 +22,40 @@ def explode_tokens(
 ) -> DataFrame:
     """One row per token of a parts table under the default tokenizer; no shuffle.
 
-    Columns: trajectory_id, pos, token, prev_token, loss_mask, n_tokens and, if asked for,
-    tok_start and tok_end. A part brings its own tokens and those of the separator before it.
-    The mask needs no overlap test here, since no token reaches over a part's edge: it is 1 on
-    the tokens of assistant parts. ``max_tokens`` truncates each trajectory.
+    Columns: trajectory_id, pos, token, loss_mask; tok_start and tok_end if ``offsets``;
+    prev_token if ``parts`` has it. A part brings its own tokens and those of the separator
+    before it. The mask needs no overlap test here, since no token reaches over a part's edge:
+    it is 1 on the tokens of assistant parts. ``max_tokens`` truncates each trajectory.
     """
-    gap = template.separator_tokens
+    previous = "prev_token" in parts.columns
     follows = F.col("char_start") > 0
+    gap = F.when(follows, template.separator_tokens).otherwise(0)
     if max_tokens is not None:
-        parts = parts.filter(F.col("tok_start") - F.when(follows, gap).otherwise(0) < max_tokens)
+        parts = parts.filter(F.col("tok_start") - gap < max_tokens)
     segment = F.concat(F.when(follows, F.lit(template.separator)).otherwise(F.lit("")), F.col("part"))
-    listed = (
-        parts.withColumn("_gap", F.when(follows, gap).otherwise(0))
-        .withColumn("_gap_chars", F.when(follows, len(template.separator)).otherwise(0))
-        .withColumn("_tokens", token_list(segment))
-        .withColumn(
-            "_prev",
-            F.concat(F.array("prev_token"), F.slice("_tokens", F.lit(1), F.size("_tokens") - 1)),
-        )
-    )
-    columns = [F.col("_tokens").alias("token"), F.col("_prev").alias("prev_token")]
+    listed = parts.withColumn("_gap", gap).withColumn("_tokens", token_list(segment))
+    columns = [F.col("_tokens").alias("token")]
+    added = []
+    if previous:
+        shifted = F.concat(F.array("prev_token"), F.slice("_tokens", F.lit(1), F.size("_tokens") - 1))
+        columns.append(shifted.alias("prev"))
+        added.append(F.col("_t.prev").alias("prev_token"))
     if offsets:
-        listed = listed.withColumn("_lengths", F.transform("_tokens", lambda t: F.length(t))).withColumn(
-            "_starts", running_sum(F.col("_lengths"))
-        )
-        columns.append(F.col("_starts").alias("start"))
+        listed = listed.withColumn("_lengths", F.transform("_tokens", lambda t: F.length(t)))
+        columns.append(running_sum(F.col("_lengths")).alias("start"))
+        gap_chars = F.when(follows, len(template.separator)).otherwise(0)
+        start = F.col("char_start") - gap_chars + F.col("_t.start")
+        added += [start.alias("tok_start"), (start + F.length("_t.token")).alias("tok_end")]
+    item = F.arrays_zip(*columns) if len(columns) > 1 else F.transform(columns[0], lambda t: F.struct(t.alias("token")))
     exploded = listed.select(
-        "trajectory_id",
-        "role",
-        "char_start",
-        "tok_start",
-        "n_tokens",
-        "_gap",
-        "_gap_chars",
-        F.posexplode(F.arrays_zip(*columns)).alias("_i", "_t"),
+        "trajectory_id", "role", "char_start", F.col("tok_start").alias("_first"), "_gap", F.posexplode(item).alias("_i", "_t")
     )
-    own = F.col("_i") >= F.col("_gap")
     result = exploded.select(
         "trajectory_id",
-        (F.col("tok_start") - F.col("_gap") + F.col("_i")).cast("int").alias("pos"),
+        (F.col("_first") - F.col("_gap") + F.col("_i")).cast("int").alias("pos"),
         F.col("_t.token").alias("token"),
-        F.col("_t.prev_token").alias("prev_token"),
-        (own & (F.col("role") == "assistant")).cast("int").alias("loss_mask"),
-        F.col("n_tokens"),
-        *(
-            [
-                (F.col("char_start") - F.col("_gap_chars") + F.col("_t.start")).alias("tok_start"),
-                (
-                    F.col("char_start") - F.col("_gap_chars") + F.col("_t.start") + F.length("_t.token")
-                ).alias("tok_end"),
-            ]
-            if offsets
-            else []
-        ),
+        ((F.col("_i") >= F.col("_gap")) & (F.col("role") == "assistant")).cast("int").alias("loss_mask"),
+        *added,
     )
     return result if max_tokens is None else result.filter(F.col("pos") < max_tokens)
 
@@ -191,19 +172,24 @@ def prompt_window(
 def assemble_samples(tokens: DataFrame, max_tokens: int = 8192) -> DataFrame:
     """Token rows (trajectory_id, pos, token_id, loss_mask) to one row of arrays per trajectory.
 
-    Truncation comes first, so that no group holds more than ``max_tokens`` rows.
+    Truncation comes first, so that no group holds more than ``max_tokens`` rows. Position, id
+    and mask travel as one BIGINT (31 + 32 + 1 bits) that sorts by position.
     """
     if max_tokens < 1:
         raise ValueError("max_tokens must be positive")
-    triples = F.array_sort(F.collect_list(F.struct("pos", "token_id", "loss_mask")))
+    packed = (
+        F.shiftleft(F.col("pos").cast("bigint"), 32)
+        + F.shiftleft(F.col("token_id").cast("bigint"), 1)
+        + F.col("loss_mask")
+    )
     return (
         truncate_positions(tokens, max_tokens)
         .groupBy("trajectory_id")
-        .agg(triples.alias("_triples"))
+        .agg(F.sort_array(F.collect_list(packed)).alias("_packed"))
         .select(
             "trajectory_id",
-            F.col("_triples.token_id").alias("input_ids"),
-            F.col("_triples.loss_mask").alias("loss_mask"),
+            F.transform("_packed", lambda p: F.shiftright(p.bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int")).alias("input_ids"),
+            F.transform("_packed", lambda p: p.bitwiseAND(F.lit(1)).cast("int")).alias("loss_mask"),
         )
         .withColumn("attention_mask", attention_mask(F.col("input_ids")))
     )

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.text import PLAIN, Template
-from tracemill.operators.filters import first_n, gold, min_chars, min_tokens, with_messages
+from tracemill.operators.filters import first_n, gold, min_tokens, with_messages
 from tracemill.operators.profile import message_profile
-from tracemill.operators.render import explode_messages, explode_parts, locate_parts, normalise_messages, render_trajectories
+from tracemill.operators.render import explode_parts, normalise_trajectories, render_trajectories
 from tracemill.operators.tokens import assemble_samples, encode, explode_tokens, token_dictionary
 from tracemill.session import materialise
 from tracemill.sources.trajectories import load_gold, write_gold
@@ -21,16 +21,6 @@ def prepare_gold(trajectories: DataFrame, path: str, max_samples: int | None = N
     return message_profile(stored, F.size("trajectory"))
 
 
-def render_nested(
-    trajectories: DataFrame, template: Template = PLAIN, minimum_chars: int = 100
-) -> DataFrame:
-    """Nested rows to a parts table, short texts dropped; no shuffle."""
-    return min_chars(
-        explode_parts(render_trajectories(with_messages(trajectories), template), template),
-        minimum=minimum_chars,
-    )
-
-
 def tokenize_trajectories(
     trajectories: DataFrame,
     *,
@@ -45,8 +35,8 @@ def tokenize_trajectories(
     the dictionary of the tokens kept.
     """
     kept = with_messages(gold(trajectories))
-    messages = normalise_messages(explode_messages(kept), tool_role_supported)
-    parts = min_tokens(locate_parts(messages, template), minimum=minimum_tokens, max_tokens=max_tokens)
+    rendered = render_trajectories(normalise_trajectories(kept, tool_role_supported), template)
+    parts = min_tokens(explode_parts(rendered, template), minimum=minimum_tokens, max_tokens=max_tokens)
     # Read by the dictionary and by the samples: written once instead of rendered twice.
     parts = materialise(parts, "parts")
     tokens = explode_tokens(parts, template, offsets=False, max_tokens=max_tokens)
