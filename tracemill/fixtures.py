@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from tracemill.operators.filters import gold
 from tracemill.operators.lookup import lookup
-from tracemill.operators.ordering import ordered_index
+from tracemill.operators.ordering import grouped_index
 from tracemill.operators.render import locate_parts
 from tracemill.operators.tokens import explode_tokens, token_dictionary
 from tracemill.session import materialise
@@ -239,19 +239,13 @@ def archives(spark: SparkSession, sf_dir: str, k: int = 4) -> DataFrame:
 
 
 def training_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as steps: one run per user, 10 steps per epoch, value as loss.
-
-    Steps are numbered over the whole table in (run, time) order; the first number of each run is
-    then taken off, so a run with very many events is no single window.
-    """
+    """Events as steps: one run per user, 10 steps per epoch, value as loss."""
     events = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("run_id"), "ts", "event_id", F.col("value").alias("loss")
     )
-    placed = ordered_index(events, ["run_id", "ts", "event_id"], "_idx")
-    starts = placed.groupBy("run_id").agg(F.min("_idx").alias("_start"))
-    step = F.col("_idx") - F.col("_start")
-    return placed.join(starts, "run_id").select(
-        "run_id", F.floor(step / 10).alias("epoch"), (step % 10).alias("step"), "loss"
+    numbered = grouped_index(events, "run_id", ["ts", "event_id"], "_step")
+    return numbered.select(
+        "run_id", F.floor(F.col("_step") / 10).alias("epoch"), (F.col("_step") % 10).alias("step"), "loss"
     )
 
 

@@ -38,7 +38,8 @@ class Template:
 
     def check_token_safe(self) -> None:
         """Tokens may be cut part by part only if no token can reach over a part's edge."""
-        if _WORD.match(self.prefix[:1] or "a") or _WORD.match(self.separator[:1]):
+        opening = self.prefix.split("{role}", 1)[0]
+        if not opening or _WORD.match(opening) or _WORD.match(self.separator):
             raise ValueError(
                 "the default tokenizer needs a template whose prefix (and separator, if any) "
                 "starts with a character outside [A-Za-z0-9_]"

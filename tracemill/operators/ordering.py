@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +44,9 @@ def running(
         source = F.col(f"_in_{name}")
         merged = F.max_by(source, F.col(order)) if kind == "last" else _MERGE[kind](source)
         summaries.append(merged.alias(f"_sum_{name}"))
-    per_chunk = chunked.groupBy(*group).agg(*summaries)
+    # Spark would accept a partitioning by the key alone here and below, left by a join before;
+    # the repartitions make it split the key.
+    per_chunk = chunked.repartition(*group).groupBy(*group).agg(*summaries)
 
     over_key = Window.partitionBy(*keys)
     earlier_chunks = over_key.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -60,7 +63,6 @@ def running(
         carried.append(F.sum(f"_sum_{source}").over(over_key).alias(name))
     offsets = per_chunk.select(*group, *carried)
 
-    # Without its own repartition Spark would accept a partitioning by the key alone here.
     in_chunk = Window.partitionBy(*group).orderBy(order)
     earlier_rows = in_chunk.rowsBetween(Window.unboundedPreceding, -1)
     local = chunked.repartition(*group)
@@ -103,15 +105,40 @@ def ordered_index(df: DataFrame, order: Sequence[Column | str], name: str = "idx
         .withColumn("_part", F.shiftright("_place", 33))
         .withColumn("_row", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
     )
-    # One row per partition of the write above, so both the window and the broadcast are small.
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_base"))
+    # One row per partition of the write above: small enough for the driver, and counted once.
+    sizes = sorted(placed.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    starts = [0, *accumulate(size.n for size in sizes)]
+    offsets = df.sparkSession.createDataFrame(
+        [(size._part, start) for size, start in zip(sizes, starts)], "_part bigint, _base bigint"
+    )
     return placed.join(F.broadcast(offsets), "_part").select(
         *df.columns, (F.col("_base") + F.col("_row")).alias(name)
     )
 
 
+def grouped_index(
+    df: DataFrame, group: str, order: Sequence[str], name: str = "idx", chunk_rows: int = 1_000_000
+) -> DataFrame:
+    """Number the rows of each group 0, 1, 2 ... in the given order, which must leave no ties.
+
+    The rows are numbered over the whole table in (group, order) order and the first number of
+    the group is taken off. That number is joined per group and chunk of consecutive numbers, so
+    a group with very many rows is spread over many tasks.
+    """
+    placed = ordered_index(df, [group, *order], "_all").withColumn(
+        "_chunk", F.floor(F.col("_all") / chunk_rows)
+    )
+    spans = placed.groupBy(group).agg(F.min("_all").alias("_start"), F.max("_all").alias("_end"))
+    starts = spans.select(
+        group,
+        "_start",
+        F.explode(F.sequence(F.floor(F.col("_start") / chunk_rows), F.floor(F.col("_end") / chunk_rows))).alias("_chunk"),
+    )
+    return placed.join(starts, [group, "_chunk"]).select(
+        *df.columns, (F.col("_all") - F.col("_start")).alias(name)
+    )
+
+
 def hash_index(
     df: DataFrame, key: str, seed: str, *, name: str = "idx", total: str = "n_total"
 ) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# One mapping token id -> log-probability per position, None where there is none.
-Scorer = Callable[[list[list[int]]], list[list[Mapping[int, float] | None]]]
+# Per sequence: one mapping token id -> score per position (None where there is none), or a dense
+# array [positions, vocabulary].
+Scorer = Callable[[list[list[int]]], Sequence[Sequence[Mapping[int, float] | None] | np.ndarray]]
 
 _CHUNK = 1024
 SCORED_SCHEMA = (
@@ -68,15 +70,34 @@ def score_format(tag: Column) -> Column:
     return F.coalesce(tag, F.lit("logprobs"))
 
 
-def score_with(samples: DataFrame, make_scorer: Callable[[], Scorer], batch_size: int = 8) -> DataFrame:
+def score_with(
+    samples: DataFrame,
+    make_scorer: Callable[[], Scorer],
+    batch_size: int = 8,
+    *,
+    top_k: int = 128,
+    partitions: int | None = None,
+) -> DataFrame:
     """Score token sequences with a model supplied by the user.
 
     ``samples`` needs trajectory_id, input_ids, loss_mask and prompt_boundary. ``make_scorer``
-    runs once per task. Each call gets up to ``batch_size`` sequences; when a call fails, its
-    sequences are tried one by one. Result: one row per position with status ``ok``, or a single
-    row with status ``error`` and the message for a sequence that cannot be scored.
+    runs once per task; ``partitions`` sets the number of tasks. Each call gets up to
+    ``batch_size`` sequences; when a call fails, its sequences are tried one by one. Dense scores
+    are cut to their ``top_k`` before they leave the task. Result: one row per position with
+    status ``ok``, or a single row with status ``error`` and the message for a sequence that
+    cannot be scored.
     """
 
+    def best_of(scores: np.ndarray) -> list[dict[int, float]]:
+        k = min(top_k, scores.shape[-1])
+        kth = -np.partition(-scores, k - 1, axis=-1)[:, k - 1 : k]
+        result = []
+        for row, limit in zip(scores, kth):
+            ids = np.flatnonzero(row >= limit)
+            ids = ids[np.lexsort((ids, -row[ids]))][:k]
+            result.append(dict(zip(ids.tolist(), row[ids].astype(float).tolist())))
+        return result
+
     def good(row, maps) -> Iterator[pd.DataFrame]:
         for start in range(0, len(maps), _CHUNK):
             chunk = maps[start : start + _CHUNK]
@@ -126,11 +147,12 @@ def score_with(samples: DataFrame, make_scorer: Callable[[], Scorer], batch_size
                     except Exception as problem:
                         yield bad(row, problem)
                         continue
-                    yield from good(row, maps)
+                    yield from good(row, best_of(maps) if isinstance(maps, np.ndarray) else maps)
 
-    return samples.select("trajectory_id", "input_ids", "loss_mask", "prompt_boundary").mapInPandas(
-        run, SCORED_SCHEMA
-    )
+    columns = samples.select("trajectory_id", "input_ids", "loss_mask", "prompt_boundary")
+    if partitions:
+        columns = columns.repartition(partitions)
+    return columns.mapInPandas(run, SCORED_SCHEMA)
 
 
 def split_by_status(scored: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -43,13 +43,16 @@ def build_cache(
     run_id: str | None = None,
     batch_size: int = 8,
     top_k: int = 128,
+    score_format: str = "logprobs",
     minimum_chars: int = 100,
     max_tokens: int = 8192,
     template: Template = PLAIN,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Score every trajectory that is not in the cache yet and append it.
 
-    Returns the trajectories that could not be scored. Run again to resume.
+    Returns the trajectories that could not be scored. Run again to resume; call it on one slice
+    of the trajectories after another to save work in between.
     """
     samples = build_samples(
         not_cached(messages, path),
@@ -59,7 +62,7 @@ def build_cache(
         max_tokens=max_tokens,
     )
     # Scores are the costly step: written once, then split into cache rows and failures.
-    scored = materialise(score_with(samples, make_scorer, batch_size), "scored")
-    good, failed = split_by_status(scored)
-    write_cache(cache_positions(good, top_k), path, run_id)
+    scored = score_with(samples, make_scorer, batch_size, top_k=top_k, partitions=partitions)
+    good, failed = split_by_status(materialise(scored, "scored"))
+    write_cache(cache_positions(good, top_k, score_format), path, run_id)
     return failed
