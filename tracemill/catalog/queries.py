@@ -49,7 +49,7 @@ def _gold_samples(spark, sf_dir, max_tokens=8192):
     rows = tokens.explode_tokens(parts, offsets=False)
     samples = tokens.assemble_samples(tokens.encode(rows, tokens.token_dictionary(rows)), max_tokens)
     bounds = render.prompt_boundary(parts).select("trajectory_id", "prompt_boundary")
-    return samples.join(bounds, "trajectory_id")
+    return samples.join(bounds.hint("merge"), "trajectory_id")
 
 
 def _gold_dictionary(spark, sf_dir):

@@ -7,29 +7,31 @@ with ``array_repeat`` or as the start value of ``aggregate``. The one exception
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BLOCK = 256
+_BLOCK = 64
 
 
-def running_sum(values: Column) -> Column:
-    """Exclusive running sums of an integer array, as BIGINTs: [3, 1, 2] -> [0, 3, 4].
+def running_sum(values: Column, of: Callable[[Column], Column] = lambda value: value) -> Column:
+    """Exclusive running sums of ``of(value)``, as BIGINTs: [3, 1, 2] -> [0, 3, 4].
 
     Appending to an array copies it, so one pass would be quadratic in the array length. Sums
-    inside blocks of 256, then over the block totals, keep the copying linear in practice.
+    inside blocks of 64, then over the block totals, keep the copying linear in practice.
 
     ``values`` must be a plain column. It is used twice, which stops Catalyst from merging its
     definition into the lambda that slices it.
     """
     zero = F.array(F.lit(0).cast("bigint"))
-
-    def extend(sums: Column, value: Column) -> Column:
-        return F.array_append(sums, F.element_at(sums, -1) + value)
-
     blocks = F.transform(
         F.sequence(F.lit(1), F.size(values), F.lit(_BLOCK)),
-        lambda first: F.aggregate(F.slice(values, first, F.lit(_BLOCK)), zero, extend),
+        lambda first: F.aggregate(
+            F.slice(values, first, F.lit(_BLOCK)),
+            zero,
+            lambda sums, value: F.array_append(sums, F.element_at(sums, -1) + of(value)),
+        ),
     )
     # Each block ends with its total; fold the totals into the blocks one after another.
     shifted = F.aggregate(

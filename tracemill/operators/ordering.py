@@ -72,7 +72,9 @@ def running(
         local = local.withColumn(f"_loc_{name}", value)
     local = local.withColumn("_first", F.row_number().over(in_chunk) == 1)
 
-    joined = local.join(offsets, group)
+    # Both sides are partitioned by now and ``local`` is sorted, so a merge costs next to nothing;
+    # left alone, AQE may broadcast the wide side while it does not know the other one yet.
+    joined = local.join(offsets.hint("merge"), group)
     for name, (kind, _) in before.items():
         base, inner = F.col(f"_base_{name}"), F.col(f"_loc_{name}")
         if kind == "sum":

@@ -33,28 +33,44 @@ def explode_tokens(
     if max_tokens is not None:
         parts = parts.filter(F.col("tok_start") - gap < max_tokens)
     segment = F.concat(F.when(follows, F.lit(template.separator)).otherwise(F.lit("")), F.col("part"))
-    listed = parts.withColumn("_gap", gap).withColumn("_tokens", token_list(segment))
-    columns = [F.col("_tokens").alias("token")]
-    added = []
-    if previous:
-        shifted = F.concat(F.array("prev_token"), F.slice("_tokens", F.lit(1), F.size("_tokens") - 1))
-        columns.append(shifted.alias("prev"))
-        added.append(F.col("_t.prev").alias("prev_token"))
+    # All that can be is worked out per part, before rows multiply.
+    kept = {
+        "trajectory_id": F.col("trajectory_id"),
+        "_first": F.col("tok_start") - gap,
+        "_masked_from": F.when(F.col("role") == "assistant", gap),
+    }
+    if not offsets and not previous:
+        # Exploding a column would make Spark filter on it first, and so match the pattern again.
+        columns = [column.alias(name) for name, column in kept.items()]
+        exploded = parts.select(*columns, F.posexplode(token_list(segment)).alias("_i", "token"))
+    else:
+        kept["_first_char"] = F.col("char_start") - F.when(follows, len(template.separator)).otherwise(0)
+        kept["_tokens"] = token_list(segment)
+        if previous:
+            kept["prev_token"] = F.col("prev_token")
+        listed = parts.select(*(column.alias(name) for name, column in kept.items()))
+        columns = [F.col("_tokens").alias("token")]
+        if previous:
+            shifted = F.concat(F.array("prev_token"), F.slice("_tokens", F.lit(1), F.size("_tokens") - 1))
+            columns.append(shifted.alias("prev_token"))
+        if offsets:
+            columns.append(running_sum(F.col("_tokens"), F.length).alias("start"))
+        exploded = listed.select(
+            "trajectory_id",
+            "_first",
+            "_masked_from",
+            "_first_char",
+            F.posexplode(F.arrays_zip(*columns)).alias("_i", "_t"),
+        ).select("*", "_t.*")
+    added = ["prev_token"] if previous else []
     if offsets:
-        listed = listed.withColumn("_lengths", F.transform("_tokens", lambda t: F.length(t)))
-        columns.append(running_sum(F.col("_lengths")).alias("start"))
-        gap_chars = F.when(follows, len(template.separator)).otherwise(0)
-        start = F.col("char_start") - gap_chars + F.col("_t.start")
-        added += [start.alias("tok_start"), (start + F.length("_t.token")).alias("tok_end")]
-    item = F.arrays_zip(*columns) if len(columns) > 1 else F.transform(columns[0], lambda t: F.struct(t.alias("token")))
-    exploded = listed.select(
-        "trajectory_id", "role", "char_start", F.col("tok_start").alias("_first"), "_gap", F.posexplode(item).alias("_i", "_t")
-    )
+        start = F.col("_first_char") + F.col("start")
+        added += [start.alias("tok_start"), (start + F.length("token")).alias("tok_end")]
     result = exploded.select(
         "trajectory_id",
-        (F.col("_first") - F.col("_gap") + F.col("_i")).cast("int").alias("pos"),
-        F.col("_t.token").alias("token"),
-        ((F.col("_i") >= F.col("_gap")) & (F.col("role") == "assistant")).cast("int").alias("loss_mask"),
+        (F.col("_first") + F.col("_i")).cast("int").alias("pos"),
+        "token",
+        F.coalesce(F.col("_i") >= F.col("_masked_from"), F.lit(False)).cast("int").alias("loss_mask"),
         *added,
     )
     return result if max_tokens is None else result.filter(F.col("pos") < max_tokens)

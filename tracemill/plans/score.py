@@ -29,7 +29,8 @@ def build_samples(
     tokens = explode_tokens(parts, template, offsets=False, max_tokens=max_tokens)
     samples = assemble_samples(encode(tokens, dictionary), max_tokens)
     boundaries = prompt_boundary(parts).select("trajectory_id", "prompt_boundary")
-    return samples.join(boundaries, "trajectory_id").withColumn(
+    # Both sides are partitioned by trajectory already.
+    return samples.join(boundaries.hint("merge"), "trajectory_id").withColumn(
         "prompt_boundary", F.least("prompt_boundary", F.size("input_ids")).cast("int")
     )
 

@@ -25,6 +25,8 @@ def build_session(app: str = "tracemill", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # Texts grow a lot when they are cut into tokens, so small shuffles stay spread out.
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
+        # Samples are collected per trajectory; a buffer holds at most max_tokens numbers.
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "1024",
         "spark.sql.session.timeZone": "UTC",
         # Rows handed to Python hold whole token arrays, so keep the Arrow batches short.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
