@@ -24,10 +24,13 @@ def first_n(df: DataFrame, n: int | None, key: str = "trajectory_id") -> DataFra
     """The first ``n`` rows by ``key``, which is unique. ``None`` and 0 mean no limit."""
     if not n:
         return df
+    # The limit sees keys only; trajectories themselves never meet in one task.
+    keys = df.select(key)
     if n <= _TOP_N_ROWS:
-        return df.orderBy(key).limit(n)
-    wanted = ordered_index(df.select(key), [key]).filter(F.col("idx") < n)
-    return df.join(wanted.select(key), key, "left_semi")
+        wanted = keys.orderBy(key).limit(n)
+    else:
+        wanted = ordered_index(keys, [key]).filter(F.col("idx") < n).select(key)
+    return df.join(wanted, key, "left_semi")
 
 
 def with_messages(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -110,8 +111,9 @@ def ordered_index(df: DataFrame, order: Sequence[Column | str], name: str = "idx
     # One row per partition of the write above: small enough for the driver, and counted once.
     sizes = sorted(placed.groupBy("_part").agg(F.count("*").alias("n")).collect())
     starts = [0, *accumulate(size.n for size in sizes)]
+    numbers = [size._part for size in sizes]
     offsets = df.sparkSession.createDataFrame(
-        [(size._part, start) for size, start in zip(sizes, starts)], "_part bigint, _base bigint"
+        pa.table({"_part": pa.array(numbers, pa.int64()), "_base": pa.array(starts[: len(numbers)], pa.int64())})
     )
     return placed.join(F.broadcast(offsets), "_part").select(
         *df.columns, (F.col("_base") + F.col("_row")).alias(name)

@@ -28,8 +28,6 @@ def build_session(app: str = "tracemill", master: str | None = None, **conf: str
         # Samples are collected per trajectory; a buffer holds at most max_tokens numbers.
         "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "1024",
         "spark.sql.session.timeZone": "UTC",
-        # Rows handed to Python hold whole token arrays, so keep the Arrow batches short.
-        "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
         **conf,
     }
     for key, value in settings.items():
