@@ -21,6 +21,11 @@ def test_split_sizes(spark, n, n_val):
     assert sorted(rows) == sorted(again)
 
 
+def test_split_overlap(spark):
+    df = spark.createDataFrame([("x", "train"), ("x", "val"), ("y", "train"), ("z", "val"), ("z", "val")], "instance_id string, split string")
+    assert list(batching.split_overlap(df).first()) == [3, 1]
+
+
 def test_shuffle_depends_on_epoch_only(spark):
     first, second = ({r.trajectory_id: r.idx for r in batching.shuffled_index(ids(spark, 100), e).collect()} for e in (0, 1))
     assert sorted(first.values()) == sorted(second.values()) == list(range(100))

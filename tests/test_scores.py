@@ -167,6 +167,13 @@ def test_top_k_ties_and_short_rows(spark):
     assert [(r.rank, r.token_id) for r in scores.top_k_rows(rows, 3).orderBy("rank").collect()] == [(1, 1), (2, 2), (3, 0)]
 
 
+def test_zero_fill_is_probability_one(spark):
+    df = spark.createDataFrame([("t", 1, None, [3], [-2.0]), ("u", 1, None, None, None)], "trajectory_id string, loss_mask int, format string, top_ids array<int>, top_vals array<float>")
+    rows = {r.trajectory_id: r for r in scores.zero_fill(df, 3).collect()}
+    assert (rows["t"].top_ids, rows["t"].top_vals) == ([3, 0, 0], [-2.0, 0.0, 0.0])
+    assert rows["u"].top_ids is None
+
+
 def samples(spark, n=20):
     return spark.createDataFrame(
         [(f"t{i}", [i, i + 1, i + 2], [0, 1, 1], 1) for i in range(n)],

@@ -169,6 +169,24 @@ def test_npz_files(spark, tmp_path):
     ]
 
 
+def test_imported_archives_in_the_cache(spark, tmp_path):
+    """No stored mask: all positions count. A short mask: the rest does not."""
+    values, indices, ids = np.zeros((3, 1), np.float16), np.zeros((3, 1), np.int32), np.array([[4, 5, 6]], np.int32)
+    archive(tmp_path / "trajectory_1.npz", values=values, indices=indices, input_ids=ids)
+    archive(tmp_path / "trajectory_2.npz", values=values, indices=indices, input_ids=ids, loss_mask=np.array([1], np.int32))
+    path = str(tmp_path / "cache")
+    score_cache.write_cache(tokens.valid_mask(npz.read_npz_cache(spark, str(tmp_path))), path)
+    headers = {r.trajectory_id: (r.has_loss_mask, r.format, r.seq_len) for r in score_cache.read_headers(spark, path).collect()}
+    assert headers == {"trajectory_1": (False, "logprobs", 3), "trajectory_2": (True, "logprobs", 3)}
+    assert score_cache.cache_summary(spark, path).first().n_without_mask == 1
+    cache = score_cache.read_cache(spark, path, "logprobs")
+    # ln q = -1 at the first position, -2 and -3 after it.
+    student = cache.select("trajectory_id", "pos", F.lit(0.0).alias("lse"), F.array(F.lit(0)).alias("ids"), F.array(-(F.col("pos") + 1.0)).alias("z"))
+    assignment = spark.createDataFrame([("trajectory_1", "train", 0), ("trajectory_2", "val", 0)], "trajectory_id string, split string, batch_id int")
+    losses = {r.split: r.avg_loss for r in evaluate(cache, student, assignment).collect()}
+    assert losses == pytest.approx({"train": 2.0, "val": 1.0}, abs=1e-6)
+
+
 def test_tokenized_round_trip_and_choice(spark, tmp_path, messages, dictionary):
     df = frame(spark, tools=TOOLS * 4, short=[message("user", "x")], **LONG_ENOUGH)
     calls = []

@@ -281,7 +281,8 @@ def all_oracles() -> dict[str, str]:
         "s6_write_cache": _with(
             _GOLD,
             """SELECT trajectory_id, CAST(n_tokens AS INTEGER) AS seq_len, 'logprobs' AS format,
-                      CAST(prompt_boundary AS INTEGER) AS prompt_boundary, 'counts' AS run_id FROM btok""",
+                      CAST(prompt_boundary AS INTEGER) AS prompt_boundary, true AS has_loss_mask,
+                      'counts' AS run_id FROM btok""",
         ),
         "s7_read_cache": _with(
             _CACHE_ROWS,
@@ -310,7 +311,7 @@ def all_oracles() -> dict[str, str]:
                UNION ALL SELECT 'cache', count(*) FROM gold""",
         ),
         "s11_cache_summary": _with(
-            _HEADERS, "SELECT count(*) AS n_trajectories, true AS has_files, true AS has_bytes FROM gold"
+            _HEADERS, "SELECT count(*) AS n_trajectories, 0::BIGINT AS n_without_mask, true AS has_files, true AS has_bytes FROM gold"
         ),
         "s13_quarantine": _with(
             _GOLD,
@@ -548,6 +549,18 @@ def all_oracles() -> dict[str, str]:
             """SELECT trajectory_id, CASE WHEN idx < greatest(1, floor((SELECT count(*) FROM hdr) * 0.05::DOUBLE))
                                           THEN 'val' ELSE 'train' END AS split FROM ordered""",
         ),
+        "b1_split_overlap": _with(
+            {
+                **_DOCS,
+                "golddoc": f"SELECT DISTINCT trajectory_id, repo FROM docmsg WHERE {_GOLDDOC}",
+                "ordered": f"SELECT trajectory_id, repo, {_hash_order('golddoc', '42')}",
+                "sides": """
+                    SELECT repo, idx < greatest(1, floor((SELECT count(*) FROM golddoc) * 0.05::DOUBLE)) AS held_out
+                    FROM ordered""",
+            },
+            """SELECT count(*) AS n_values, count(*) FILTER (WHERE n = 2) AS n_shared
+               FROM (SELECT repo, count(DISTINCT held_out) AS n FROM sides GROUP BY 1)""",
+        ),
         "b2_sample_index": _with(
             _HEADERS,
             "SELECT trajectory_id, CAST(row_number() OVER (ORDER BY trajectory_id) - 1 AS BIGINT) AS idx FROM hdr",

@@ -235,7 +235,7 @@ def s10_source_choice(spark, sf_dir):
 def s11_cache_summary(spark, sf_dir):
     summary = score_cache.cache_summary(spark, _counted_cache(spark, sf_dir))
     return summary.select(
-        "n_trajectories", (F.col("n_files") > 0).alias("has_files"), (F.col("total_gb") > 0).alias("has_bytes")
+        "n_trajectories", "n_without_mask", (F.col("n_files") > 0).alias("has_files"), (F.col("total_gb") > 0).alias("has_bytes")
     )
 
 
@@ -668,6 +668,13 @@ def b1_split(spark, sf_dir):
     return batching.split_train_val(fx.headers(spark, sf_dir).select("trajectory_id"))
 
 
+@query
+def b1_split_overlap(spark, sf_dir):
+    """Repositories on both sides of a split by trajectory."""
+    rows = filters.gold(fx.trajectories(spark, sf_dir)).select("trajectory_id", "repo")
+    return batching.split_overlap(batching.split_train_val(rows), "repo")
+
+
 @query
 def b2_sample_index(spark, sf_dir):
     return batching.sample_index(fx.headers(spark, sf_dir).select("trajectory_id"))

@@ -23,6 +23,12 @@ def split_train_val(df: DataFrame, key: str = "trajectory_id", fraction: float =
     return indexed.withColumn("split", split).drop("_idx", "_n")
 
 
+def split_overlap(df: DataFrame, column: str = "instance_id") -> DataFrame:
+    """How many values of ``column`` there are, and how many occur on both sides of the split."""
+    sides = df.groupBy(column).agg((F.min("split") != F.max("split")).alias("_shared"))
+    return sides.agg(F.count("*").alias("n_values"), F.count_if("_shared").alias("n_shared"))
+
+
 def sample_index(df: DataFrame, key: str = "trajectory_id", name: str = "idx") -> DataFrame:
     """Number the rows in key order. Pass narrow rows."""
     return ordered_index(df, [key], name)

@@ -35,10 +35,12 @@ def running(
     chunk takes part in the running value over the key. A key with very many rows is therefore
     spread over many tasks.
     """
-    chunked = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk_rows)))
-    for name, (_, expression) in before.items():
-        chunked = chunked.withColumn(f"_in_{name}", expression)
     group = [*keys, "_chunk"]
+    chunked = df.select(
+        "*",
+        F.floor(F.col(order) / F.lit(chunk_rows)).alias("_chunk"),
+        *(expression.alias(f"_in_{name}") for name, (_, expression) in before.items()),
+    )
 
     summaries = []
     for name, (kind, _) in before.items():
@@ -66,28 +68,29 @@ def running(
 
     in_chunk = Window.partitionBy(*group).orderBy(order)
     earlier_rows = in_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    local = chunked.repartition(*group)
+    inner = [(F.row_number().over(in_chunk) == 1).alias("_first")]
     for name, (kind, _) in before.items():
         source = F.col(f"_in_{name}")
         value = F.lag(source).over(in_chunk) if kind == "last" else _MERGE[kind](source).over(earlier_rows)
-        local = local.withColumn(f"_loc_{name}", value)
-    local = local.withColumn("_first", F.row_number().over(in_chunk) == 1)
+        inner.append(value.alias(f"_loc_{name}"))
+    local = chunked.repartition(*group).select(*df.columns, "_chunk", *inner)
 
     # Both sides are partitioned by now and ``local`` is sorted, so a merge costs next to nothing;
     # left alone, AQE may broadcast the wide side while it does not know the other one yet.
     joined = local.join(offsets.hint("merge"), group)
+    results = []
     for name, (kind, _) in before.items():
-        base, inner = F.col(f"_base_{name}"), F.col(f"_loc_{name}")
+        base, loc = F.col(f"_base_{name}"), F.col(f"_loc_{name}")
         if kind == "sum":
-            value = F.coalesce(base, F.lit(0)) + F.coalesce(inner, F.lit(0))
+            value = F.coalesce(base, F.lit(0)) + F.coalesce(loc, F.lit(0))
         elif kind == "min":
-            value = F.least(base, inner)
+            value = F.least(base, loc)
         elif kind == "max":
-            value = F.greatest(base, inner)
+            value = F.greatest(base, loc)
         else:
-            value = F.when(F.col("_first"), base).otherwise(inner)
-        joined = joined.withColumn(name, value)
-    return joined.select(*df.columns, *before, *(totals or {}))
+            value = F.when(F.col("_first"), base).otherwise(loc)
+        results.append(value.alias(name))
+    return joined.select(*df.columns, *results, *(totals or {}))
 
 
 def ordered_index(df: DataFrame, order: Sequence[Column | str], name: str = "idx") -> DataFrame:

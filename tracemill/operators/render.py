@@ -30,20 +30,6 @@ from tracemill.functions.text import (
 from tracemill.operators.filters import drop_empty_messages, has_content
 from tracemill.operators.ordering import running
 
-PART_COLUMNS = [
-    "trajectory_id",
-    "msg_idx",
-    "role",
-    "part",
-    "char_start",
-    "char_end",
-    "n_chars",
-    "tok_start",
-    "n_tok",
-    "n_tokens",
-]
-
-
 def explode_messages(trajectories: DataFrame, *keep: str) -> DataFrame:
     """One row per message, in list order."""
     return trajectories.select(
@@ -134,11 +120,18 @@ def locate_parts(
         before=before,
         totals={"n_chars": "char_start", "n_tokens": "tok_start"},
     )
-    return (
-        placed.withColumn("char_end", F.col("char_start") + F.length("part"))
-        .withColumn("n_chars", F.col("n_chars") - (0 if trailing else gap_chars))
-        .withColumn("n_tokens", F.col("n_tokens") - gap_tokens)
-        .select(*PART_COLUMNS, *(["prev_token"] if previous else []))
+    return placed.select(
+        "trajectory_id",
+        "msg_idx",
+        "role",
+        "part",
+        "char_start",
+        (F.col("char_start") + F.length("part")).alias("char_end"),
+        (F.col("n_chars") - (0 if trailing else gap_chars)).alias("n_chars"),
+        "tok_start",
+        "n_tok",
+        (F.col("n_tokens") - gap_tokens).alias("n_tokens"),
+        *(["prev_token"] if previous else []),
     )
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracemill.functions.arrays import fit_length
+
 # Per sequence: one mapping token id -> score per position (None where there is none), or a dense
 # array [positions, vocabulary].
 Scorer = Callable[[list[list[int]]], Sequence[Sequence[Mapping[int, float] | None] | np.ndarray]]
@@ -65,6 +67,16 @@ def with_top_k(df: DataFrame, best: Column) -> DataFrame:
     )
 
 
+def zero_fill(positions: DataFrame, k: int) -> DataFrame:
+    """Fill short score arrays up to ``k`` with id 0 and score 0, as fixed-width caches hold them.
+
+    Only to reproduce losses computed on such caches: a log-probability of 0 is probability 1.
+    """
+    return positions.withColumn("top_ids", fit_length(F.col("top_ids"), k, 0)).withColumn(
+        "top_vals", fit_length(F.col("top_vals"), k, F.lit(0.0).cast("float"))
+    )
+
+
 def score_format(tag: Column) -> Column:
     """Format tag of a cache; caches without one hold log-probabilities."""
     return F.coalesce(tag, F.lit("logprobs"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.operators.batching import SEED, assign_batches, shuffled_index, split_train_val
-from tracemill.operators.divergence import batch_loss, gather_student, mean_of_batches, position_kl, sample_sums
+from tracemill.operators.divergence import batch_loss, chosen_mask, gather_student, mean_of_batches, position_kl, sample_sums
 from tracemill.operators.tokens import truncate_positions
 
 
@@ -31,10 +31,11 @@ def evaluate(
     max_tokens: int = 8192,
     shift: int = 0,
 ) -> DataFrame:
-    """Mean batch loss per split."""
-    positions = position_kl(
-        gather_student(truncate_positions(cache, max_tokens), student, shift=shift), temperature
+    """Mean batch loss per split. Where no loss mask was stored, all positions count."""
+    masked = truncate_positions(cache, max_tokens).withColumn(
+        "loss_mask", chosen_mask(F.col("loss_mask"), F.lit(1))
     )
+    positions = position_kl(gather_student(masked, student, shift=shift), temperature)
     # Summed per trajectory first, so that the join to batches sees one row per trajectory.
     sums = sample_sums(positions).join(assignment, "trajectory_id")
     return mean_of_batches(batch_loss(sums, ["split", "batch_id"]), ["split"])

@@ -65,6 +65,7 @@ CACHE_HEADERS = T.StructType(
         T.StructField("seq_len", T.IntegerType()),
         T.StructField("format", T.StringType()),
         T.StructField("prompt_boundary", T.IntegerType()),
+        T.StructField("has_loss_mask", T.BooleanType()),
         T.StructField("run_id", T.StringType()),
     ]
 )

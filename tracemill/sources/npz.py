@@ -34,7 +34,7 @@ def decode_npz(files: DataFrame) -> DataFrame:
     """Archives (trajectory_id, content) to one row per position, 1,024 positions at a time.
 
     Keys an archive lacks (format, loss_mask, prompt_boundary) become NULL, a mask that is too
-    short ends in NULLs. Scores are widened to FLOAT, ids to INT.
+    short ends in zeros. Scores are widened to FLOAT, ids to INT.
     """
 
     def positions(trajectory_id: str, content: bytes) -> Iterator[pd.DataFrame]:
@@ -53,7 +53,7 @@ def decode_npz(files: DataFrame) -> DataFrame:
                     "chunk": start // _CHUNK,
                     "pos": here,
                     "token_id": ids[here.start : here.stop].astype(np.int32),
-                    "loss_mask": [None if mask is None or p >= len(mask) else int(mask[p]) for p in here],
+                    "loss_mask": None if mask is None else [int(mask[p]) if p < len(mask) else 0 for p in here],
                     "prompt_boundary": boundary,
                     "format": tag,
                     "top_ids": [indices[p] if p < scored else None for p in here],

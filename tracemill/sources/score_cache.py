@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from tracemill.operators.scores import score_format as tag_or_default
 from tracemill.schemas import CACHE_HEADERS, CACHE_POSITIONS
 from tracemill.session import path_exists
 
@@ -32,6 +33,7 @@ def cache_exists(spark: SparkSession, path: str) -> bool:
 def write_cache(positions: DataFrame, path: str, run_id: str | None = None) -> str:
     """Append one run. ``positions`` are cache rows plus ``prompt_boundary``, without ``run_id``.
 
+    A NULL format becomes ``logprobs``; a NULL loss mask stays, and means that none was stored.
     Returns the run id. The headers are computed from the files just written, not by scoring
     again.
     """
@@ -42,6 +44,7 @@ def write_cache(positions: DataFrame, path: str, run_id: str | None = None) -> s
     boundary = (
         F.col("prompt_boundary") if "prompt_boundary" in positions.columns else F.lit(None)
     ).cast("int").alias("prompt_boundary")
+    positions = positions.withColumn("format", tag_or_default(F.col("format")))
     positions.select(*(F.col(f.name).cast(f.dataType) for f in stored), boundary).write.partitionBy(
         "format"
     ).parquet(target)
@@ -51,6 +54,7 @@ def write_cache(positions: DataFrame, path: str, run_id: str | None = None) -> s
         (F.max("pos") + 1).alias("seq_len"),
         F.max("format").alias("format"),
         F.max("prompt_boundary").alias("prompt_boundary"),
+        (F.count("loss_mask") > 0).alias("has_loss_mask"),
     )
     (
         headers.withColumn("run_id", F.lit(run_id))
@@ -88,7 +92,9 @@ def not_cached(trajectories: DataFrame, path: str) -> DataFrame:
 
 
 def cache_summary(spark: SparkSession, path: str) -> DataFrame:
-    """Number of cached trajectories, of files, and their size in GB (1e9 bytes)."""
+    """Cached trajectories, those without a stored loss mask (all their tokens count in the loss),
+    files, and their size in GB (1e9 bytes).
+    """
     # Path and length come from the file listing; no file is opened.
     sizes = (
         spark.read.format("binaryFile")
@@ -97,6 +103,9 @@ def cache_summary(spark: SparkSession, path: str) -> DataFrame:
         .load(_positions_path(path))
         .agg(F.count("path").alias("n_files"), (F.sum("length") / F.lit(1e9)).alias("total_gb"))
     )
-    trajectories = read_headers(spark, path).agg(F.count_distinct("trajectory_id").alias("n_trajectories"))
+    trajectories = read_headers(spark, path).agg(
+        F.count_distinct("trajectory_id").alias("n_trajectories"),
+        F.count_if(~F.col("has_loss_mask")).alias("n_without_mask"),
+    )
     # Two one-row results, side by side.
     return trajectories.withColumn("_k", F.lit(1)).join(sizes.withColumn("_k", F.lit(1)), "_k").drop("_k")
