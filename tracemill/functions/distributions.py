@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracemill import fixed
+
 
 def as_doubles(values: Column) -> Column:
     return values.cast("array<double>")
@@ -35,7 +37,7 @@ def log_sum_exp(values: Column) -> Column:
 
 def teacher_exponents(values: Column, score_format: Column, temperature: float) -> Column:
     """Teacher scores as exponents: raw logits are divided by T, log-probabilities are not."""
-    return F.when(score_format == "logits", scaled(values, temperature)).otherwise(as_doubles(values))
+    return F.when(score_format == fixed.LOGITS, scaled(values, temperature)).otherwise(as_doubles(values))
 
 
 def probabilities(exponents: Column) -> Column:
@@ -47,31 +49,23 @@ def probabilities(exponents: Column) -> Column:
 def sparse_kl(exponents: Column, student_logp: Column) -> Column:
     """Sum of p (ln p - ln q), with p the normalised exponents and ln q given per entry.
 
-    With w = exp(u - max u) and S = sum w this is sum(w (u - ln q)) / S - max u - ln S, so one
+    With d = u - max u, w = exp(d) and S = sum w this is sum(w (d - ln q)) / S - ln S, so one
     pass over the pairs is enough. Entries with p = 0 add nothing. NULL if any ln q is NULL.
     """
-    pairs = F.zip_with(
-        exponents,
+    top = F.array_repeat(F.array_max(exponents), F.size(exponents))
+    shifted = F.zip_with(exponents, top, lambda u, t: u - t)
+    weighed = F.zip_with(
+        shifted,
         student_logp,
-        lambda u, q: F.struct(u.alias("u"), q.alias("q")),
+        lambda d, q: F.struct(F.exp(d).alias("w"), (d - q).alias("gap")),
     )
     folded = F.aggregate(
-        pairs,
-        F.struct(
-            F.array_max(exponents).alias("top"),
-            F.lit(0.0).alias("mass"),
-            F.lit(0.0).alias("cross"),
-        ),
+        weighed,
+        F.struct(F.lit(0.0).alias("mass"), F.lit(0.0).alias("cross")),
         lambda acc, x: F.struct(
-            acc["top"].alias("top"),
-            (acc["mass"] + F.exp(x["u"] - acc["top"])).alias("mass"),
-            (
-                acc["cross"]
-                + F.when(F.exp(x["u"] - acc["top"]) == 0.0, F.lit(0.0)).otherwise(
-                    F.exp(x["u"] - acc["top"]) * (x["u"] - x["q"])
-                )
-            ).alias("cross"),
+            (acc["mass"] + x["w"]).alias("mass"),
+            (acc["cross"] + F.when(x["w"] == 0.0, F.lit(0.0)).otherwise(x["w"] * x["gap"])).alias("cross"),
         ),
-        lambda acc: acc["cross"] / acc["mass"] - acc["top"] - F.ln(acc["mass"]),
+        lambda acc: acc["cross"] / acc["mass"] - F.ln(acc["mass"]),
     )
     return F.when(F.size(exponents) > 0, folded)

@@ -12,8 +12,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracemill import fixed
+
+
+def fill(pattern: str, **values: Column) -> Column:
+    """A format string with its ``{name}`` fields replaced by columns."""
+    pieces = re.split(r"\{(\w+)\}", pattern)
+    return F.concat(*(values[piece] if i % 2 else F.lit(piece) for i, piece in enumerate(pieces)))
+
+
 # Every character belongs to exactly one token, so offsets are running sums of token lengths.
 TOKEN_PATTERN = r"[A-Za-z0-9_]+|[^A-Za-z0-9_]"
+_NO_ARGUMENTS = fixed.NO_ARGUMENTS
 _WORD = re.compile(r"[A-Za-z0-9_]")
 
 
@@ -21,16 +31,12 @@ _WORD = re.compile(r"[A-Za-z0-9_]")
 class Template:
     """How one message becomes a part of the text and what stands between two parts."""
 
-    prefix: str = "[{role}]: "
+    prefix: str = fixed.PART_PREFIX
     suffix: str = ""
-    separator: str = "\n\n"
+    separator: str = fixed.PART_SEPARATOR
 
     def part(self, role: Column, content: Column) -> Column:
-        before, *after = self.prefix.split("{role}", 1)
-        pieces = [F.lit(before)]
-        if after:
-            pieces += [role, F.lit(after[0])]
-        return F.concat(*pieces, content, F.lit(self.suffix))
+        return F.concat(fill(self.prefix, role=role), content, F.lit(self.suffix))
 
     @property
     def separator_tokens(self) -> int:
@@ -62,7 +68,7 @@ def normalise_arguments(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
     def redump(text: str | None) -> str:
         try:
-            return json.dumps(json.loads("{}" if text is None else text))
+            return json.dumps(json.loads(_NO_ARGUMENTS if text is None else text))
         except json.JSONDecodeError:
             return json.dumps(text)
 
@@ -84,22 +90,18 @@ def tool_call_text(functions: Column, arguments: Column) -> Column:
     blocks = F.zip_with(
         functions,
         arguments,
-        lambda function, args: F.concat(
-            F.lit("<tool_call>\n"),
-            F.coalesce(function["name"], F.lit("unknown")),
-            F.lit("("),
-            args,
-            F.lit(")\n</tool_call>"),
+        lambda function, args: fill(
+            fixed.TOOL_CALL,
+            name=F.coalesce(function["name"], F.lit(fixed.UNKNOWN_FUNCTION)),
+            arguments=args,
         ),
     )
-    return F.array_join(blocks, "\n")
+    return F.array_join(blocks, fixed.TOOL_CALL_SEPARATOR)
 
 
 def tool_response_text(name: Column, content: Column) -> Column:
-    return F.concat(
-        F.lit('<tool_response name="'),
-        F.coalesce(name, F.lit("tool")),
-        F.lit('">\n'),
-        F.coalesce(content, F.lit("")),
-        F.lit("\n</tool_response>"),
+    return fill(
+        fixed.TOOL_RESPONSE,
+        name=F.coalesce(name, F.lit(fixed.UNNAMED_TOOL)),
+        content=F.coalesce(content, F.lit("")),
     )

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracemill import fixed
 from tracemill.functions.arrays import fit_length
 from tracemill.operators.ordering import hash_index, ordered_index
 
-SEED = 42
 
 
-def split_train_val(df: DataFrame, key: str = "trajectory_id", fraction: float = 0.05, seed: int = SEED) -> DataFrame:
+def split_train_val(df: DataFrame, key: str = "trajectory_id", fraction: float = fixed.VALIDATION_FRACTION, seed: int = fixed.SEED) -> DataFrame:
     """Add ``split`` (train or val). Exactly max(1, int(n * fraction)) rows are val.
 
     Repeatable: the rows with the smallest md5(seed:key) are held out.
@@ -34,9 +36,19 @@ def sample_index(df: DataFrame, key: str = "trajectory_id", name: str = "idx") -
     return ordered_index(df, [key], name)
 
 
-def shuffled_index(df: DataFrame, epoch: int, key: str = "trajectory_id", seed: int = SEED, name: str = "idx") -> DataFrame:
-    """Number the rows in an order that changes with the epoch and is otherwise repeatable."""
-    return hash_index(df, key, f"{seed}:{epoch}", name=name, total="_n").drop("_n")
+def shuffled_index(
+    df: DataFrame,
+    epoch: int,
+    key: str = "trajectory_id",
+    seed: int = fixed.SEED,
+    name: str = "idx",
+    within: Sequence[str] = (),
+) -> DataFrame:
+    """Number the rows in an order that changes with the epoch and is otherwise repeatable.
+
+    ``within`` numbers each side of a split on its own.
+    """
+    return hash_index(df, key, f"{seed}:{epoch}", name=name, total="_n", within=within).drop("_n")
 
 
 def assign_batches(df: DataFrame, batch_size: int, idx: str = "idx") -> DataFrame:
@@ -52,7 +64,7 @@ def _target_length(ids: Column, max_length: int | None) -> Column:
     return F.least(longest, F.lit(max_length)) if max_length else longest
 
 
-def pad_batch(samples: DataFrame, *, pad_id: int = 0, max_length: int | None = None) -> DataFrame:
+def pad_batch(samples: DataFrame, *, pad_id: int = fixed.PAD_ID, max_length: int | None = None) -> DataFrame:
     """Bring input_ids, attention_mask and, if present, loss_mask to one length per batch.
 
     That length is the longest sample's, capped by ``max_length`` unless it is None or 0; it is

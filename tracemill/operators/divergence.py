@@ -13,13 +13,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill import fixed
 from tracemill.functions.distributions import log_sum_exp, scaled, sparse_kl, teacher_exponents
 from tracemill.operators.scores import score_format, top_k_dense, with_top_k
 
-CHUNK = 1024
-EPSILON = 1e-8
-
-
 def student_log_softmax(student: DataFrame, temperature: float = 1.0) -> DataFrame:
     """Dense logits to (ids, z, lse) with every vocabulary entry listed."""
     return (
@@ -97,7 +94,7 @@ def _sums() -> list[Column]:
 
 
 def _mean(total: Column, count: Column) -> Column:
-    return (total / (count + F.lit(EPSILON))).alias("loss")
+    return (total / (count + F.lit(fixed.MEAN_EPSILON))).alias("loss")
 
 
 def masked_mean(positions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -105,7 +102,7 @@ def masked_mean(positions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return positions.groupBy(*keys).agg(*_sums()).select(*keys, _mean(F.col("kl_sum"), F.col("n_masked")), "n_masked")
 
 
-def chunk_sums(positions: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def chunk_sums(positions: DataFrame, chunk: int = fixed.CHUNK_POSITIONS) -> DataFrame:
     """kl_sum and n_masked per trajectory and slice of ``chunk`` positions."""
     slice_number = F.floor(F.col("pos") / chunk).cast("int").alias("chunk")
     return positions.groupBy("trajectory_id", slice_number).agg(*_sums())
@@ -144,12 +141,12 @@ def batch_mean_of_samples(
     )
 
 
-def dense_teacher_positions(teacher: DataFrame, k: int = 128) -> DataFrame:
+def dense_teacher_positions(teacher: DataFrame, k: int = fixed.TOP_K) -> DataFrame:
     """Dense teacher logits to top-k rows in format ``logits``."""
-    return with_top_k(teacher, top_k_dense(F.col("logits"), k)).drop("logits").withColumn("format", F.lit("logits"))
+    return with_top_k(teacher, top_k_dense(F.col("logits"), k)).drop("logits").withColumn("format", F.lit(fixed.LOGITS))
 
 
-def dense_loss(teacher: DataFrame, student: DataFrame, k: int = 128, temperature: float = 1.0) -> DataFrame:
+def dense_loss(teacher: DataFrame, student: DataFrame, k: int = fixed.TOP_K, temperature: float = 1.0) -> DataFrame:
     """Loss per trajectory when the teacher's logits are dense too."""
     top = dense_teacher_positions(teacher, k)
     return sample_loss(sample_sums(position_kl(gather_dense(top, student, temperature), temperature)))

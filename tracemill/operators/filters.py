@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill import fixed
 from tracemill.operators.ordering import ordered_index
 
 # Up to this many rows Spark keeps the N smallest per task and merges them.
@@ -12,7 +13,7 @@ _TOP_N_ROWS = 10_000
 
 
 def is_gold() -> Column:
-    return (F.col("resolved") == 1) & (F.col("exit_status") == "submit")
+    return (F.col("resolved") == fixed.GOLD_RESOLVED) & (F.col("exit_status") == fixed.GOLD_EXIT_STATUS)
 
 
 def gold(df: DataFrame) -> DataFrame:
@@ -47,12 +48,12 @@ def drop_empty_messages(messages: DataFrame) -> DataFrame:
     return messages.filter(has_content(F.col("content")))
 
 
-def min_chars(df: DataFrame, n_chars: str = "n_chars", minimum: int = 100) -> DataFrame:
+def min_chars(df: DataFrame, n_chars: str = "n_chars", minimum: int = fixed.MIN_CHARS) -> DataFrame:
     """Keep rows whose rendered trajectory has at least ``minimum`` characters."""
     return df.filter(F.col(n_chars) >= minimum)
 
 
-def min_tokens(df: DataFrame, n_tokens: str = "n_tokens", minimum: int = 100, max_tokens: int | None = None) -> DataFrame:
+def min_tokens(df: DataFrame, n_tokens: str = "n_tokens", minimum: int = fixed.MIN_TOKENS, max_tokens: int | None = None) -> DataFrame:
     """Keep rows with at least ``minimum`` tokens, counted after truncation."""
     counted = F.col(n_tokens)
     if max_tokens is not None:

@@ -147,29 +147,38 @@ def grouped_index(
 
 
 def hash_index(
-    df: DataFrame, key: str, seed: str, *, name: str = "idx", total: str = "n_total"
+    df: DataFrame,
+    key: str,
+    seed: str,
+    *,
+    name: str = "idx",
+    total: str = "n_total",
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """Number the rows 0, 1, 2 ... in the order of md5(seed:key), and add the row count.
 
     A repeatable shuffle. Digests of unique keys are uniform, so their first four digits cut the
     rows into 65,536 even buckets without sampling; rows are ranked inside their bucket.
+    ``within`` numbers each value of the given columns, which must be few, on its own.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     hashed = df.withColumn("_digest", digest).withColumn(
         "_bucket", F.conv(F.substring("_digest", 1, 4), 16, 10).cast("int")
     )
-    # At most 65,536 rows: an unpartitioned window and a broadcast are safe.
-    sizes = hashed.groupBy("_bucket").agg(F.count("*").alias("_size"))
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    group = [*within, "_bucket"]
+    # At most 65,536 rows (per value of ``within``): the window over all of them and the broadcast
+    # are safe.
+    sizes = hashed.groupBy(*group).agg(F.count("*").alias("_size"))
+    everything = Window.partitionBy(*within)
+    earlier = everything.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        "_bucket",
+        *group,
         F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_base"),
-        F.sum("_size").over(Window.partitionBy()).alias(total),
+        F.sum("_size").over(everything).alias(total),
     )
-    in_bucket = Window.partitionBy("_bucket").orderBy("_digest", key)
+    in_bucket = Window.partitionBy(*group).orderBy("_digest", key)
     return (
         hashed.withColumn("_rank", F.row_number().over(in_bucket) - 1)
-        .join(F.broadcast(offsets), "_bucket")
-        .withColumn(name, F.col("_base") + F.col("_rank"))
-        .select(*df.columns, name, total)
+        .join(F.broadcast(offsets), group)
+        .select(*df.columns, (F.col("_base") + F.col("_rank")).alias(name), total)
     )

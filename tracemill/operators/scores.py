@@ -10,25 +10,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracemill import fixed
 from tracemill.functions.arrays import fit_length
+from tracemill.operators.tokens import valid_mask
 
 # Per sequence: one mapping token id -> score per position (None where there is none), or a dense
 # array [positions, vocabulary].
 Scorer = Callable[[list[list[int]]], Sequence[Sequence[Mapping[int, float] | None] | np.ndarray]]
 
-_CHUNK = 1024
 SCORED_SCHEMA = (
     "trajectory_id string, seq_len int, prompt_boundary int, pos int, token_id int, loss_mask int, "
     "scores map<int,double>, status string, error string"
 )
 
 
-def top_k_dense(logits: Column, k: int = 128) -> Column:
+def top_k_dense(logits: Column, k: int = fixed.TOP_K) -> Column:
     """The k largest entries of a dense score array as structs (val, id), largest first.
 
     Equal scores are ordered by id.
     """
-    ranked = F.array_sort(
+    ranked = F.sort_array(
         F.transform(logits, lambda z, i: F.struct((-z).alias("neg"), i.alias("id")))
     )
     return F.transform(
@@ -36,7 +37,7 @@ def top_k_dense(logits: Column, k: int = 128) -> Column:
     )
 
 
-def top_k_rows(scores: DataFrame, k: int = 128) -> DataFrame:
+def top_k_rows(scores: DataFrame, k: int = fixed.TOP_K) -> DataFrame:
     """The same on rows (trajectory_id, pos, token_id, score); adds ``rank`` from 1.
 
     For large vocabularies: the limit on the rank is applied before the shuffle too.
@@ -45,9 +46,9 @@ def top_k_rows(scores: DataFrame, k: int = 128) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def top_k_map(scores: Column, k: int = 128) -> Column:
+def top_k_map(scores: Column, k: int = fixed.TOP_K) -> Column:
     """The k best entries of a map token id -> log-probability; NULL for an absent map."""
-    ranked = F.array_sort(
+    ranked = F.sort_array(
         F.transform(
             F.map_entries(scores), lambda e: F.struct((-e["value"]).alias("neg"), e["key"].alias("id"))
         )
@@ -79,15 +80,15 @@ def zero_fill(positions: DataFrame, k: int) -> DataFrame:
 
 def score_format(tag: Column) -> Column:
     """Format tag of a cache; caches without one hold log-probabilities."""
-    return F.coalesce(tag, F.lit("logprobs"))
+    return F.coalesce(tag, F.lit(fixed.LOGPROBS))
 
 
 def score_with(
     samples: DataFrame,
     make_scorer: Callable[[], Scorer],
-    batch_size: int = 8,
+    batch_size: int = fixed.SCORER_BATCH,
     *,
-    top_k: int = 128,
+    top_k: int = fixed.TOP_K,
     partitions: int | None = None,
 ) -> DataFrame:
     """Score token sequences with a model supplied by the user.
@@ -100,6 +101,8 @@ def score_with(
     cannot be scored.
     """
 
+    chunk_size = fixed.CHUNK_POSITIONS
+
     def best_of(scores: np.ndarray) -> list[dict[int, float]]:
         k = min(top_k, scores.shape[-1])
         kth = -np.partition(-scores, k - 1, axis=-1)[:, k - 1 : k]
@@ -111,8 +114,8 @@ def score_with(
         return result
 
     def good(row, maps) -> Iterator[pd.DataFrame]:
-        for start in range(0, len(maps), _CHUNK):
-            chunk = maps[start : start + _CHUNK]
+        for start in range(0, len(maps), chunk_size):
+            chunk = maps[start : start + chunk_size]
             yield pd.DataFrame(
                 {
                     "trajectory_id": row.trajectory_id,
@@ -174,13 +177,11 @@ def split_by_status(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, failed
 
 
-def cache_positions(scored: DataFrame, k: int = 128, tag: str = "logprobs") -> DataFrame:
+def cache_positions(scored: DataFrame, k: int = fixed.TOP_K, tag: str = fixed.LOGPROBS) -> DataFrame:
     """Scored positions to cache rows: top-k arrays, chunk number, valid positions in the mask."""
-    from tracemill.operators.tokens import valid_mask
-
     best = with_top_k(scored, top_k_map(F.col("scores"), k)).drop("scores")
     return (
         valid_mask(best)
-        .withColumn("chunk", F.floor(F.col("pos") / _CHUNK).cast("int"))
+        .withColumn("chunk", F.floor(F.col("pos") / fixed.CHUNK_POSITIONS).cast("int"))
         .withColumn("format", F.lit(tag))
     )

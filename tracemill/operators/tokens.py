@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracemill import fixed
 from tracemill.functions.arrays import fit_length, running_sum
 from tracemill.functions.text import PLAIN, Template, token_list
 from tracemill.operators.lookup import lookup
@@ -170,7 +171,7 @@ def attention_mask(ids: Column) -> Column:
 
 
 def prompt_window(
-    ids: Column, mask: Column, max_prompt: int, boundary: Column | None = None, pad_id: int = 0
+    ids: Column, mask: Column, max_prompt: int = fixed.MAX_PROMPT_TOKENS, boundary: Column | None = None, pad_id: int = fixed.PAD_ID
 ) -> tuple[Column, Column]:
     """Prompt ids and mask, cut at the boundary and filled up to ``max_prompt``.
 
@@ -185,7 +186,7 @@ def prompt_window(
     )
 
 
-def assemble_samples(tokens: DataFrame, max_tokens: int = 8192) -> DataFrame:
+def assemble_samples(tokens: DataFrame, max_tokens: int = fixed.MAX_TRAJECTORY_TOKENS) -> DataFrame:
     """Token rows (trajectory_id, pos, token_id, loss_mask) to one row of arrays per trajectory.
 
     Truncation comes first, so that no group holds more than ``max_tokens`` rows. Position, id

@@ -5,21 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.operators.batching import SEED, assign_batches, shuffled_index, split_train_val
+from tracemill import fixed
+from tracemill.operators.batching import assign_batches, shuffled_index, split_train_val
 from tracemill.operators.divergence import batch_loss, chosen_mask, gather_student, mean_of_batches, position_kl, sample_sums
 from tracemill.operators.tokens import truncate_positions
 
 
 def assign_epoch(
-    trajectory_ids: DataFrame, epoch: int, batch_size: int, fraction: float = 0.05, seed: int = SEED
+    trajectory_ids: DataFrame, epoch: int, batch_size: int, fraction: float = fixed.VALIDATION_FRACTION, seed: int = fixed.SEED
 ) -> DataFrame:
     """(trajectory_id, split, batch_id, slot) of one epoch: split, then shuffle and batch each side."""
     split = split_train_val(trajectory_ids, fraction=fraction, seed=seed)
-    sides = [
-        assign_batches(shuffled_index(split.filter(F.col("split") == side), epoch, seed=seed), batch_size)
-        for side in ("train", "val")
-    ]
-    return sides[0].unionByName(sides[1]).drop("idx")
+    order = shuffled_index(split, epoch, seed=seed, within=["split"])
+    return assign_batches(order, batch_size).drop("idx")
 
 
 def evaluate(
@@ -28,7 +26,7 @@ def evaluate(
     assignment: DataFrame,
     *,
     temperature: float = 1.0,
-    max_tokens: int = 8192,
+    max_tokens: int = fixed.MAX_TRAJECTORY_TOKENS,
     shift: int = 0,
 ) -> DataFrame:
     """Mean batch loss per split. Where no loss mask was stored, all positions count."""

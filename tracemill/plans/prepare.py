@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill import fixed
 from tracemill.functions.text import PLAIN, Template
 from tracemill.operators.filters import first_n, gold, min_tokens, with_messages
 from tracemill.operators.profile import message_profile
@@ -26,8 +27,8 @@ def tokenize_trajectories(
     *,
     template: Template = PLAIN,
     tool_role_supported: bool = False,
-    max_tokens: int = 8192,
-    minimum_tokens: int = 100,
+    max_tokens: int = fixed.MAX_TRAJECTORY_TOKENS,
+    minimum_tokens: int = fixed.MIN_TOKENS,
 ) -> DataFrame:
     """Gold trajectories to tokenized samples, tool calls and tool answers written out.
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill import fixed
 from tracemill.functions.text import PLAIN, Template
 from tracemill.operators.filters import min_chars
 from tracemill.operators.render import locate_parts, prompt_boundary
@@ -21,8 +22,8 @@ def build_samples(
     dictionary: DataFrame,
     *,
     template: Template = PLAIN,
-    minimum_chars: int = 100,
-    max_tokens: int = 8192,
+    minimum_chars: int = fixed.MIN_CHARS,
+    max_tokens: int = fixed.MAX_TRAJECTORY_TOKENS,
 ) -> DataFrame:
     """Messages to (trajectory_id, input_ids, loss_mask, prompt_boundary)."""
     parts = min_chars(locate_parts(messages, template), minimum=minimum_chars)
@@ -42,11 +43,11 @@ def build_cache(
     make_scorer: Callable[[], Scorer],
     *,
     run_id: str | None = None,
-    batch_size: int = 8,
-    top_k: int = 128,
-    score_format: str = "logprobs",
-    minimum_chars: int = 100,
-    max_tokens: int = 8192,
+    batch_size: int = fixed.SCORER_BATCH,
+    top_k: int = fixed.TOP_K,
+    score_format: str = fixed.LOGPROBS,
+    minimum_chars: int = fixed.MIN_CHARS,
+    max_tokens: int = fixed.MAX_TRAJECTORY_TOKENS,
     template: Template = PLAIN,
     partitions: int | None = None,
 ) -> DataFrame:

@@ -10,11 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill import fixed
+
 IMPORT_SCHEMA = (
     "trajectory_id string, chunk int, pos int, token_id int, loss_mask int, prompt_boundary int, "
     "format string, top_ids array<int>, top_vals array<float>"
 )
-_CHUNK = 1024
 
 
 def read_npz_cache(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,6 +38,8 @@ def decode_npz(files: DataFrame) -> DataFrame:
     short ends in zeros. Scores are widened to FLOAT, ids to INT.
     """
 
+    chunk_size = fixed.CHUNK_POSITIONS
+
     def positions(trajectory_id: str, content: bytes) -> Iterator[pd.DataFrame]:
         with np.load(io.BytesIO(content)) as data:
             ids = data["input_ids"].reshape(-1)
@@ -45,12 +48,12 @@ def decode_npz(files: DataFrame) -> DataFrame:
             tag = str(data["format"][0]) if "format" in data else None
             boundary = int(data["prompt_boundary"][0]) if "prompt_boundary" in data else None
         scored = len(values)
-        for start in range(0, len(ids), _CHUNK):
-            here = range(start, min(start + _CHUNK, len(ids)))
+        for start in range(0, len(ids), chunk_size):
+            here = range(start, min(start + chunk_size, len(ids)))
             yield pd.DataFrame(
                 {
                     "trajectory_id": trajectory_id,
-                    "chunk": start // _CHUNK,
+                    "chunk": start // chunk_size,
                     "pos": here,
                     "token_id": ids[here.start : here.stop].astype(np.int32),
                     "loss_mask": None if mask is None else [int(mask[p]) if p < len(mask) else 0 for p in here],

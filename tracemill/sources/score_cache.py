@@ -95,17 +95,18 @@ def cache_summary(spark: SparkSession, path: str) -> DataFrame:
     """Cached trajectories, those without a stored loss mask (all their tokens count in the loss),
     files, and their size in GB (1e9 bytes).
     """
-    # Path and length come from the file listing; no file is opened.
-    sizes = (
+    # Path and length come from the file listing; no file is opened. One row.
+    files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.parquet")
         .load(_positions_path(path))
-        .agg(F.count("path").alias("n_files"), (F.sum("length") / F.lit(1e9)).alias("total_gb"))
+        .agg(F.count("path").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))
+        .first()
     )
-    trajectories = read_headers(spark, path).agg(
+    return read_headers(spark, path).agg(
         F.count_distinct("trajectory_id").alias("n_trajectories"),
         F.count_if(~F.col("has_loss_mask")).alias("n_without_mask"),
+        F.lit(files.n_files).alias("n_files"),
+        F.lit(files.n_bytes / 1e9).alias("total_gb"),
     )
-    # Two one-row results, side by side.
-    return trajectories.withColumn("_k", F.lit(1)).join(sizes.withColumn("_k", F.lit(1)), "_k").drop("_k")
