@@ -127,7 +127,7 @@ _DOCS = {
                CASE WHEN i % 3 = 2 AND i % 4 = 0 THEN NULL ELSE line END AS content,
                CASE WHEN i % 3 = 0 AND i % 2 = 1 THEN 'shell' END AS name,
                i % 3 = 2 AND i % 2 = 0 AS calling, instance_id, repo, f.resolved, f.exit_status
-        FROM line l JOIN flag f USING (trajectory_id)""",
+        FROM line l LEFT JOIN flag f USING (trajectory_id)""",
     "args": """
         SELECT trajectory_id, msg_idx, role, calling,
                CASE WHEN msg_idx % 10 = 0 THEN '"ls \\"src\\""'
@@ -295,8 +295,8 @@ def all_oracles() -> dict[str, str]:
             _DENSE,
             """SELECT trajectory_id, 0 AS chunk, pos, label AS token_id, loss_mask,
                       CAST(count(*) OVER (PARTITION BY trajectory_id) // 2 AS INTEGER) AS prompt_boundary,
-                      'logits' AS format, '0,1,2,3' AS top_ids,
-                      array_to_string(list_transform(embedding[1:4], lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS INTEGER)), ',') AS top_vals
+                      'logits' AS format, array_to_string(range(len(embedding)), ',') AS top_ids,
+                      array_to_string(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS INTEGER)), ',') AS top_vals
                FROM vec""",
         ),
         "s9_resume": _with(
@@ -325,7 +325,8 @@ def all_oracles() -> dict[str, str]:
             _HEADERS, "SELECT trajectory_id, n_messages FROM gold ORDER BY trajectory_id LIMIT 20"
         ),
         "f3_with_messages": _with(
-            _DOCS, "SELECT trajectory_id, CAST(count(*) AS INTEGER) AS n_messages FROM docmsg GROUP BY 1"
+            _DOCS, """SELECT trajectory_id, CAST(count(*) AS INTEGER) AS n_messages FROM docmsg
+               WHERE resolved IS NOT NULL AND content <> '' GROUP BY 1"""
         ),
         "f4_drop_empty_messages": _with(
             _DOCS,

@@ -265,7 +265,9 @@ def f2_first_n(spark, sf_dir):
 
 @query
 def f3_with_messages(spark, sf_dir):
-    kept = filters.with_messages(fx.trajectories(spark, sf_dir))
+    """Documents without a label count as not recorded (NULL), those of blank lines only as empty."""
+    recorded = F.when(F.col("resolved").isNotNull(), F.filter("trajectory", lambda m: m["content"] != ""))
+    kept = filters.with_messages(fx.trajectories(spark, sf_dir).withColumn("trajectory", recorded))
     return kept.select("trajectory_id", F.size("trajectory").alias("n_messages"))
 
 

@@ -74,8 +74,8 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Line 0 is the system message; lines 1, 2, 3, 4 ... take turns as user, assistant, tool. Even
     assistant lines call a tool, every other one of them without text, and lines that are a
-    multiple of 10 with arguments that are not JSON; odd tool lines carry a name. Documents
-    without a label have no trajectory.
+    multiple of 10 with arguments that are not JSON; odd tool lines carry a name. Flags come from
+    the labels and are NULL for documents without one.
     """
     lines = F.split("text", "\n")
 
@@ -99,17 +99,17 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(calling, calls).alias("tool_calls"),
         )
 
-    labelled = table(spark, sf_dir, "documents").select(
+    rows = table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("trajectory_id"),
         F.concat_ws("-", "lang", F.col("doc_id").cast("string")).alias("instance_id"),
         F.col("source").alias("repo"),
         F.transform(lines, message).alias("trajectory"),
     )
-    return labelled.join(flags(spark, sf_dir), "trajectory_id", "left").select(
+    return rows.join(flags(spark, sf_dir), "trajectory_id", "left").select(
         "trajectory_id",
         "instance_id",
         "repo",
-        F.when(F.col("resolved").isNotNull(), F.col("trajectory")).alias("trajectory"),
+        "trajectory",
         "resolved",
         "exit_status",
         F.lit(None).cast("string").alias("model_patch"),
@@ -203,8 +203,8 @@ def count_scores(spark: SparkSession, sf_dir: str, k: int = 8) -> tuple[DataFram
 # ---- embeddings: archives ---------------------------------------------------------------
 
 
-def archives(spark: SparkSession, sf_dir: str, k: int = 4) -> DataFrame:
-    """One ``.npz`` archive per 50 vectors: the first ``k`` entries, in steps of 1/64."""
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ``.npz`` archive per 50 vectors, the entries in steps of 1/64 (exact in half precision)."""
     import io
 
     import numpy as np
@@ -212,22 +212,22 @@ def archives(spark: SparkSession, sf_dir: str, k: int = 4) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(
         F.floor(F.col("vec_id") / 50).cast("string").alias("trajectory_id"),
         (F.col("vec_id") % 50).cast("int").alias("pos"),
-        F.slice("embedding", 1, k).alias("head"),
+        "embedding",
         "label",
     )
 
     def pack(group):
         group = group.sort_values("pos")
-        head = np.stack(group["head"].to_numpy())
+        vectors = np.stack(group["embedding"].to_numpy())
         buffer = io.BytesIO()
         np.savez_compressed(
             buffer,
-            values=(np.floor(head.astype(np.float64) * 64) / 64).astype(np.float16),
-            indices=np.tile(np.arange(k, dtype=np.int32), (len(head), 1)),
+            values=(np.floor(vectors.astype(np.float64) * 64) / 64).astype(np.float16),
+            indices=np.tile(np.arange(vectors.shape[1], dtype=np.int32), (len(vectors), 1)),
             input_ids=group["label"].to_numpy(dtype=np.int32)[None, :],
             format=np.array(["logits"]),
             loss_mask=(group["label"].to_numpy() % 2).astype(np.int32),
-            prompt_boundary=np.array([len(head) // 2], dtype=np.int32),
+            prompt_boundary=np.array([len(vectors) // 2], dtype=np.int32),
         )
         return group.iloc[:1][["trajectory_id"]].assign(content=buffer.getvalue())
 
