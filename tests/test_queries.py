@@ -22,6 +22,8 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("name", sorted(entry_points.queries()))
 def test_query_equals_sql(spark, db, name):
     result = entry_points.queries()[name](spark, SF_DIR)
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert compare(result, db, entry_points.oracle_sql()[name]) is None
 
 

@@ -202,6 +202,7 @@ def test_tokenized_round_trip_and_choice(spark, tmp_path, messages, dictionary):
 
     name, rows = pick()
     assert name == "raw" and {r.trajectory_id for r in rows.collect()} == {"tools", *LONG_ENOUGH}
+    assert {(r.instance_id, r.repo) for r in rows.collect()} == {("", "")}
     assert all(40 <= len(r.input_ids) <= 60 and r.attention_mask == [1] * len(r.input_ids) for r in rows.collect())
     name, again = pick()
     assert name == "tokenized" and len(calls) == 1

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracemill import fixtures as fx
 from tracemill.functions.arrays import as_text
-from tracemill.functions.distributions import log_sum_exp, probabilities, teacher_exponents
+from tracemill.functions.distributions import probabilities, teacher_exponents
 from tracemill.functions.text import Template, called_functions, normalise_arguments
 from tracemill.operators import batching, divergence, filters, profile, render, scores, tokens
 from tracemill.plans.evaluate import assign_epoch, evaluate

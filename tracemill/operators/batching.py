@@ -14,7 +14,12 @@ from tracemill.operators.ordering import hash_index, ordered_index
 
 
 
-def split_train_val(df: DataFrame, key: str = "trajectory_id", fraction: float = fixed.VALIDATION_FRACTION, seed: int = fixed.SEED) -> DataFrame:
+def split_train_val(
+    df: DataFrame,
+    key: str = "trajectory_id",
+    fraction: float = fixed.VALIDATION_FRACTION,
+    seed: int = fixed.SEED,
+) -> DataFrame:
     """Add ``split`` (train or val). Exactly max(1, int(n * fraction)) rows are val.
 
     Repeatable: the rows with the smallest md5(seed:key) are held out.

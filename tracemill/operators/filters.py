@@ -53,7 +53,9 @@ def min_chars(df: DataFrame, n_chars: str = "n_chars", minimum: int = fixed.MIN_
     return df.filter(F.col(n_chars) >= minimum)
 
 
-def min_tokens(df: DataFrame, n_tokens: str = "n_tokens", minimum: int = fixed.MIN_TOKENS, max_tokens: int | None = None) -> DataFrame:
+def min_tokens(
+    df: DataFrame, n_tokens: str = "n_tokens", minimum: int = fixed.MIN_TOKENS, max_tokens: int | None = None
+) -> DataFrame:
     """Keep rows with at least ``minimum`` tokens, counted after truncation."""
     counted = F.col(n_tokens)
     if max_tokens is not None:

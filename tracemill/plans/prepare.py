@@ -42,7 +42,11 @@ def tokenize_trajectories(
     parts = materialise(parts, "parts")
     tokens = explode_tokens(parts, template, offsets=False, max_tokens=max_tokens)
     samples = assemble_samples(encode(tokens, token_dictionary(tokens)), max_tokens)
-    names = kept.select("trajectory_id", "instance_id", "repo")
+    names = kept.select(
+        "trajectory_id",
+        F.coalesce("instance_id", F.lit("")).alias("instance_id"),
+        F.coalesce("repo", F.lit("")).alias("repo"),
+    )
     return samples.join(names, "trajectory_id").select(
         "input_ids", "attention_mask", "instance_id", "repo", "trajectory_id"
     )
