@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 #: Characters of a block, and bytes of a window besides the lookahead.
 BLOCK_CHARS = 1 << 16
 WINDOW_BYTES = 1 << 12
-#: Longer pieces go through the window; shorter ones are remembered, so many at most.
+#: Longer pieces go through the window; shorter ones are remembered, twice so many at most.
 SHORT_BYTES = 256
-CACHE_PIECES = 600_000
+CACHE_PIECES = 500_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -83,28 +83,41 @@ class Transducer:
         for pair in spec["model"]["merges"]:
             a, b = (bytes(letters[c] for c in x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
             merges.append((vocab[a], vocab[b], vocab[a + b]))
-        self._merge = {(a, b): (rank, new) for rank, (a, b, new) in enumerate(merges)}
-        self.lookahead = sufficient_lookahead(merges, {v: len(k) for k, v in self._bytes.items()})
+        self._shift = max(self._bytes).bit_length()
+        self._rank = {a << self._shift | b: rank for rank, (a, b, _) in enumerate(merges)}
+        self._new = [new for _, _, new in merges]
+        self.lookahead = sufficient_lookahead(merges, {k: len(v) for k, v in self._bytes.items()})
         self._pattern = regex.compile(pattern)
         self._cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self._cache: dict[str, str] = {}
+        self._older: dict[str, str] = {}
         self._most = cache
         # Ids are handled as decimal texts: a block's ids are then one join.
         self._text_bytes = {str(k): v for k, v in self._bytes.items()}
 
+    def merge_ranks(self) -> dict[bytes, int]:
+        """Tokens and their ids; the ids must rise with the merges' ranks."""
+        assert all(a < b for a, b in zip(self._new, self._new[1:]))
+        return {k: v for v, k in self._bytes.items() if v not in self.special.values()}
+
     def merge_short(self, data: bytes) -> list[int]:
-        """Ids of a short piece: the best pair is merged until none is left."""
-        ids = [self._first[b] for b in data]
-        rules = self._merge
-        while len(ids) > 1:
-            best, at = None, -1
-            for k in range(len(ids) - 1):
-                rule = rules.get((ids[k], ids[k + 1]))
-                if rule is not None and (best is None or rule[0] < best[0]):
-                    best, at = rule, k
-            if best is None:
+        """Ids of a short piece: the best pair, leftmost first, is merged until none is left."""
+        first, rank, new, shift = self._first, self._rank.get, self._new, self._shift
+        ids = [first[b] for b in data]
+        none = len(new)
+        ranks = [rank(a << shift | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            ids[at : at + 2] = [best[1]]
+            k = ranks.index(best)
+            merged = new[best]
+            ids[k : k + 2] = [merged]
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank(ids[k - 1] << shift | merged, none)
+            if k < len(ranks):
+                ranks[k] = rank(merged << shift | ids[k + 1], none)
         return ids
 
     def merge_window(self, data: bytes) -> list[int]:
@@ -112,22 +125,22 @@ class Transducer:
         ids = [self._first[b] for b in data]
         after = [*range(1, len(ids)), -1]
         before = [*range(-1, len(ids) - 1)]
-        rules = self._merge
+        ranks, new, shift = self._rank, self._new, self._shift
         heap = []
 
         def offer(k: int) -> None:
             n = after[k]
-            if n >= 0 and (rule := rules.get((ids[k], ids[n]))):
-                heapq.heappush(heap, (rule[0], k, ids[k], ids[n], rule[1]))
+            if n >= 0 and (rank := ranks.get(ids[k] << shift | ids[n])) is not None:
+                heapq.heappush(heap, (rank, k, ids[k], ids[n]))
 
         for k in range(len(ids) - 1):
             offer(k)
         while heap:
-            _, k, left, right, new = heapq.heappop(heap)
+            rank, k, left, right = heapq.heappop(heap)
             n = after[k]
             if ids[k] != left or n < 0 or ids[n] != right:
                 continue
-            ids[k], ids[n] = new, -1
+            ids[k], ids[n] = new[rank], -1
             after[k] = after[n]
             if after[n] >= 0:
                 before[after[n]] = k
@@ -155,18 +168,23 @@ class Transducer:
         yield self.merge_window(held)
 
     def _miss(self, piece: str) -> str:
+        if found := self._older.get(piece):
+            return self._remember(piece, found)
         data = piece.encode("utf-8", "surrogatepass")
         ids = self.merge_short(data) if len(data) <= 48 else self.merge_window(data)
         found = ",".join(map(str, ids))
-        if len(data) <= SHORT_BYTES:
-            if len(self._cache) >= self._most:
-                self._cache.clear()
-            self._cache[piece] = found
+        return self._remember(piece, found) if len(data) <= SHORT_BYTES else found
+
+    def _remember(self, piece: str, found: str) -> str:
+        """Two generations: when the younger is full it becomes the older one."""
+        if len(self._cache) >= self._most:
+            self._cache, self._older = {}, self._cache
+        self._cache[piece] = found
         return found
 
     def _pieces(self, pieces: list[str]) -> str:
-        cache = self._cache
-        return ",".join([cache.get(p) or self._miss(p) for p in pieces])
+        known, miss = self._cache.get, self._miss
+        return ",".join([known(p) or miss(p) for p in pieces])
 
     def _stretch(self, text: str) -> Iterator[str]:
         """Ids of a stretch without special tokens, block by block, as decimal text."""
