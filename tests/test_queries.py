@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as entry_points
 from oracle_check import compare, connect
+from tracemill.catalog.oracles import all_oracles
+from tracemill.catalog.queries import all_queries
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -16,10 +18,10 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(all_queries()) == set(all_oracles())
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_equals_sql(spark, db, name):
     result = entry_points.queries()[name](spark, SF_DIR)
     plan = result._jdf.queryExecution().executedPlan().toString()
