@@ -240,8 +240,9 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, roots: DataFrame) -> Da
     """Links (u, v) between classes whose whole sets are similar enough, as spanning forests."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     members = roots.select(F.col("node").alias("id"), "root")
+    # Members grow with the corpus: one plan at every size, never a broadcast that stops to fit.
     sets = materialise(
-        texts.join(members, "id").mapInPandas(_sets, "cluster long, id long, items binary"), "sets"
+        texts.join(members.hint("merge"), "id").mapInPandas(_sets, "cluster long, id long, items binary"), "sets"
     )
     ids = sets.select("cluster", "id").distinct()
     sizes = materialise(
