@@ -83,9 +83,9 @@ _GOLD = {
 }
 _ALL = {**_HEADERS, **_parts("allmsg"), **_tokens()}
 
-# Count-based scores over the gold tokens, one row per listed id.
+# Count-based scores over all conversations, one row per listed id.
 _COUNTS = {
-    **_GOLD,
+    **_ALL,
     "pairs": "SELECT prev, token, count(*) AS n_pair FROM tok WHERE pos > 0 GROUP BY 1, 2",
     "ranked": """
         SELECT prev, token, ln(n_pair / sum(n_pair) OVER (PARTITION BY prev)) AS val,
@@ -106,10 +106,10 @@ _COUNTS = {
     "sums": """
         SELECT trajectory_id, sum(kl * loss_mask) AS kl_sum, CAST(sum(loss_mask) AS BIGINT) AS n_masked
         FROM kl GROUP BY 1""",
-    "goldorder": """
+    "shuffled": """
         SELECT trajectory_id, CAST(row_number() OVER (ORDER BY md5('42:0:' || trajectory_id)) - 1 AS BIGINT) AS idx
-        FROM gold""",
-    "batched": "SELECT s.*, o.idx // 8 AS batch_id FROM sums s JOIN goldorder o USING (trajectory_id)",
+        FROM hdr""",
+    "batched": "SELECT s.*, o.idx // 8 AS batch_id FROM sums s JOIN shuffled o USING (trajectory_id)",
 }
 
 # ---- documents --------------------------------------------------------------------------
@@ -231,7 +231,7 @@ _WORD = "[^ \\t\\n]+|[ \\t\\n]+"
 
 def _prompt(limit: str) -> str:
     return _with(
-        _GOLD,
+        _ALL,
         f"""SELECT trajectory_id,
                array_to_string(list_transform(range(64), lambda i: CASE WHEN i < least({limit}, 64, len(ids)) THEN ids[i + 1] ELSE -1 END), ',') AS prompt_ids,
                array_to_string(list_transform(range(64), lambda i: CASE WHEN i < least({limit}, 64, len(ids)) THEN 1 ELSE 0 END), '') AS prompt_mask
@@ -252,6 +252,22 @@ def _hash_order(source: str, seed: str) -> str:
     return f"CAST(row_number() OVER (ORDER BY md5('{seed}:' || trajectory_id)) - 1 AS BIGINT) AS idx FROM {source}"
 
 
+def _sides(epoch: str) -> dict[str, str]:
+    """Split and batches: training is shuffled by epoch, validation keeps its order."""
+    return {
+        "ordered": f"SELECT trajectory_id, {_hash_order('hdr', '42')}",
+        "sides": """
+            SELECT trajectory_id, CASE WHEN idx < greatest(1, floor((SELECT count(*) FROM hdr) * 0.05::DOUBLE))
+                                       THEN 'val' ELSE 'train' END AS split FROM ordered""",
+        "rowed": f"""
+            SELECT *, row_number() OVER (PARTITION BY split ORDER BY
+                          CASE WHEN split = 'train' THEN md5('42:{epoch}:' || trajectory_id)
+                               ELSE md5('42:' || trajectory_id) END) - 1 AS i FROM sides""",
+        "numbered": """
+            SELECT trajectory_id, split, CAST(i // 8 AS BIGINT) AS batch_id, CAST(i % 8 AS INTEGER) AS slot FROM rowed""",
+    }
+
+
 def all_oracles() -> dict[str, str]:
     doc_headers = """SELECT trajectory_id, instance_id, repo, resolved, exit_status, CAST(count(*) AS INTEGER) AS n_messages
                      FROM docmsg"""
@@ -272,14 +288,14 @@ def all_oracles() -> dict[str, str]:
         "s2_load_gold": _with(
             _DOCS,
             f"""SELECT trajectory_id, msg_idx, role, name, CAST(length(content) AS INTEGER) AS n_chars,
-                       CASE WHEN calling THEN 2 END AS n_calls
+                       CASE WHEN calling THEN 3 END AS n_calls
                 FROM docmsg WHERE {_GOLDDOC}""",
         ),
         "s3_write_gold": _with(_DOCS, f"{doc_headers} WHERE {_GOLDDOC} GROUP BY ALL"),
         "s4_write_tokenized": samples,
         "s5_read_tokenized": _with(_TOOLTOKENS, "SELECT trajectory_id, n_tokens FROM sample"),
         "s6_write_cache": _with(
-            _GOLD,
+            _ALL,
             """SELECT trajectory_id, CAST(n_tokens AS INTEGER) AS seq_len, 'logprobs' AS format,
                       CAST(prompt_boundary AS INTEGER) AS prompt_boundary, true AS has_loss_mask,
                       'counts' AS run_id FROM btok""",
@@ -310,8 +326,70 @@ def all_oracles() -> dict[str, str]:
                UNION ALL SELECT 'tokenized', count(*) FROM sample
                UNION ALL SELECT 'cache', count(*) FROM gold""",
         ),
+        "s7_two_runs": _with(
+            _ALL, "SELECT trajectory_id, count(*) AS n_positions, 'counts' AS run_id FROM enc GROUP BY 1"
+        ),
         "s11_cache_summary": _with(
-            _HEADERS, "SELECT count(*) AS n_trajectories, 0::BIGINT AS n_without_mask, true AS has_files, true AS has_bytes FROM gold"
+            _HEADERS,
+            """SELECT count(*) AS n_trajectories, count(*) FILTER (WHERE CAST(trajectory_id AS BIGINT) % 2 = 1) AS n_without_mask,
+                      count(DISTINCT CAST(trajectory_id AS BIGINT) % 2) AS n_files, true AS has_bytes FROM hdr""",
+        ),
+        "s1_broken_lines": """
+            SELECT 'read' AS kind, count(*) FILTER (WHERE doc_id % 7 <> 0) AS n FROM documents
+            UNION ALL SELECT 'broken', count(*) FILTER (WHERE doc_id % 7 = 0) FROM documents""",
+        "s4_user_tokenizer": _with(
+            {
+                **_DOCS,
+                **_parts("toolmsg"),
+                "txt": _tokens()["txt"],
+                "ws": f"SELECT trajectory_id, regexp_extract_all(text, '{_WORD}')[1:8192] AS ws FROM txt",
+            },
+            """SELECT trajectory_id, CAST(len(ws) AS INTEGER) AS n_tokens,
+                      array_to_string(list_transform(ws, lambda w: length(w)), ',') AS input_ids
+               FROM ws WHERE len(ws) >= 100""",
+        ),
+        "s13_malformed_scores": _with(
+            _ALL,
+            """SELECT trajectory_id, CASE WHEN n_tokens % 5 = 4 THEN 'ok' ELSE 'error' END AS status,
+                      CASE WHEN n_tokens % 5 = 4 THEN n_tokens ELSE 0 END AS n_positions FROM btok""",
+        ),
+        "t1_tokenize_documents": _with(
+            {**_DOCPARTS, "txt": _tokens()["txt"], "toks": _tokens()["toks"], "tok0": _tokens()["tok0"]},
+            """SELECT trajectory_id, count(*) AS n_tokens, CAST(sum(length(token)) AS BIGINT) AS n_chars,
+                      count(DISTINCT token) AS n_distinct FROM tok0 GROUP BY 1""",
+        ),
+        "t7_truncate_documents": _with(
+            {**_DOCPARTS, "txt": _tokens()["txt"], "toks": _tokens()["toks"], "tok0": _tokens()["tok0"]},
+            """SELECT trajectory_id, count(*) AS n_tokens, CAST(sum((pos + 1) * length(token)) AS BIGINT) AS weighed
+               FROM tok0 WHERE pos < 512 GROUP BY 1""",
+        ),
+        "t2_unknown_token": _with(
+            {
+                **_ALL,
+                "golddict": """
+                    SELECT token, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS token_id
+                    FROM tok WHERE trajectory_id IN (SELECT trajectory_id FROM gold) GROUP BY token""",
+                "known": """
+                    SELECT t.trajectory_id, t.pos, coalesce(d.token_id, 999999) AS token_id
+                    FROM tok t LEFT JOIN golddict d USING (token)""",
+            },
+            """SELECT trajectory_id, CAST(count(*) AS INTEGER) AS n_tokens,
+                      CAST(count(*) FILTER (WHERE token_id = 999999) AS INTEGER) AS n_unknown,
+                      string_agg(token_id, ',' ORDER BY pos) AS input_ids FROM known GROUP BY 1""",
+        ),
+        "k8_gather_wide": _with(
+            _DENSE,
+            """SELECT v.trajectory_id, v.pos, 0 AS n_missing, round(sum(s.z / 2 - l.lse), 5) AS logp_sum,
+                      round(max(CASE WHEN s.id = b.id THEN s.z / 2 - l.lse END), 6) AS logp_best
+               FROM vec v JOIN sz s USING (vec_id) JOIN slse l USING (vec_id)
+               JOIN (SELECT vec_id, id FROM top WHERE rank = 1) b USING (vec_id) GROUP BY 1, 2""",
+        ),
+        "a3_accumulated_loss": _with(
+            _STEPS,
+            """SELECT run_id, epoch, step, loss, round(avg_loss, 6) AS avg_loss
+               FROM (SELECT *, avg(loss) OVER (PARTITION BY run_id, epoch ORDER BY step
+                                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS avg_loss FROM steps)
+               WHERE (step + 1) % 3 = 0 AND (step + 1) % 2 = 0""",
         ),
         "s13_quarantine": _with(
             _GOLD,
@@ -403,10 +481,10 @@ def all_oracles() -> dict[str, str]:
                WHERE length(t.text) >= 100 GROUP BY 1""",
         ),
         "t1_tokenize": _with(
-            _GOLD, "SELECT trajectory_id, pos, token, tok_start, tok_start + length(token) AS tok_end FROM tok"
+            _ALL, "SELECT trajectory_id, pos, token, tok_start, tok_start + length(token) AS tok_end FROM tok"
         ),
-        "t2_dictionary": _with(_GOLD, "SELECT token, n, token_id FROM dict"),
-        "t3_loss_mask": _with(_GOLD, "SELECT trajectory_id, pos, loss_mask FROM masked"),
+        "t2_dictionary": _with(_ALL, "SELECT token, n, token_id FROM dict"),
+        "t3_loss_mask": _with(_ALL, "SELECT trajectory_id, pos, loss_mask FROM masked"),
         "t3_overlap_mask": _with(
             {
                 **_DOCPARTS,
@@ -436,25 +514,25 @@ def all_oracles() -> dict[str, str]:
         ),
         "t4_prompt_boundary_token": _with(_ALL, "SELECT trajectory_id, prompt_boundary, n_tokens FROM btok"),
         "t5_valid_mask": _with(
-            _GOLD,
+            _ALL,
             """SELECT trajectory_id, pos, CASE WHEN pos > 0 THEN loss_mask ELSE 0 END AS loss_mask,
                       CAST(pos > 0 AS INTEGER) AS is_valid FROM masked""",
         ),
         "t6_align_mask": _with(
-            _GOLD,
+            _ALL,
             """SELECT trajectory_id, CAST(count(*) AS INTEGER) AS n_tokens, repeat('1', count(*)) AS absent,
                       string_agg(loss_mask, '' ORDER BY pos) AS longer,
                       string_agg(CASE WHEN pos < 100 THEN loss_mask ELSE 0 END, '' ORDER BY pos) AS shorter
                FROM masked WHERE pos < 512 GROUP BY 1""",
         ),
         "t7_truncate": _with(
-            _GOLD,
+            _ALL,
             """SELECT trajectory_id, count(*) AS n_tokens, count(*) FILTER (WHERE pos > 0) AS n_scored,
                       CAST(sum((pos + 1) * CAST(token_id AS BIGINT)) AS BIGINT) AS id_sum
                FROM enc WHERE pos < 512 GROUP BY 1""",
         ),
         "t8_attention_mask": _with(
-            _GOLD, "SELECT trajectory_id, repeat('1', least(n_tokens, 8192)) AS mask FROM btok"
+            _ALL, "SELECT trajectory_id, repeat('1', least(n_tokens, 8192)) AS mask FROM btok"
         ),
         "t9_prompt_window": _prompt("prompt_boundary"),
         "t10_prompt_first_n": _prompt("64"),
@@ -577,15 +655,15 @@ def all_oracles() -> dict[str, str]:
         ),
         "b5_pad_batch": _with(
             {
-                **_GOLD,
-                "goldorder": _COUNTS["goldorder"],
+                **_ALL,
+                "shuffled": _COUNTS["shuffled"],
                 "arrays": """
                     SELECT trajectory_id, list(token_id ORDER BY pos) AS ids, list(loss_mask ORDER BY pos) AS ms
                     FROM enc GROUP BY 1""",
                 "batches": """
                     SELECT a.*, o.idx // 8 AS batch_id, CAST(o.idx % 8 AS INTEGER) AS slot,
                            least(1024, max(len(ids)) OVER (PARTITION BY o.idx // 8)) AS n
-                    FROM arrays a JOIN goldorder o USING (trajectory_id)""",
+                    FROM arrays a JOIN shuffled o USING (trajectory_id)""",
             },
             """SELECT trajectory_id, batch_id, slot, CAST(n AS INTEGER) AS batch_max_len,
                       array_to_string(list_transform(range(n), lambda i: coalesce(ids[i + 1], -1)), ',') AS input_ids,
@@ -604,7 +682,7 @@ def all_oracles() -> dict[str, str]:
             {
                 **_DENSE,
                 "tagged": """
-                    SELECT trajectory_id, CASE WHEN n_scored < 44 THEN 'logits' ELSE 'logprobs' END AS format,
+                    SELECT trajectory_id, coalesce(CASE WHEN n_scored < 44 THEN 'logits' WHEN n_scored % 2 = 0 THEN 'logprobs' END, 'logprobs') AS format,
                            CAST((row_number() OVER (ORDER BY md5('42:0:' || trajectory_id)) - 1) // 3 AS BIGINT) AS batch_id
                     FROM scored""",
             },
@@ -649,23 +727,67 @@ def all_oracles() -> dict[str, str]:
                       CAST(sum(CASE WHEN e.pos > 0 THEN e.loss_mask ELSE 0 END) AS BIGINT) AS n_masked,
                       CAST(count(p.top_ids) AS BIGINT) AS n_valid, CAST(sum(p.best_id) AS BIGINT) AS best_id_sum,
                       round(sum(p.val_sum), 4) AS val_sum
-               FROM enc e JOIN btok b USING (trajectory_id) LEFT JOIN echopos p USING (trajectory_id, pos)
-               WHERE b.n_tokens <= 1200 GROUP BY 1""",
+               FROM enc e LEFT JOIN echopos p USING (trajectory_id, pos) GROUP BY 1""",
+        ),
+        "build_cache_user_tokenizer": _with(
+            {
+                **{k: v for k, v in _ALL.items() if k not in ("dict", "enc", "masked", "tok", "tok0", "toks", "btok")},
+                "w0": f"""
+                    SELECT trajectory_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos
+                    FROM (SELECT trajectory_id, regexp_extract_all(text, '{_WORD}') AS ws FROM txt WHERE length(text) >= 100)""",
+                "w": """
+                    SELECT *, length(w) AS token_id, coalesce(sum(length(w)) OVER (PARTITION BY trajectory_id ORDER BY pos
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM w0""",
+                "enc": """
+                    SELECT w.*, b.b, CAST(EXISTS (SELECT 1 FROM located a WHERE a.trajectory_id = w.trajectory_id
+                           AND a.role = 'assistant' AND w.s < a.char_end AND w.s + length(w.w) > a.char_start) AS INTEGER) AS loss_mask
+                    FROM w JOIN bound b USING (trajectory_id)""",
+                **{k: _ECHO[k] for k in ("echo", "echo2", "echopos")},
+            },
+            """SELECT e.trajectory_id, count(*) AS n_tokens,
+                      CAST(sum(CASE WHEN e.pos > 0 THEN e.loss_mask ELSE 0 END) AS BIGINT) AS n_masked,
+                      CAST(count(p.top_ids) AS BIGINT) AS n_valid, CAST(sum(p.best_id) AS BIGINT) AS best_id_sum,
+                      round(sum(p.val_sum), 4) AS val_sum,
+                      CAST(coalesce(min(CASE WHEN e.s >= e.b THEN e.pos END), count(*)) AS INTEGER) AS prompt_boundary
+               FROM enc e LEFT JOIN echopos p USING (trajectory_id, pos) GROUP BY 1""",
         ),
-        "evaluate_epoch": _with(
+        "training_batches": _with(
             {
                 **_COUNTS,
-                "ordered": f"SELECT trajectory_id, {_hash_order('gold', '42')}",
-                "sides": """
-                    SELECT trajectory_id, CASE WHEN idx < greatest(1, floor((SELECT count(*) FROM gold) * 0.05::DOUBLE))
-                                               THEN 'val' ELSE 'train' END AS split FROM ordered""",
-                "numbered": """
-                    SELECT *, (row_number() OVER (PARTITION BY split ORDER BY md5('42:0:' || trajectory_id)) - 1) // 8 AS batch_id
-                    FROM sides""",
-                "losses": """
-                    SELECT split, n.batch_id, sum(kl_sum) / (sum(n_masked) + 1e-8) AS loss
-                    FROM sums JOIN numbered n USING (trajectory_id) GROUP BY 1, 2""",
+                **_sides("0"),
+                "arrays": """
+                    SELECT trajectory_id, list(token_id ORDER BY pos) AS ids,
+                           list(CASE WHEN pos > 0 THEN loss_mask ELSE 0 END ORDER BY pos) AS ms
+                    FROM enc WHERE pos < 512 GROUP BY 1""",
+                "vals": """
+                    SELECT trajectory_id, sum(CAST(CAST(val AS FLOAT) AS DOUBLE)) AS val_sum
+                    FROM teacher WHERE pos < 512 GROUP BY 1""",
+                "slotted": """
+                    SELECT a.*, o.split, o.batch_id, o.slot, max(len(ids)) OVER (PARTITION BY o.split, o.batch_id) AS n
+                    FROM arrays a JOIN numbered o USING (trajectory_id)""",
             },
-            "SELECT split, round(avg(loss), 6) AS avg_loss, count(*) AS n_batches FROM losses GROUP BY 1",
+            """SELECT p.trajectory_id, p.split, p.batch_id, p.slot, CAST(n AS INTEGER) AS batch_max_len,
+                      CAST(len(ids) AS INTEGER) AS n_tokens,
+                      array_to_string(list_transform(range(n), lambda i: coalesce(ids[i + 1], -1)), ',') AS input_ids,
+                      array_to_string(list_transform(range(n), lambda i: coalesce(ms[i + 1], 0)), '') AS loss_mask,
+                      array_to_string(list_transform(range(64), lambda i:
+                          CASE WHEN i < least(b.prompt_boundary, 64, len(ids)) THEN ids[i + 1] ELSE -1 END), ',') AS prompt_ids,
+                      CAST(n AS INTEGER) AS n_rows, CAST(n * 8 AS INTEGER) AS n_scores, round(coalesce(val_sum, 0), 3) AS val_sum
+               FROM slotted p JOIN btok b USING (trajectory_id) LEFT JOIN vals USING (trajectory_id)""",
+        ),
+        "evaluate_epoch": " UNION ALL ".join(
+            "SELECT * FROM ("
+            + _with(
+                {
+                    **_COUNTS,
+                    **_sides(epoch),
+                    "losses": """
+                        SELECT split, n.batch_id, sum(kl_sum) / (sum(n_masked) + 1e-8) AS loss
+                        FROM sums JOIN numbered n USING (trajectory_id) GROUP BY 1, 2""",
+                },
+                f"SELECT split, {epoch} AS epoch, round(avg(loss), 6) AS avg_loss, count(*) AS n_batches FROM losses GROUP BY 1",
+            )
+            + ")"
+            for epoch in ("0", "1")
         ),
     }

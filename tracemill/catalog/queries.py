@@ -12,6 +12,7 @@ from tracemill.functions.arrays import as_text
 from tracemill.functions.distributions import probabilities, teacher_exponents
 from tracemill.functions.text import Template, called_functions, normalise_arguments
 from tracemill.operators import batching, divergence, filters, profile, render, scores, tokens
+from tracemill.plans import batches
 from tracemill.plans.evaluate import assign_epoch, evaluate
 from tracemill.plans.prepare import prepare_gold, tokenize_trajectories
 from tracemill.plans.score import build_cache, build_samples
@@ -43,9 +44,9 @@ def _nested_messages(spark, sf_dir):
     return render.explode_messages(fx.trajectories(spark, sf_dir))
 
 
-def _gold_samples(spark, sf_dir, max_tokens=8192):
-    """Samples of the gold conversations with ids from their own dictionary."""
-    parts = materialise(fx.gold_parts(spark, sf_dir), "gold-parts")
+def _samples(spark, sf_dir, max_tokens=8192):
+    """Samples of all conversations with ids from their own dictionary."""
+    parts = materialise(render.locate_parts(fx.messages(spark, sf_dir)), "parts")
     rows = tokens.explode_tokens(parts, offsets=False)
     samples = tokens.assemble_samples(tokens.encode(rows, tokens.token_dictionary(rows)), max_tokens)
     bounds = render.prompt_boundary(parts).select("trajectory_id", "prompt_boundary")
@@ -56,6 +57,10 @@ def _gold_dictionary(spark, sf_dir):
     return tokens.token_dictionary(fx.gold_tokens(spark, sf_dir, offsets=False))
 
 
+def _dictionary(spark, sf_dir):
+    return tokens.token_dictionary(fx.conversation_tokens(spark, sf_dir, offsets=False))
+
+
 def _gathered(spark, sf_dir):
     return divergence.gather_student(*fx.count_scores(spark, sf_dir, K))
 
@@ -70,8 +75,8 @@ def _dense_kl(spark, sf_dir, temperature=2.0):
     return divergence.position_kl(divergence.gather_dense(top, student, temperature), temperature)
 
 
-def _gold_ids(spark, sf_dir):
-    return filters.gold(fx.headers(spark, sf_dir)).select("trajectory_id")
+def _ids(spark, sf_dir):
+    return fx.headers(spark, sf_dir).select("trajectory_id")
 
 
 # ---- sources and sinks ------------------------------------------------------------------
@@ -96,6 +101,19 @@ def s1_load_trajectories(spark, sf_dir):
     )
 
 
+@query
+def s1_broken_lines(spark, sf_dir):
+    """Every seventh line is cut in half."""
+    path = fresh_path(spark, "raw")
+    rows = fx.trajectories(spark, sf_dir).select("trajectory_id", F.to_json(F.struct("*")).alias("line"))
+    cut = F.when(F.col("trajectory_id").cast("bigint") % 7 == 0, F.expr("substring(line, 1, length(line) div 2)"))
+    rows.select(F.coalesce(cut, F.col("line")).alias("value")).write.text(path)
+    loaded, broken = stored.load_json_lines(spark, path)
+    return loaded.agg(F.count("trajectory_id").alias("n")).withColumn("kind", F.lit("read")).unionByName(
+        broken.agg(F.count("line").alias("n")).withColumn("kind", F.lit("broken"))
+    )
+
+
 @query
 def s2_load_gold(spark, sf_dir):
     path = fresh_path(spark, "gold")
@@ -142,16 +160,31 @@ def s4_write_tokenized(spark, sf_dir):
     )
 
 
+@query
+def s4_user_tokenizer(spark, sf_dir):
+    """All documents through a tokenizer of the user's."""
+    path = fresh_path(spark, "tokenized")
+    samples = tokenize_trajectories(
+        fx.trajectories(spark, sf_dir), only_gold=False, make_encoder=fx.word_encoder()
+    )
+    tokenized.write_tokenized(samples, path)
+    return tokenized.read_tokenized(spark, path).select(
+        "trajectory_id", F.size("input_ids").alias("n_tokens"), as_text(F.col("input_ids")).alias("input_ids")
+    )
+
+
 @query
 def s5_read_tokenized(spark, sf_dir):
     return _stored_samples(spark, sf_dir).select("trajectory_id", F.size("attention_mask").alias("n_tokens"))
 
 
-def _counted_cache(spark, sf_dir):
+def _counted_cache(spark, sf_dir, runs=("counts",)):
     path = fresh_path(spark, "cache")
     teacher, _ = fx.count_scores(spark, sf_dir, K)
-    bounds = render.prompt_boundary(fx.gold_parts(spark, sf_dir)).select("trajectory_id", "prompt_boundary")
-    score_cache.write_cache(tokens.valid_mask(teacher).join(bounds, "trajectory_id"), path, "counts")
+    bounds = render.prompt_boundary(render.locate_parts(fx.messages(spark, sf_dir))).select("trajectory_id", "prompt_boundary")
+    rows = tokens.valid_mask(teacher).join(bounds, "trajectory_id")
+    for run_id in runs:
+        score_cache.write_cache(rows, path, run_id)
     return path
 
 
@@ -174,6 +207,15 @@ def s7_read_cache(spark, sf_dir):
     )
 
 
+@query
+def s7_two_runs(spark, sf_dir):
+    """Every trajectory is cached by two runs; one of them counts."""
+    path = _counted_cache(spark, sf_dir, ("counts", "later"))
+    rows = score_cache.read_cache(spark, path).groupBy("trajectory_id").agg(F.count("*").alias("n_positions"))
+    runs = score_cache.read_headers(spark, path).select("trajectory_id", "run_id")
+    return rows.join(runs, "trajectory_id")
+
+
 @query
 def s8_npz_import(spark, sf_dir):
     return npz.decode_npz(fx.archives(spark, sf_dir)).select(
@@ -233,10 +275,16 @@ def s10_source_choice(spark, sf_dir):
 
 @query
 def s11_cache_summary(spark, sf_dir):
-    summary = score_cache.cache_summary(spark, _counted_cache(spark, sf_dir))
-    return summary.select(
-        "n_trajectories", "n_without_mask", (F.col("n_files") > 0).alias("has_files"), (F.col("total_gb") > 0).alias("has_bytes")
-    )
+    """Two formats, so two files; beside them the file of a run that died before its headers."""
+    path = fresh_path(spark, "cache")
+    teacher, _ = fx.count_scores(spark, sf_dir, K)
+    even = F.pmod(F.col("trajectory_id").cast("bigint"), F.lit(2)) == 0
+    rows = tokens.valid_mask(teacher).withColumn("format", F.when(even, "logits"))
+    rows = rows.withColumn("loss_mask", F.when(even, F.col("loss_mask"))).coalesce(1)
+    score_cache.write_cache(rows, path, "counts")
+    rows.write.partitionBy("format").parquet(f"{path}/positions/run_id=dead")
+    summary = score_cache.cache_summary(spark, path)
+    return summary.select("n_trajectories", "n_without_mask", "n_files", (F.col("total_gb") > 0).alias("has_bytes"))
 
 
 @query
@@ -250,6 +298,14 @@ def s13_quarantine(spark, sf_dir):
     ).unionByName(failed.withColumn("n_positions", F.lit(0).cast("bigint")))
 
 
+@query
+def s13_malformed_scores(spark, sf_dir):
+    """Answers that are missing, NULL, too short or too long; every sequence is accounted for."""
+    samples = build_samples(fx.messages(spark, sf_dir), _dictionary(spark, sf_dir))
+    scored = materialise(scores.score_with(samples, fx.careless_scorer()), "scored")
+    return scored.groupBy("trajectory_id", "status").agg(F.count("pos").alias("n_positions"))
+
+
 # ---- filters ----------------------------------------------------------------------------
 
 
@@ -393,17 +449,38 @@ def rendered_gold(spark, sf_dir):
 
 @query
 def t1_tokenize(spark, sf_dir):
-    return fx.gold_tokens(spark, sf_dir).select("trajectory_id", "pos", "token", "tok_start", "tok_end")
+    return fx.conversation_tokens(spark, sf_dir).select("trajectory_id", "pos", "token", "tok_start", "tok_end")
+
+
+@query
+def t1_tokenize_documents(spark, sf_dir):
+    rows = tokens.explode_tokens(render.locate_parts(_nested_messages(spark, sf_dir)))
+    return rows.groupBy("trajectory_id").agg(
+        F.count("*").alias("n_tokens"), F.max("tok_end").alias("n_chars"), F.count_distinct("token").alias("n_distinct")
+    )
 
 
 @query
 def t2_dictionary(spark, sf_dir):
-    return _gold_dictionary(spark, sf_dir)
+    return _dictionary(spark, sf_dir)
+
+
+@query
+def t2_unknown_token(spark, sf_dir):
+    """Ids from the gold conversations' dictionary for all conversations."""
+    rows = fx.conversation_tokens(spark, sf_dir, offsets=False)
+    samples = tokens.assemble_samples(tokens.encode(rows, _gold_dictionary(spark, sf_dir), unk_id=999_999))
+    return samples.select(
+        "trajectory_id",
+        F.size("input_ids").alias("n_tokens"),
+        F.size(F.filter("input_ids", lambda i: i == 999_999)).alias("n_unknown"),
+        as_text(F.col("input_ids")).alias("input_ids"),
+    )
 
 
 @query
 def t3_loss_mask(spark, sf_dir):
-    return fx.gold_tokens(spark, sf_dir, offsets=False).select("trajectory_id", "pos", "loss_mask")
+    return fx.conversation_tokens(spark, sf_dir, offsets=False).select("trajectory_id", "pos", "loss_mask")
 
 
 @query
@@ -411,13 +488,12 @@ def t3_overlap_mask(spark, sf_dir):
     """Mask and boundary for a tokenizer whose tokens reach over the edges of parts."""
     rendered = render.render_trajectories(filters.with_messages(fx.trajectories(spark, sf_dir)))
     texts = rendered.select("trajectory_id", "text", "assistant_ranges", "prompt_boundary_char")
-    rows = tokens.tokenize_with(texts, fx.word_encoder())
-    mask = tokens.overlap_mask(F.col("tok_starts"), F.col("tok_ends"), F.col("assistant_ranges"))
+    rows = tokens.tokenize_with(texts, fx.word_encoder(), ranges="assistant_ranges")
     boundary = tokens.boundary_token(F.col("tok_starts"), F.col("prompt_boundary_char"))
     return rows.select(
         "trajectory_id",
         F.size("input_ids").alias("n_tokens"),
-        F.array_join(mask.cast("array<string>"), "").alias("loss_mask"),
+        F.array_join(F.col("loss_mask").cast("array<string>"), "").alias("loss_mask"),
         boundary.alias("prompt_boundary"),
     )
 
@@ -438,7 +514,7 @@ def t5_valid_mask(spark, sf_dir):
 @query
 def t6_align_mask(spark, sf_dir):
     """A stored mask that is absent, longer, or shorter than 512 ids."""
-    samples = _gold_samples(spark, sf_dir).withColumn("ids", tokens.truncate(F.col("input_ids"), 512))
+    samples = _samples(spark, sf_dir).withColumn("ids", tokens.truncate(F.col("input_ids"), 512))
     length = F.size("ids")
 
     def aligned(mask):
@@ -463,9 +539,17 @@ def t7_truncate(spark, sf_dir):
     )
 
 
+@query
+def t7_truncate_documents(spark, sf_dir):
+    rows = tokens.explode_tokens(render.locate_parts(_nested_messages(spark, sf_dir)), offsets=False, max_tokens=512)
+    return rows.groupBy("trajectory_id").agg(
+        F.count("*").alias("n_tokens"), F.sum((F.col("pos") + 1) * F.length("token")).cast("bigint").alias("weighed")
+    )
+
+
 @query
 def t8_attention_mask(spark, sf_dir):
-    samples = _gold_samples(spark, sf_dir)
+    samples = _samples(spark, sf_dir)
     return samples.select("trajectory_id", F.array_join(F.col("attention_mask").cast("array<string>"), "").alias("mask"))
 
 
@@ -480,12 +564,12 @@ def _windows(samples, boundary):
 
 @query
 def t9_prompt_window(spark, sf_dir):
-    return _windows(_gold_samples(spark, sf_dir), F.col("prompt_boundary"))
+    return _windows(_samples(spark, sf_dir), F.col("prompt_boundary"))
 
 
 @query
 def t10_prompt_first_n(spark, sf_dir):
-    return _windows(_gold_samples(spark, sf_dir), None)
+    return _windows(_samples(spark, sf_dir), None)
 
 
 # ---- scores and divergence --------------------------------------------------------------
@@ -594,6 +678,21 @@ def k8_gather_student(spark, sf_dir):
     )
 
 
+@query
+def k8_gather_wide(spark, sf_dir):
+    """64 scores a position, listed by the student in another order."""
+    teacher, student = fx.dense_scores(spark, sf_dir)
+    top = divergence.dense_teacher_positions(teacher, 64)
+    wide = divergence.gather_student(top, divergence.student_log_softmax(student, 2.0))
+    return wide.select(
+        "trajectory_id",
+        "pos",
+        "n_missing",
+        F.round(_total("student_logp"), 5).alias("logp_sum"),
+        F.round(F.element_at("student_logp", 1), 6).alias("logp_best"),
+    )
+
+
 @query
 def k9_position_kl(spark, sf_dir):
     return _dense_kl(spark, sf_dir).select("trajectory_id", "pos", F.round("kl", 6).alias("kl"))
@@ -626,9 +725,9 @@ def k13_sample_kl(spark, sf_dir):
 
 
 def _batched_sums(spark, sf_dir):
-    order = batching.shuffled_index(_gold_ids(spark, sf_dir), 0)
-    batches = batching.assign_batches(order, 8).select("trajectory_id", "batch_id")
-    return divergence.sample_sums(_kl(spark, sf_dir)).join(batches, "trajectory_id")
+    order = batching.shuffled_index(_ids(spark, sf_dir), 0)
+    placed = batching.assign_batches(order, 8).select("trajectory_id", "batch_id")
+    return divergence.sample_sums(_kl(spark, sf_dir)).join(placed, "trajectory_id")
 
 
 @query
@@ -658,8 +757,8 @@ def k16_mask_choice(spark, sf_dir):
 
 @query
 def k17_evaluation_mean(spark, sf_dir):
-    batches = divergence.batch_loss(_batched_sums(spark, sf_dir))
-    return divergence.mean_of_batches(batches).select(F.round("avg_loss", 6).alias("avg_loss"), "n_batches")
+    losses = divergence.batch_loss(_batched_sums(spark, sf_dir))
+    return divergence.mean_of_batches(losses).select(F.round("avg_loss", 6).alias("avg_loss"), "n_batches")
 
 
 # ---- split, batches, padding ------------------------------------------------------------
@@ -697,8 +796,8 @@ def b4_assign_batches(spark, sf_dir):
 
 @query
 def b5_pad_batch(spark, sf_dir):
-    samples = _gold_samples(spark, sf_dir)
-    order = batching.assign_batches(batching.shuffled_index(_gold_ids(spark, sf_dir), 0), 8)
+    samples = _samples(spark, sf_dir)
+    order = batching.assign_batches(batching.shuffled_index(_ids(spark, sf_dir), 0), 8)
     padded = batching.pad_batch(
         samples.join(order.drop("idx"), "trajectory_id"), pad_id=-1, max_length=1024
     )
@@ -757,9 +856,11 @@ def b6_pad_scores(spark, sf_dir):
 
 @query
 def b7_batch_metadata(spark, sf_dir):
-    """Batches of three; a trajectory with few scored positions counts as a raw-logits cache."""
+    """Batches of three; a trajectory with few scored positions counts as a raw-logits cache, and
+    some of the others carry no format.
+    """
     samples = _score_samples(spark, sf_dir).withColumn(
-        "format", F.when(F.col("n_scored") < 44, "logits").otherwise("logprobs")
+        "format", F.when(F.col("n_scored") < 44, "logits").when(F.col("n_scored") % 2 == 0, "logprobs")
     )
     order = batching.assign_batches(batching.shuffled_index(samples.select("trajectory_id"), 0), 3)
     return batching.batch_metadata(samples.join(order, "trajectory_id"))
@@ -789,6 +890,13 @@ def a3_running_loss(spark, sf_dir):
     )
 
 
+@query
+def a3_accumulated_loss(spark, sf_dir):
+    return profile.running_loss(fx.training_steps(spark, sf_dir), 3, accumulation_steps=2).withColumn(
+        "avg_loss", F.round("avg_loss", 6)
+    )
+
+
 @query
 def a4_new_best(spark, sf_dir):
     return profile.new_best(fx.epoch_losses(spark, sf_dir))
@@ -810,18 +918,7 @@ def prepare_gold_set(spark, sf_dir):
     )
 
 
-@query
-def build_score_cache(spark, sf_dir):
-    """Skip, render, tokenize, score, mask, write; then read the cache back."""
-    path = fresh_path(spark, "cache")
-    build_cache(
-        fx.gold_messages(spark, sf_dir),
-        _gold_dictionary(spark, sf_dir),
-        path,
-        fx.echo_scorer(longest=1200),
-        top_k=2,
-        max_tokens=2048,
-    )
+def _cache_sums(spark, path):
     return score_cache.read_cache(spark, path).groupBy("trajectory_id").agg(
         F.count("*").alias("n_tokens"),
         F.sum("loss_mask").alias("n_masked"),
@@ -831,9 +928,66 @@ def build_score_cache(spark, sf_dir):
     )
 
 
+@query
+def build_score_cache(spark, sf_dir):
+    """Skip, render, tokenize, score, mask, write; then read the cache back."""
+    path = fresh_path(spark, "cache")
+    failed = build_cache(
+        fx.gold_messages(spark, sf_dir), _gold_dictionary(spark, sf_dir), path, fx.echo_scorer(), top_k=2
+    )
+    if not failed.isEmpty():
+        raise RuntimeError("the scorer refused a trajectory")
+    return _cache_sums(spark, path)
+
+
+@query
+def build_cache_user_tokenizer(spark, sf_dir):
+    """The same over all conversations with a tokenizer of the user's."""
+    path = fresh_path(spark, "cache")
+    build_cache(
+        fx.messages(spark, sf_dir), None, path, fx.echo_scorer(), top_k=2, make_encoder=fx.word_encoder()
+    )
+    return _cache_sums(spark, path).join(
+        score_cache.read_headers(spark, path).select("trajectory_id", "prompt_boundary"), "trajectory_id"
+    )
+
+
+@query
+def training_batches(spark, sf_dir):
+    """The stored cache as padded batches with prompt windows and teacher scores."""
+    path = _counted_cache(spark, sf_dir)
+    padded = batches.training_batches(
+        score_cache.read_cache(spark, path),
+        score_cache.read_headers(spark, path),
+        assign_epoch(_ids(spark, sf_dir), 0, 8),
+        K,
+        max_tokens=512,
+        max_prompt=64,
+        pad_id=-1,
+    )
+    return padded.select(
+        "trajectory_id",
+        "split",
+        "batch_id",
+        "slot",
+        "batch_max_len",
+        "n_tokens",
+        as_text(F.col("input_ids")).alias("input_ids"),
+        F.array_join(F.col("loss_mask").cast("array<string>"), "").alias("loss_mask"),
+        as_text(F.col("prompt_ids")).alias("prompt_ids"),
+        F.size("teacher_values").alias("n_rows"),
+        F.size(F.flatten("teacher_indices")).alias("n_scores"),
+        F.round(_total(F.flatten("teacher_values")), 3).alias("val_sum"),
+    )
+
+
 @query
 def evaluate_epoch(spark, sf_dir):
-    """Split, shuffle, batch, join the student's scores, and average the batch losses."""
+    """Split, order, batch, join the student's scores, and average the batch losses, for two epochs."""
     teacher, student = fx.count_scores(spark, sf_dir, K)
-    assignment = assign_epoch(_gold_ids(spark, sf_dir), 0, 8)
-    return evaluate(teacher, student, assignment).withColumn("avg_loss", F.round("avg_loss", 6))
+
+    def losses(epoch):
+        assignment = assign_epoch(_ids(spark, sf_dir), epoch, 8)
+        return evaluate(teacher, student, assignment).withColumn("epoch", F.lit(epoch))
+
+    return losses(0).unionByName(losses(1)).withColumn("avg_loss", F.round("avg_loss", 6))

@@ -62,6 +62,10 @@ def gold_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locate_parts(gold_messages(spark, sf_dir))
 
 
+def conversation_tokens(spark: SparkSession, sf_dir: str, offsets: bool = True) -> DataFrame:
+    return explode_tokens(locate_parts(messages(spark, sf_dir)), offsets=offsets)
+
+
 def gold_tokens(spark: SparkSession, sf_dir: str, offsets: bool = True) -> DataFrame:
     return explode_tokens(gold_parts(spark, sf_dir), offsets=offsets)
 
@@ -92,6 +96,9 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(F.struct(F.lit("view").alias("name"), F.lit(None).cast("string").alias("arguments")).alias("function")),
         )
         calling = (i % 3 == 2) & (i % 2 == 0)
+        # One more call with an empty function, which counts as none.
+        empty = F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"))
+        calls = F.concat(calls, F.array(F.struct(empty.alias("function"))))
         return F.struct(
             role.alias("role"),
             F.when(calling & (i % 4 == 0), None).otherwise(line).alias("content"),
@@ -146,13 +153,13 @@ def dense_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 
 def count_scores(spark: SparkSession, sf_dir: str, k: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Teacher cache rows and student rows from token counts of the gold texts.
+    """Teacher cache rows and student rows from token counts of all conversations.
 
     Teacher: the ``k`` likeliest successors of the token before, by relative frequency. Student:
     add-one smoothed frequency of each token, already normalised (lse = 0). Position 0 has no
     scores.
     """
-    parts = materialise(locate_parts(gold_messages(spark, sf_dir), previous=True), "gold-parts")
+    parts = materialise(locate_parts(messages(spark, sf_dir), previous=True), "parts")
     tokens = explode_tokens(parts, offsets=False)
     dictionary = token_dictionary(tokens)
     n_tokens, n_distinct = dictionary.agg(F.sum("n"), F.count("*")).first()
@@ -273,6 +280,30 @@ def echo_scorer(longest: int | None = None):
     return make
 
 
+def careless_scorer():
+    """A scorer that leaves out answers, or single scores, by the length of the sequence."""
+
+    def make():
+        def score_all(batch):
+            out = []
+            for ids in batch:
+                found = [{token: -1.0} for token in ids]
+                kind = len(ids) % 5
+                if kind == 0:
+                    out.append(None)
+                elif kind == 1:
+                    out.append(found[:-1])
+                elif kind == 2:
+                    out.append([*found, {0: -1.0}])
+                elif kind == 4:
+                    out.append(found)
+            return out
+
+        return score_all
+
+    return make
+
+
 def word_encoder():
     """A tokenizer whose tokens reach over the edges of parts: runs of white space, runs of the rest."""
 

@@ -80,9 +80,11 @@ def normalise_arguments(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def called_functions(tool_calls: Column) -> Column:
-    """The ``function`` structs of the calls that have one."""
+    """The ``function`` structs of the calls that have one; one without any field counts as none."""
     functions = F.transform(tool_calls, lambda call: call["function"])
-    return F.filter(functions, lambda function: function.isNotNull())
+    return F.filter(
+        functions, lambda function: function["name"].isNotNull() | function["arguments"].isNotNull()
+    )
 
 
 def tool_call_text(functions: Column, arguments: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from tracemill import fixed
 from tracemill.functions.arrays import fit_length
 from tracemill.operators.ordering import hash_index, ordered_index
+from tracemill.operators.scores import score_format
 
 
 
@@ -63,19 +64,21 @@ def assign_batches(df: DataFrame, batch_size: int, idx: str = "idx") -> DataFram
     )
 
 
-def _target_length(ids: Column, max_length: int | None) -> Column:
+def _target_length(ids: Column, max_length: int | None, keys: Sequence[str]) -> Column:
     # A batch has batch_size rows, so this window's groups are bounded.
-    longest = F.max(F.size(ids)).over(Window.partitionBy("batch_id"))
+    longest = F.max(F.size(ids)).over(Window.partitionBy(*keys))
     return F.least(longest, F.lit(max_length)) if max_length else longest
 
 
-def pad_batch(samples: DataFrame, *, pad_id: int = fixed.PAD_ID, max_length: int | None = None) -> DataFrame:
+def pad_batch(
+    samples: DataFrame, *, pad_id: int = fixed.PAD_ID, max_length: int | None = None, keys: Sequence[str] = ("batch_id",)
+) -> DataFrame:
     """Bring input_ids, attention_mask and, if present, loss_mask to one length per batch.
 
     That length is the longest sample's, capped by ``max_length`` unless it is None or 0; it is
     added as ``batch_max_len``.
     """
-    padded = samples.withColumn("batch_max_len", _target_length(F.col("input_ids"), max_length))
+    padded = samples.withColumn("batch_max_len", _target_length(F.col("input_ids"), max_length, keys))
     fills = {"input_ids": pad_id, "attention_mask": 0, "loss_mask": 0}
     for name, fill in fills.items():
         if name in samples.columns:
@@ -93,16 +96,20 @@ def pad_scores(samples: DataFrame, k: int, length: str = "batch_max_len") -> Dat
 
 
 def batch_metadata(samples: DataFrame) -> DataFrame:
-    """Format, score width and presence of masks per batch, and whether they agree."""
+    """Format, score width and presence of masks per batch, and whether they agree.
+
+    A NULL format is that of a cache without a tag.
+    """
     width = F.size(F.get(F.col("teacher_values"), F.lit(0)))
     masked = F.col("loss_mask").isNotNull()
+    samples = samples.withColumn("format", score_format(F.col("format")))
     return samples.groupBy("batch_id").agg(
         F.min("format").alias("format"),
         F.min(width).alias("top_k"),
         F.bool_and(masked).alias("has_loss_mask"),
         (
             (F.min("format") == F.max("format"))
-            & (F.min(width) == F.max(width))
+            & (F.min(width).eqNullSafe(F.max(width)))
             & (F.bool_and(masked) == F.bool_or(masked))
         ).alias("is_uniform"),
     )

@@ -8,7 +8,7 @@ all logits in ``logits`` instead. The k scores of a position stay in arrays thro
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from tracemill import fixed
 from tracemill.functions.distributions import log_sum_exp, scaled, sparse_kl, teacher_exponents
 from tracemill.operators.scores import score_format, top_k_dense, with_top_k
 
+
 def student_log_softmax(student: DataFrame, temperature: float = 1.0) -> DataFrame:
     """Dense logits to (ids, z, lse) with every vocabulary entry listed."""
     return (
@@ -27,11 +28,9 @@ def student_log_softmax(student: DataFrame, temperature: float = 1.0) -> DataFra
     )
 
 
-def _gather(teacher: DataFrame, scores: DataFrame, look_up: Callable[[Column], Column]) -> DataFrame:
-    """Join student rows (_z, _lse) by position and read _z at each teacher id."""
+def _gather(teacher: DataFrame, scores: DataFrame, z: Column) -> DataFrame:
+    """Join student rows (_z, _lse) by position; ``z`` has their scores at the teacher's ids."""
     joined = teacher.join(scores, ["trajectory_id", "pos"], "left")
-    # _z is a column of the join's output here, so the lambda reads it without building it again.
-    z = F.transform("top_ids", look_up)
     logp = F.zip_with(z, F.array_repeat(F.col("_lse"), F.size("top_ids")), lambda z, lse: z - lse)
     missing = F.size(F.filter("student_logp", lambda x: x.isNull()))
     return (
@@ -46,15 +45,26 @@ def gather_student(teacher: DataFrame, student: DataFrame, *, shift: int = 0) ->
 
     ``shift=1`` pairs teacher position p with student position p - 1. An id the student does not
     list gives NULL and is counted, as is every id of a position without a student row. Ids
-    listed twice for one position are an error.
+    listed twice for one position are an error. Where both sides list the same ids in the same
+    order, as students scored at the teacher's ids do, scores are taken by position.
     """
+    twice = F.size(F.array_distinct("ids")) < F.size("ids")
+    problem = F.raise_error(F.lit("a student id is listed twice")).cast("array<int>")
     scores = student.select(
         "trajectory_id",
         (F.col("pos") + shift).cast("int").alias("pos"),
-        F.map_from_arrays("ids", "z").alias("_z"),
+        F.when(twice, problem).otherwise(F.col("ids").cast("array<int>")).alias("_ids"),
+        F.col("z").alias("_z"),
         F.col("lse").alias("_lse"),
     )
-    return _gather(teacher, scores, lambda i: F.try_element_at(F.col("_z"), i))
+
+    def place(i: Column) -> Column:
+        at = F.array_position(F.col("_ids"), i)
+        return F.when(at > 0, F.get(F.col("_z"), (at - 1).cast("int")))
+
+    aligned = F.col("_ids") == F.col("top_ids")
+    z = F.when(aligned, F.col("_z")).otherwise(F.transform("top_ids", place))
+    return _gather(teacher, scores, z).drop("_ids")
 
 
 def gather_dense(teacher: DataFrame, student: DataFrame, temperature: float = 1.0) -> DataFrame:
@@ -62,7 +72,7 @@ def gather_dense(teacher: DataFrame, student: DataFrame, temperature: float = 1.
     scores = student.select(
         "trajectory_id", "pos", scaled(F.col("logits"), temperature).alias("_z")
     ).withColumn("_lse", log_sum_exp(F.col("_z")))
-    return _gather(teacher, scores, lambda i: F.get(F.col("_z"), i))
+    return _gather(teacher, scores, F.transform("top_ids", lambda i: F.get(F.col("_z"), i)))
 
 
 def position_kl(gathered: DataFrame, temperature: float = 1.0) -> DataFrame:

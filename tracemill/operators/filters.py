@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from tracemill import fixed
 from tracemill.operators.ordering import ordered_index
 
-# Up to this many rows Spark keeps the N smallest per task and merges them.
-_TOP_N_ROWS = 10_000
-
 
 def is_gold() -> Column:
     return (F.col("resolved") == fixed.GOLD_RESOLVED) & (F.col("exit_status") == fixed.GOLD_EXIT_STATUS)
@@ -26,11 +23,7 @@ def first_n(df: DataFrame, n: int | None, key: str = "trajectory_id") -> DataFra
     if not n:
         return df
     # The limit sees keys only; trajectories themselves never meet in one task.
-    keys = df.select(key)
-    if n <= _TOP_N_ROWS:
-        wanted = keys.orderBy(key).limit(n)
-    else:
-        wanted = ordered_index(keys, [key]).filter(F.col("idx") < n).select(key)
+    wanted = ordered_index(df.select(key), [key]).filter(F.col("idx") < n).select(key)
     return df.join(wanted, key, "left_semi")
 
 

@@ -21,6 +21,8 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, rank: str, *, head_rows:
     added = [c for c in table.columns if c != key]
     head = table.filter(is_head).withColumn("_hit", F.lit(True))
     covered = rows.join(F.broadcast(head), key, "left")
+    # A key without a rank is not in the head.
+    is_head = F.coalesce(is_head, F.lit(False))
     rest = table.filter(~is_head)
     if rest.isEmpty():
         return covered.select(*rows.columns, *added)

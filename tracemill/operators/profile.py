@@ -32,8 +32,8 @@ def funnel(df: DataFrame, processed: Column) -> DataFrame:
     )
 
 
-def running_loss(steps: DataFrame, every: int = 10) -> DataFrame:
-    """Mean loss since the start of the epoch, kept at every N-th step of the run.
+def running_loss(steps: DataFrame, every: int = 10, accumulation_steps: int = 1) -> DataFrame:
+    """Mean loss since the start of the epoch, kept at every N-th step that ends an accumulation.
 
     ``steps`` is (run_id, epoch, step, loss); ``step`` counts from 0 within the epoch.
     """
@@ -47,7 +47,7 @@ def running_loss(steps: DataFrame, every: int = 10) -> DataFrame:
     return (
         earlier.withColumn("avg_loss", mean)
         .drop("_loss", "_steps")
-        .filter((F.col("step") + 1) % every == 0)
+        .filter(((F.col("step") + 1) % every == 0) & ((F.col("step") + 1) % accumulation_steps == 0))
     )
 
 

@@ -248,3 +248,31 @@ def prompt_boundary(parts: DataFrame) -> DataFrame:
         F.max("n_chars").alias("n_chars"),
         F.max("n_tokens").alias("n_tokens"),
     )
+
+
+def whole_texts(parts: DataFrame, template: Template = PLAIN) -> DataFrame:
+    """(trajectory_id, text, assistant_ranges, prompt_boundary_char) from a parts table.
+
+    For tokenizers that need whole texts: a trajectory's text meets in one row.
+    """
+    row = F.struct("char_start", "char_end", "role", "part")
+    spans = F.transform(
+        F.filter("_parts", lambda p: p["role"] == "assistant"),
+        lambda p: F.struct(p["char_start"].alias("start"), p["char_end"].alias("end")),
+    )
+    return (
+        parts.groupBy("trajectory_id")
+        .agg(F.sort_array(F.collect_list(row)).alias("_parts"))
+        .select(
+            "trajectory_id",
+            F.array_join(F.transform("_parts", lambda p: p["part"]), template.separator).alias("text"),
+            spans.alias("assistant_ranges"),
+            F.array_max(F.transform("_parts", lambda p: p["char_end"])).alias("_end"),
+        )
+        .select(
+            "trajectory_id",
+            "text",
+            "assistant_ranges",
+            F.coalesce(F.get("assistant_ranges", F.lit(0))["start"], F.col("_end")).alias("prompt_boundary_char"),
+        )
+    )

@@ -95,10 +95,10 @@ def score_with(
 
     ``samples`` needs trajectory_id, input_ids, loss_mask and prompt_boundary. ``make_scorer``
     runs once per task; ``partitions`` sets the number of tasks. Each call gets up to
-    ``batch_size`` sequences; when a call fails, its sequences are tried one by one. Dense scores
-    are cut to their ``top_k`` before they leave the task. Result: one row per position with
-    status ``ok``, or a single row with status ``error`` and the message for a sequence that
-    cannot be scored.
+    ``batch_size`` sequences; a sequence without one score for each token is tried once more on
+    its own. Dense scores are cut to their ``top_k`` before they leave the task. Result: for every
+    sequence one row per position with status ``ok``, or a single row with status ``error`` and
+    the message if it cannot be scored in full or is empty.
     """
 
     chunk_size = fixed.CHUNK_POSITIONS
@@ -145,6 +145,20 @@ def score_with(
             }
         )
 
+    def complete(row, maps) -> list:
+        """Scores of one sequence, one entry for each token; raises if any is missing."""
+        if maps is None:
+            raise ValueError("no scores")
+        if len(maps) != len(row.input_ids):
+            raise ValueError(f"{len(maps)} scores for {len(row.input_ids)} tokens")
+        return best_of(maps) if isinstance(maps, np.ndarray) else list(maps)
+
+    def alone(scorer, row) -> list:
+        results = scorer([list(row.input_ids)])
+        if len(results) != 1:
+            raise ValueError(f"{len(results)} answers for one sequence")
+        return complete(row, results[0])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
         for batch in batches:
@@ -152,17 +166,23 @@ def score_with(
             for first in range(0, len(rows), batch_size):
                 group = rows[first : first + batch_size]
                 try:
-                    results = scorer([list(row.input_ids) for row in group])
+                    results = list(scorer([list(row.input_ids) for row in group]))
                 except Exception:
-                    results = [None] * len(group)
-                for row, maps in zip(group, results):
+                    results = []
+                # Answers cannot be matched to sequences if one is missing: all are asked again.
+                matched = results if len(results) == len(group) else [None] * len(group)
+                for row, maps in zip(group, matched, strict=True):
                     try:
-                        if maps is None:
-                            maps = scorer([list(row.input_ids)])[0]
+                        if not len(row.input_ids):
+                            raise ValueError("empty sequence")
+                        try:
+                            found = complete(row, maps)
+                        except Exception:
+                            found = alone(scorer, row)
+                        frames = list(good(row, found))
                     except Exception as problem:
-                        yield bad(row, problem)
-                        continue
-                    yield from good(row, best_of(maps) if isinstance(maps, np.ndarray) else maps)
+                        frames = [bad(row, problem)]
+                    yield from frames
 
     columns = samples.select("trajectory_id", "input_ids", "loss_mask", "prompt_boundary")
     if partitions:

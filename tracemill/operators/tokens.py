@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,9 +86,15 @@ def token_dictionary(tokens: DataFrame) -> DataFrame:
     )
 
 
-def encode(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Add token_id; NULL for a token the dictionary does not hold."""
-    return lookup(tokens, dictionary.select("token", "token_id"), "token", "token_id")
+def encode(tokens: DataFrame, dictionary: DataFrame, unk_id: int | None = None) -> DataFrame:
+    """Add token_id; a token that the dictionary does not hold gets ``unk_id``.
+
+    Without one its id is NULL, which ``assemble_samples`` refuses.
+    """
+    encoded = lookup(tokens, dictionary.select("token", "token_id"), "token", "token_id")
+    if unk_id is None:
+        return encoded
+    return encoded.withColumn("token_id", F.coalesce("token_id", F.lit(unk_id).cast("int")))
 
 
 def tokenize_with(
@@ -96,9 +103,13 @@ def tokenize_with(
     *,
     max_tokens: int | None = None,
     text: str = "text",
+    ranges: str | None = None,
 ) -> DataFrame:
     """Add input_ids, tok_starts and tok_ends from a tokenizer supplied by the user.
 
+    ``ranges`` names a column of sorted, disjoint (start, end) ranges; it adds loss_mask, 1 for
+    each token that overlaps one and 0 for special tokens.
+
     ``make_encoder`` runs once per task and returns a function from a list of texts to a list of
     (ids, offsets) pairs. Offsets count code points; special tokens have offset (0, 0).
     """
@@ -108,9 +119,20 @@ def tokenize_with(
             T.StructField("input_ids", T.ArrayType(T.IntegerType())),
             T.StructField("tok_starts", T.ArrayType(T.IntegerType())),
             T.StructField("tok_ends", T.ArrayType(T.IntegerType())),
+            *([T.StructField("loss_mask", T.ArrayType(T.IntegerType()))] if ranges else []),
         ]
     )
 
+    def mask(starts: list[int], ends: list[int], spans) -> np.ndarray:
+        s, e = np.array(starts, np.int64), np.array(ends, np.int64)
+        if spans is None or not len(spans):
+            return np.zeros(len(s), np.int32)
+        opened = np.array([x["start"] for x in spans], np.int64)
+        closed = np.array([x["end"] for x in spans], np.int64)
+        before = np.searchsorted(opened, e, side="left")
+        last = closed[np.maximum(before, 1) - 1]
+        return ((e > 0) & (before > 0) & (last > s)).astype(np.int32)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = make_encoder()
         for batch in batches:
@@ -119,7 +141,10 @@ def tokenize_with(
                 ids.append(list(token_ids[:max_tokens]))
                 starts.append([start for start, _ in offsets[:max_tokens]])
                 ends.append([end for _, end in offsets[:max_tokens]])
-            yield batch.assign(input_ids=ids, tok_starts=starts, tok_ends=ends)
+            added = {"input_ids": ids, "tok_starts": starts, "tok_ends": ends}
+            if ranges:
+                added["loss_mask"] = [mask(*row) for row in zip(starts, ends, batch[ranges])]
+            yield batch.assign(**added)
 
     return texts.mapInPandas(run, schema)
 
@@ -190,13 +215,16 @@ def assemble_samples(tokens: DataFrame, max_tokens: int = fixed.MAX_TRAJECTORY_T
     """Token rows (trajectory_id, pos, token_id, loss_mask) to one row of arrays per trajectory.
 
     Truncation comes first, so that no group holds more than ``max_tokens`` rows. Position, id
-    and mask travel as one BIGINT (31 + 32 + 1 bits) that sorts by position.
+    and mask travel as one BIGINT (31 + 32 + 1 bits) that sorts by position. A NULL id is an
+    error: leaving its token out would shift all later ones.
     """
     if max_tokens < 1:
         raise ValueError("max_tokens must be positive")
+    unknown = F.raise_error(F.lit("a token is not in the dictionary; pass unk_id")).cast("bigint")
+    token_id = F.coalesce(F.col("token_id").cast("bigint"), unknown)
     packed = (
         F.shiftleft(F.col("pos").cast("bigint"), 32)
-        + F.shiftleft(F.col("token_id").cast("bigint"), 1)
+        + F.shiftleft(token_id, 1)
         + F.col("loss_mask")
     )
     return (

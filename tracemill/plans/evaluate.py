@@ -8,16 +8,22 @@ from pyspark.sql import functions as F
 from tracemill import fixed
 from tracemill.operators.batching import assign_batches, shuffled_index, split_train_val
 from tracemill.operators.divergence import batch_loss, chosen_mask, gather_student, mean_of_batches, position_kl, sample_sums
+from tracemill.operators.ordering import hash_index
 from tracemill.operators.tokens import truncate_positions
 
 
 def assign_epoch(
     trajectory_ids: DataFrame, epoch: int, batch_size: int, fraction: float = fixed.VALIDATION_FRACTION, seed: int = fixed.SEED
 ) -> DataFrame:
-    """(trajectory_id, split, batch_id, slot) of one epoch: split, then shuffle and batch each side."""
+    """(trajectory_id, split, batch_id, slot) of one epoch: split, then order and batch each side.
+
+    Training is shuffled anew in every epoch; validation keeps one order, so that its mean over
+    batches can be compared between epochs.
+    """
     split = split_train_val(trajectory_ids, fraction=fraction, seed=seed)
-    order = shuffled_index(split, epoch, seed=seed, within=["split"])
-    return assign_batches(order, batch_size).drop("idx")
+    train = shuffled_index(split.where("split = 'train'"), epoch, seed=seed)
+    held_out = hash_index(split.where("split = 'val'"), "trajectory_id", str(seed), name="idx", total="_n").drop("_n")
+    return assign_batches(train.unionByName(held_out), batch_size).drop("idx")
 
 
 def evaluate(

@@ -10,25 +10,36 @@ from pyspark.sql import functions as F
 from tracemill import fixed
 from tracemill.functions.text import PLAIN, Template
 from tracemill.operators.filters import min_chars
-from tracemill.operators.render import locate_parts, prompt_boundary
+from tracemill.operators.render import locate_parts, prompt_boundary, whole_texts
 from tracemill.operators.scores import Scorer, cache_positions, score_with, split_by_status
-from tracemill.operators.tokens import assemble_samples, encode, explode_tokens
+from tracemill.operators.tokens import Encoder, assemble_samples, boundary_token, encode, explode_tokens, tokenize_with
 from tracemill.session import materialise
 from tracemill.sources.score_cache import not_cached, write_cache
 
 
 def build_samples(
     messages: DataFrame,
-    dictionary: DataFrame,
+    dictionary: DataFrame | None,
     *,
     template: Template = PLAIN,
     minimum_chars: int = fixed.MIN_CHARS,
     max_tokens: int = fixed.MAX_TRAJECTORY_TOKENS,
+    unk_id: int | None = None,
+    make_encoder: Callable[[], Encoder] | None = None,
 ) -> DataFrame:
-    """Messages to (trajectory_id, input_ids, loss_mask, prompt_boundary)."""
-    parts = min_chars(locate_parts(messages, template), minimum=minimum_chars)
+    """Messages to (trajectory_id, input_ids, loss_mask, prompt_boundary).
+
+    With ``make_encoder`` the user's tokenizer sees each whole rendered text, and ``dictionary``
+    is not used. Otherwise tokens outside the dictionary get ``unk_id``, or are an error.
+    """
+    # Read by the tokens and by the boundaries: written once instead of located twice.
+    parts = materialise(min_chars(locate_parts(messages, template), minimum=minimum_chars), "parts")
+    if make_encoder is not None:
+        rows = tokenize_with(whole_texts(parts, template), make_encoder, max_tokens=max_tokens, ranges="assistant_ranges")
+        boundary = boundary_token(F.col("tok_starts"), F.col("prompt_boundary_char"))
+        return rows.select("trajectory_id", "input_ids", "loss_mask", boundary.alias("prompt_boundary"))
     tokens = explode_tokens(parts, template, offsets=False, max_tokens=max_tokens)
-    samples = assemble_samples(encode(tokens, dictionary), max_tokens)
+    samples = assemble_samples(encode(tokens, dictionary, unk_id), max_tokens)
     boundaries = prompt_boundary(parts).select("trajectory_id", "prompt_boundary")
     # Both sides are partitioned by trajectory already.
     return samples.join(boundaries.hint("merge"), "trajectory_id").withColumn(
@@ -38,7 +49,7 @@ def build_samples(
 
 def build_cache(
     messages: DataFrame,
-    dictionary: DataFrame,
+    dictionary: DataFrame | None,
     path: str,
     make_scorer: Callable[[], Scorer],
     *,
@@ -50,6 +61,8 @@ def build_cache(
     max_tokens: int = fixed.MAX_TRAJECTORY_TOKENS,
     template: Template = PLAIN,
     partitions: int | None = None,
+    unk_id: int | None = None,
+    make_encoder: Callable[[], Encoder] | None = None,
 ) -> DataFrame:
     """Score every trajectory that is not in the cache yet and append it.
 
@@ -62,6 +75,8 @@ def build_cache(
         template=template,
         minimum_chars=minimum_chars,
         max_tokens=max_tokens,
+        unk_id=unk_id,
+        make_encoder=make_encoder,
     )
     # Scores are the costly step: written once, then split into cache rows and failures.
     scored = score_with(samples, make_scorer, batch_size, top_k=top_k, partitions=partitions)

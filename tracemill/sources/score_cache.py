@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.window import Window
 
 from tracemill.operators.scores import score_format as tag_or_default
 from tracemill.schemas import CACHE_HEADERS, CACHE_POSITIONS
@@ -68,7 +69,17 @@ def write_cache(positions: DataFrame, path: str, run_id: str | None = None) -> s
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     if not cache_exists(spark, path):
         raise FileNotFoundError(f"no cached trajectories in {path}; write the score cache first")
-    return spark.read.schema(CACHE_HEADERS).parquet(_headers_path(path))
+    return _one_run_each(spark.read.schema(CACHE_HEADERS).parquet(_headers_path(path)))
+
+
+def _numbered(headers: DataFrame) -> DataFrame:
+    # A window holds the runs that cached one trajectory.
+    return headers.withColumn("_n", F.row_number().over(Window.partitionBy("trajectory_id").orderBy("run_id")))
+
+
+def _one_run_each(headers: DataFrame) -> DataFrame:
+    """One header for each trajectory: of several runs the one with the smallest id counts."""
+    return _numbered(headers).where("_n = 1").drop("_n")
 
 
 def read_cache(spark: SparkSession, path: str, score_format: str | None = None) -> DataFrame:
@@ -80,6 +91,10 @@ def read_cache(spark: SparkSession, path: str, score_format: str | None = None)
         raise ValueError(f"no cached trajectories in {path}")
     positions = spark.read.schema(CACHE_POSITIONS).parquet(_positions_path(path))
     positions = positions.filter(F.col("run_id").isin(runs))
+    # Positions of a trajectory that another run holds too; hardly ever any, so few to send.
+    stored = spark.read.schema(CACHE_HEADERS).parquet(_headers_path(path))
+    double = _numbered(stored).where("_n > 1").select("trajectory_id", "run_id")
+    positions = positions.join(double, ["trajectory_id", "run_id"], "left_anti")
     return positions if score_format is None else positions.filter(F.col("format") == score_format)
 
 
@@ -95,18 +110,21 @@ def cache_summary(spark: SparkSession, path: str) -> DataFrame:
     """Cached trajectories, those without a stored loss mask (all their tokens count in the loss),
     files, and their size in GB (1e9 bytes).
     """
+    # Runs without headers died half-way; their files do not count.
+    finished = [row.run_id for row in read_headers(spark, path).select("run_id").distinct().collect()]
     # Path and length come from the file listing; no file is opened. One row.
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.parquet")
         .load(_positions_path(path))
+        .where(F.regexp_extract("path", "/run_id=([^/]+)/", 1).isin(finished))
         .agg(F.count("path").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))
         .first()
     )
     return read_headers(spark, path).agg(
         F.count_distinct("trajectory_id").alias("n_trajectories"),
         F.count_if(~F.col("has_loss_mask")).alias("n_without_mask"),
-        F.lit(files.n_files).alias("n_files"),
+        F.lit(files.n_files).cast("bigint").alias("n_files"),
         F.lit(files.n_bytes / 1e9).alias("total_gb"),
     )

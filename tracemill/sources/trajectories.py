@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tracemill.schemas import TRAJECTORIES
 from tracemill.session import path_exists
 
+_BROKEN = "_broken_line"
+
 
 def load_trajectories(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
     """Raw trajectories from Parquet or JSON lines, read with the fixed schema."""
@@ -14,7 +18,23 @@ def load_trajectories(spark: SparkSession, path: str, file_format: str = "parque
         raise ValueError(f"unknown trajectory format {file_format!r}")
     if not path_exists(spark, path):
         raise FileNotFoundError(f"no trajectories at {path}")
-    return spark.read.schema(TRAJECTORIES).format(file_format).load(path)
+    if file_format == "json":
+        # A broken line would become a row of NULLs; it stops the job instead.
+        return spark.read.schema(TRAJECTORIES).option("mode", "FAILFAST").json(path)
+    return spark.read.schema(TRAJECTORIES).parquet(path)
+
+
+def load_json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Trajectories of JSON lines, and the lines that cannot be read as one (``line``)."""
+    if not path_exists(spark, path):
+        raise FileNotFoundError(f"no trajectories at {path}")
+    schema = StructType([*TRAJECTORIES, StructField(_BROKEN, StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
+    rows = spark.read.text(path).where(F.trim("value") != "").select(
+        F.col("value").alias("line"), F.from_json("value", schema, options).alias("row")
+    )
+    broken = F.col(f"row.{_BROKEN}").isNotNull()
+    return rows.where(~broken).select("row.*").drop(_BROKEN), rows.where(broken).select("line")
 
 
 def load_gold(spark: SparkSession, path: str) -> DataFrame:
