@@ -31,6 +31,8 @@ SHARDS = 16
 CELLS, BINS, PARTS = 256, 4, 1024
 
 SIZES = ["bytes", "tokens", "rows"]
+#: The law is on bytes, so they weigh most in the dot product.
+WEIGHTS = [64.0, 1.0, 1.0]
 
 
 def _placer(bins: int, share: float, unit: list[str], out: str):
@@ -40,7 +42,7 @@ def _placer(bins: int, share: float, unit: list[str], out: str):
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cell, room = None, np.full((bins, 3), share)
+        cell, room, weights = None, np.full((bins, 3), share), np.array(WEIGHTS)
         for batch in batches:
             cells = batch["cell"].to_numpy()
             vectors = batch[[f"{s}_share" for s in SIZES]].to_numpy(np.float64)
@@ -48,7 +50,7 @@ def _placer(bins: int, share: float, unit: list[str], out: str):
             for k in range(len(batch)):
                 if cells[k] != cell:
                     cell, room = cells[k], np.full((bins, 3), share)
-                best = int(np.argmax(room @ vectors[k]))
+                best = int(np.argmax(room @ (weights * vectors[k])))
                 room[best] -= vectors[k]
                 places[k] = best
             result = batch[unit].copy()
