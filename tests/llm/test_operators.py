@@ -342,6 +342,7 @@ def test_near_family_over_several_blocks(spark, monkeypatch):
             own[rng.randrange(60)] = f"x{rng.randrange(1000)}"
         rows.append((i, " ".join(own)))
     monkeypatch.setattr(near, "BLOCK", 16)
+    monkeypatch.setattr(near, "BUCKET_BLOCK", 16)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = near.near_duplicates(df).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == near_truth(rows)

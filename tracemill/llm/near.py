@@ -41,8 +41,9 @@ BINS = BANDS * ROWS
 PERCENT = 75
 #: Coordinates that bucket mates must share to be verified.
 AGREE = int(0.55 * BINS)
-#: Members of one block of a bucket or a cluster.
-BLOCK = 128
+#: Members of one block of a cluster, and of a bucket, whose rows are far smaller. Every pair of
+#: blocks of a bucket gives a forest, so fewer blocks give fewer links.
+BLOCK, BUCKET_BLOCK = 128, 512
 
 _U = np.uint64
 
@@ -157,9 +158,9 @@ def _bucket_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"u": np.concatenate(left), "v": np.concatenate(right)})
 
 
-def _in_blocks(rows: DataFrame, size: Column, key: str) -> DataFrame:
+def _in_blocks(rows: DataFrame, size: Column) -> DataFrame:
     """Every row once for each pair of blocks (i, j) of its group that its own block is in."""
-    blocks = F.ceil(size / F.lit(BLOCK)).cast("int")
+    blocks = F.ceil(size / F.lit(BUCKET_BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), blocks - 1),
@@ -174,7 +175,7 @@ def clusters(classes: DataFrame) -> DataFrame:
     buckets = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = materialise(buckets, "buckets")
     shared = materialise(members.join(buckets, "key"), "members")
-    blocks = _in_blocks(shared, F.col("size"), "key").select("id", "key", "i", "j")
+    blocks = _in_blocks(shared, F.col("size")).select("id", "key", "i", "j")
     rows = blocks.join(classes.select("id", "marks"), "id")
     links = (
         rows.repartition("key", "i", "j")
