@@ -33,6 +33,7 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces of a cell; cells whose poor bins are pooled for the second packing.
 CELL, POOL = 512, 32
+ISLANDS_PER_TASK = 16
 ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 4, 6
 #: A bin filled to this share is worth injecting, and is not packed again.
 WELL = 0.97
@@ -176,7 +177,7 @@ def _epoch(capacity: int, epoch: int):
     return run
 
 
-def _solve(rows: DataFrame, capacity: int, name: str) -> DataFrame:
+def _solve(rows: DataFrame, capacity: int, name: str, n_cells: int) -> DataFrame:
     """Pack rows (cell, piece columns): adds ``bin`` and ``offset`` within the cell, and ``load``."""
     piece = [c for c in rows.columns if c != "cell"]
     cells = materialise(
@@ -187,11 +188,13 @@ def _solve(rows: DataFrame, capacity: int, name: str) -> DataFrame:
     none = F.array().cast("array<array<int>>")
     islands = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island")
     state = lengths.select("cell", "lengths", islands, none.alias("guests"))
+    # Evolving takes long for its bytes: a fixed number of tasks, which is never merged by size.
+    tasks = max(1, -(-n_cells * ISLANDS // ISLANDS_PER_TASK))
     elite = None
     for epoch in range(EPOCHS):
         # Island and cell together: the islands of a cell are not tied to one task.
         elite = materialise(
-            state.repartition("cell", "island").mapInPandas(
+            state.repartition(tasks, "cell", "island").mapInPandas(
                 _epoch(capacity, epoch), "cell long, island int, pack array<int>, n_bins int, squares long"
             ),
             f"{name}-elite",
@@ -235,14 +238,14 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     partial = pieces.where(F.col("length") < capacity)
     n_cells = max(1, -(-partial.count() // CELL))
     first = materialise(
-        _solve(partial.withColumn("cell", F.pmod("spread", F.lit(n_cells))), capacity, "pack"), "packed"
+        _solve(partial.withColumn("cell", F.pmod("spread", F.lit(n_cells))), capacity, "pack", n_cells), "packed"
     )
     done = (F.col("load") >= WELL * capacity) | F.lit(n_cells == 1)
     again = first.where(~done).select(*pieces.columns, "cell")
     pools = -(-n_cells // POOL)
     # Other random bits than those that chose the cell.
     pooled = _solve(
-        again.withColumn("cell", F.pmod(F.xxhash64("spread"), F.lit(pools))), capacity, "pool"
+        again.withColumn("cell", F.pmod(F.xxhash64("spread"), F.lit(pools))), capacity, "pool", pools
     )
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
