@@ -158,6 +158,14 @@ def test_repeated_blocks_go_and_articles_stay(spark):
     assert pages.main_texts(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_are_no_boilerplate():
+    block = "A text of more than eight words that stands on every copy of this page"
+    other = [[(True, f"Page {k} says {' '.join(f'w{k}x{j}' for j in range(9))}")] for k in range(3)]
+    for inside in (True, False):
+        got = pages.unique_blocks([[(inside, block)]] * 20 + other)
+        assert got == [block] * 20 + [p[0][1] for p in other]
+
+
 # ---- quotes -----------------------------------------------------------------------------
 
 
@@ -295,6 +303,14 @@ def test_exact(docs, awkward, counters):
         assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got) == want
 
 
+def test_exact_keeps_one_of_repeated_rows(spark):
+    rows = [(1, "a b"), (1, "a b"), (2, "ab"), (None, "c"), (None, "c"), (3, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    kept = exact.keep_unique(df)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, "a b"), (None, "c"), (3, "d")])
+
+
 def test_frequent_digests(spark):
     rows = spark.range(1000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).cast("binary").alias("digest"))
     found = [bytes(r.digest) for r in exact.frequent_digests(rows, 4).collect()]
@@ -329,6 +345,14 @@ def test_near(docs, awkward):
         assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == near_truth(texts_of(df))
 
 
+def test_near_with_many_repeated_rows(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text)] * 300 + [(2, text + " w40"), (3, "something else that is on its own here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near.near_duplicates(df).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter({(1, 1): 300, (2, 1): 1, (3, 3): 1})
+
+
 def test_near_family_over_several_blocks(spark, monkeypatch):
     """A family whose members are alike to different degrees, cut into many blocks."""
     import random

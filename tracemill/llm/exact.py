@@ -110,8 +110,11 @@ def exact_groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 def keep_unique(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """One document of each group of equal texts, with the columns of ``docs``."""
-    groups = exact_groups(docs, counters).where("kept")
-    keep = groups.select("doc_id", "text_sha256").distinct()
-    digest = F.lower(F.hex(digest_of(docs["text"])))
-    same = docs["doc_id"].eqNullSafe(keep["doc_id"]) & (digest == keep["text_sha256"])
-    return docs.join(keep, same, "left_semi")
+
+    def key(digest: Column) -> Column:
+        return F.concat_ws(" ", digest, F.col("doc_id").cast("string")).alias("_key")
+
+    keep = exact_groups(docs, counters).where("kept").select(key(F.col("text_sha256"))).distinct()
+    keyed = docs.select("*", key(F.lower(F.hex(digest_of(F.col("text"))))))
+    # Both steps need the same partitioning, so repeated rows go without another shuffle.
+    return keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)

@@ -305,17 +305,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Set size and component of every document."""
     rows = describe(docs)
     sets = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    firsts = materialise(
-        sets.groupBy("set_key").agg(F.min("doc_id").alias("id")), "classes"
-    )
-    classes = materialise(
-        sets.join(firsts.withColumnRenamed("set_key", "own_key"), (F.col("doc_id") == F.col("id")) & (F.col("set_key") == F.col("own_key")))
-        .select("id", "bands", "marks"),
-        "reps",
-    )
+    # One row for each class, also where a row is repeated many times.
+    described = F.min_by(F.struct("bands", "marks"), "doc_id").alias("d")
+    firsts = sets.groupBy("set_key").agg(F.min("doc_id").alias("id"), described)
+    firsts = materialise(firsts.select("set_key", "id", "d.bands", "d.marks"), "classes")
+    classes = firsts.select("id", "bands", "marks")
     links = confirmed_links(docs, classes, clusters(classes))
     roots = components(links)
-    named = firsts.join(roots, F.col("id") == F.col("node"), "left").select(
+    named = firsts.select("set_key", "id").join(roots, F.col("id") == F.col("node"), "left").select(
         "set_key", F.coalesce("root", "id").alias("root")
     )
     named = materialise(named, "named")
