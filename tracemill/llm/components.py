@@ -13,31 +13,30 @@ from pyspark.sql import functions as F
 from tracemill.session import materialise
 
 
-def _linked(rows: DataFrame) -> DataFrame:
-    """Rows (u, v) with the smallest neighbour or self of u as m."""
+def _least(rows: DataFrame) -> DataFrame:
+    """The smallest neighbour or self of every u, as m."""
     least = rows.groupBy("u").agg(F.min("v").alias("m"))
-    least = materialise(least.select("u", F.least("u", "m").alias("m")), "stars")
-    return rows.join(least, "u")
+    return materialise(least.select("u", F.least("u", "m").alias("m")), "stars")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _linked(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    linked = _linked(down)
-    others = linked.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return others.union(linked.select("u", F.col("m").alias("v")))
+    least = _least(edges)
+    others = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return others.union(least.select("u", F.col("m").alias("v")))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count("*").alias("n"),
-        F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
-    ).first()
-    return row.n, row.h
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root, and no root hangs on another."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("v", F.lit(0), F.lit(1))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where("up > 1 OR (up = 1 AND down = 1)").count() == 0
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -45,15 +44,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has two columns of integers. Self-links and rows with NULL are ignored.
     """
-    first, second = edges.columns
-    edges = (
-        edges.select(F.col(first).alias("u"), F.col(second).alias("v")).where("u <> v").distinct()
+    first, second = (F.col(c) for c in edges.columns)
+    # From here on u > v. Neither star makes more rows than it gets, so one distinct a round will do.
+    edges = edges.where(first != second).select(
+        F.greatest(first, second).alias("u"), F.least(first, second).alias("v")
     )
-    edges = materialise(edges, "edges")
-    before, after = None, _mark(edges)
-    while before != after and after[0]:
-        large = materialise(_large_star(edges).distinct(), "edges")
+    edges = materialise(edges.distinct(), "edges")
+    while not _are_stars(edges):
+        large = materialise(_large_star(edges), "edges")
         edges = materialise(_small_star(large).distinct(), "edges")
-        before, after = after, _mark(edges)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

@@ -134,6 +134,7 @@ def _labels(linked: np.ndarray) -> np.ndarray:
 
 
 def _forest(ids: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links to the first id that each id reaches; in sorted ids the smallest, on which many groups agree."""
     labels = _labels(linked)
     off = labels != np.arange(len(ids))
     return ids[off], ids[labels[off]]
@@ -179,7 +180,7 @@ def clusters(classes: DataFrame) -> DataFrame:
     rows = blocks.join(classes.select("id", "marks"), "id")
     links = (
         rows.repartition("key", "i", "j")
-        .sortWithinPartitions("key", "i", "j")
+        .sortWithinPartitions("key", "i", "j", "id")
         .mapInPandas(_bucket_links, "u long, v long")
     )
     return components(links)
@@ -218,27 +219,30 @@ def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for a, b in zip(starts, starts[1:]):
             part = frame.iloc[a:b].drop_duplicates("id")
+            name = part["part"].to_numpy()
             sets = [np.frombuffer(x, _U) for x in part["items"]]
             sizes = np.array([len(s) for s in sets], np.float64)
             both = _meets(sets)
             linked = 100 * both >= PERCENT * (sizes[:, None] + sizes[None, :] - both)
-            u, v = _forest(part["id"].to_numpy(), linked)
-            left.append(u)
-            right.append(v)
+            u, v = _forest(np.arange(len(part)), linked)
+            new = name[u] != name[v]
+            left.append(name[u[new]])
+            right.append(name[v[new]])
         yield pd.DataFrame({"u": np.concatenate(left), "v": np.concatenate(right)})
 
 
 def _confirm(rows: DataFrame) -> DataFrame:
+    """Links between parts, where ``part`` names what is known to be connected."""
     return (
-        rows.select("cluster", "i", "j", "id", "items")
+        rows.select("cluster", "i", "j", "id", "part", "items")
         .repartition("cluster", "i", "j")
-        .sortWithinPartitions("cluster", "i", "j")
+        .sortWithinPartitions("cluster", "i", "j", "id")
         .mapInPandas(_confirmed, "u long, v long")
     )
 
 
-def confirmed_links(docs: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Links (u, v) between classes whose whole sets are similar enough, as spanning forests."""
+def confirmed(docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root): classes joined by links that hold on whole sets, inside the given clusters."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     members = roots.select(F.col("node").alias("id"), "root")
     # Members grow with the corpus: one plan at every size, never a broadcast that stops to fit.
@@ -256,17 +260,17 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, roots: DataFrame) -> Da
     first = rows.select(
         "cluster",
         "id",
+        F.col("id").alias("part"),
         "items",
         F.explode(F.when(F.col("id") == F.col("hub"), everywhere).otherwise(F.array(own))).alias("i"),
         F.lit(-1).alias("j"),
     )
-    links = materialise(_confirm(first), "links")
+    known = materialise(components(_confirm(first)), "known")
 
     # Only clusters of several blocks can have links between blocks that are still unknown.
     large = sizes.where(F.col("size") > BLOCK)
     if large.isEmpty():
-        return links
-    known = components(links)
+        return known
     labelled = (
         ids.join(large.select("cluster", "size"), "cluster")
         .join(known.select(F.col("node").alias("id"), "root"), "id", "left")
@@ -293,12 +297,12 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, roots: DataFrame) -> Da
     mine = F.when(rest, F.pmod(spread, F.col("r"))).otherwise(F.col("r") + F.pmod(spread, F.col("b")))
     partners = F.sequence(F.lit(0), F.when(rest, F.col("r") + F.col("b") - 1).otherwise(F.col("r") - 1))
     placed = labelled.join(best, "cluster").select(
-        "cluster", "id", mine.cast("int").alias("own"), F.explode(partners).alias("k")
+        "cluster", "id", "part", mine.cast("int").alias("own"), F.explode(partners).alias("k")
     )
     second = placed.select(
-        "id", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j")
+        "id", "part", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j")
     ).join(sets, "id")
-    return links.union(_confirm(second))
+    return components(known.union(_confirm(second)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -310,8 +314,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     firsts = sets.groupBy("set_key").agg(F.min("doc_id").alias("id"), described)
     firsts = materialise(firsts.select("set_key", "id", "d.bands", "d.marks"), "classes")
     classes = firsts.select("id", "bands", "marks")
-    links = confirmed_links(docs, classes, clusters(classes))
-    roots = components(links)
+    roots = confirmed(docs, clusters(classes))
     named = firsts.select("set_key", "id").join(roots, F.col("id") == F.col("node"), "left").select(
         "set_key", F.coalesce("root", "id").alias("root")
     )
