@@ -158,6 +158,21 @@ def test_repeated_blocks_go_and_articles_stay(spark):
     assert pages.main_texts(df.limit(0)).count() == 0
 
 
+def test_chunks_of_a_host_do_not_depend_on_others(spark):
+    # Two hosts that share one of 16,384 buckets by hash.
+    hosts = spark.range(1000).select(F.concat(F.lit("h"), "id", F.lit(".example")).alias("host"))
+    pairs = hosts.groupBy(F.pmod(F.xxhash64("host"), F.lit(1 << 14))).agg(F.sort_array(F.collect_set("host")).alias("hosts"))
+    small, hot = min(r.hosts for r in pairs.where(F.size("hosts") > 1).collect())[:2]
+    notice = "Please read our terms before you use any of this site today"
+    page = F.concat(F.lit("<p>"), F.lit(notice), F.lit("</p><p>Page "), "id", F.lit(" says "), F.md5(F.col("id").cast("string")), F.lit("</p>"))
+    every = spark.range(1506).select(
+        F.col("id").alias("page_id"), F.concat(F.lit("http://"), F.when(F.col("id") < 6, small).otherwise(hot), F.lit("/"), "id").alias("url"), page.alias("html")
+    )
+    got = {r.page_id: r.text for r in pages.main_texts(every).collect()}
+    assert len(got) == 1506 and not any(notice in t for t in got.values())
+    assert {r.page_id: r.text for r in pages.main_texts(every.where("page_id < 6")).collect()} == {k: got[k] for k in range(6)}
+
+
 def test_copies_of_a_page_are_no_boilerplate():
     block = "A text of more than eight words that stands on every copy of this page"
     other = [[(True, f"Page {k} says {' '.join(f'w{k}x{j}' for j in range(9))}")] for k in range(3)]
