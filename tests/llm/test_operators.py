@@ -207,6 +207,23 @@ def test_quotes(spark):
     assert quotes.link_quotes(df.limit(0)).count() == 0
 
 
+def test_quotes_of_all_levels_and_lengths(spark):
+    rows = [
+        (1, 0, "The station is behind the old market."), (1, 1, "Yes."), (1, 2, "Why?"),
+        (1, 3, ">> The station is behind the old market.\nThanks."),
+        (1, 4, "> Yes.\n>> The station is behind the old market.\nGood."),
+        (1, 5, "> Why?\nBecause."),
+        (1, 6, "> Nobody said this.\n>>> Why?\n>> Yes.\nSo."),
+        (1, 7, "> Yes.\n> \n> Because.\nWell."),
+        (1, 8, "> \n>\nNothing."),
+    ]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {r.turn: (r.parent_turn, r.thread_turn) for r in quotes.link_quotes(df).collect()}
+    assert got == {
+        0: (None, 0), 1: (None, 1), 2: (None, 2), 3: (0, 0), 4: (1, 1), 5: (2, 2), 6: (1, 1), 7: (5, 2), 8: (None, 8)
+    }
+
+
 def test_quotes_in_a_hot_conversation(spark):
     chain = spark.range(3000).select(
         F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"),

@@ -2,9 +2,10 @@
 
 The lines of a message are read with their quote level, the number of leading ``>``. Lines of one
 level that follow one another are passages; blank lines end them. Normalised passages (small
-letters, single blanks) and the lines of passages are hashed, and every quoted hash is tied to the
-latest earlier message of its conversation that has it as its own text. The message with most
-quoted characters is the parent; of equals the latest. Chains of parents are followed by doubling
+letters, single blanks) and the lines of passages are hashed, whatever their length, and every hash
+quoted at any level is tied to the latest earlier message of its conversation that has it as its own
+text. The outermost level that has an original is what a message answers: of the messages quoted
+there, the one with most quoted characters is the parent; of equals the latest. Chains of parents are followed by doubling
 to the start of the thread, and the result is ordered by thread and turn, so that every reply
 comes after what it answers. ``text`` is the message without its quotes.
 
@@ -26,8 +27,6 @@ from tracemill.llm.common import let
 from tracemill.operators.ordering import running
 from tracemill.session import materialise
 
-#: Shorter normalised passages and lines tie nothing.
-MIN_CHARS = 8
 _QUOTE = r"^[ \t]*(>[ \t]*)+"
 
 
@@ -104,16 +103,14 @@ def parents(parsed: DataFrame) -> DataFrame:
             "turn",
             F.xxhash64("p.body").alias("key"),
             F.length("p.body").alias("n"),
-            # Only the quote's outermost level is what the message itself answers.
             (F.col("p.level") == 0).alias("own"),
-            (F.col("p.level") == 1).alias("quoted"),
+            F.when(F.col("p.level") > 0, F.col("p.level")).alias("level"),
         )
-        .where((F.col("n") >= MIN_CHARS) & (F.col("own") | F.col("quoted")))
         .groupBy("conv_id", "key", "turn")
-        .agg(F.max("own").alias("own"), F.max("quoted").alias("quoted"), F.max("n").alias("n"))
+        .agg(F.max("own").alias("own"), F.min("level").alias("level"), F.max("n").alias("n"))
     )
     # Hashes that nobody quotes are dropped before anything is ordered.
-    quoted = materialise(passages.where("quoted").select("conv_id", "key").distinct(), "quoted")
+    quoted = materialise(passages.where("level is not null").select("conv_id", "key").distinct(), "quoted")
     used = materialise(passages.join(quoted, ["conv_id", "key"], "left_semi"), "passages")
     low = used.agg(F.min("turn")).first()[0] or 0
     ordered = used.withColumn("place", F.col("turn") - F.lit(low))
@@ -121,11 +118,12 @@ def parents(parsed: DataFrame) -> DataFrame:
         ordered, ["conv_id", "key"], "place", before={"origin": ("max", F.when(F.col("own"), F.col("turn")))}
     )
     votes = (
-        linked.where(F.col("quoted") & F.col("origin").isNotNull())
-        .groupBy("conv_id", "turn", "origin")
+        linked.where(F.col("level").isNotNull() & F.col("origin").isNotNull())
+        .groupBy("conv_id", "turn", "level", "origin")
         .agg(F.sum("n").alias("n"))
     )
-    best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct("n", "origin")).alias("best"))
+    # The outermost level with an original is what the message itself answers.
+    best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "n", "origin")).alias("best"))
     return best.select("conv_id", "turn", F.col("best.origin").alias("parent"))
 
 
