@@ -453,6 +453,20 @@ def test_licenses(spark, awkward):
     assert licenses.scan_licenses(awkward).where("license is not null").count() == 0
 
 
+@pytest.mark.parametrize("name", ["MIT", "GPL-3.0", "MIT-text", "BSD-text"])
+@pytest.mark.parametrize("copies", [2, 3, 7])
+def test_notices_repeated_inside_a_text(name, copies):
+    notice, filler = licenses.TEMPLATES[name], " ".join(f"word{k}" for k in range(300))
+    scan = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE).scan
+    n = len(licenses.plain_words(notice))
+    best = scan(f"{filler}\n" + f"{notice}\n" * copies + filler)[0]
+    assert best[:2] == (name, 1.0) and best[2] >= 300 and best[3] < 300 + n * copies
+    if n > 20:
+        changed = notice.replace(" and ", " und ", 1)
+        best = scan(f"{filler}\n" + f"{changed}\n" * copies + filler)[0]
+        assert best[0] == name and best[1] == (n - 1) / n
+
+
 def test_every_license_line_is_found(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     told = df.where(F.col("text").rlike(r"Licensed under|is licensed under|Released under")).count()

@@ -5,7 +5,8 @@ the longest increasing run of anchors is kept, and the gaps between them are ali
 The share of the template's words that are aligned is its coverage. Whole texts are searched:
 around every occurrence of a template's telling words, a window of three template lengths is
 aligned, so repeated notices and notices in long texts are found. A template can only reach the
-least coverage if one of its telling words is there, so other texts are passed over.
+least coverage if one of its telling words is there, so other texts are passed over. Only a notice
+that was found is passed over by the search; a window that covers several copies is cut down to one.
 
 Defined results: NULL and texts without words have no license. Of several licenses the one with the
 highest coverage, then the longest template, then the first name is given; ``licenses`` has all.
@@ -15,6 +16,7 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -122,6 +124,40 @@ class Scanner:
         every = sorted({w for ws in self.telling.values() for w in ws})
         self._any = re.compile("|".join(map(re.escape, every)))
 
+    def _aligned(self, words: list[str], template: list[str], seed: int, start: int, end: int) -> list[tuple[int, int]]:
+        """Aligned positions of a window; only what lies close together is one notice."""
+        n = len(template)
+        pairs = [(a + start, b) for a, b in patience(words[start:end], template)]
+        if pairs and pairs[-1][0] - pairs[0][0] >= 2 * n:
+            middle = next((k for k, p in enumerate(pairs) if p[0] >= seed), len(pairs) - 1)
+            pairs = [p for p in pairs if abs(p[0] - pairs[middle][0]) <= n]
+        return pairs
+
+    def _notice(self, words: list[str], template: list[str], seed: int, same: list[int]) -> list[tuple[int, int]]:
+        """The notice around a seed; ``same`` has all places of its word.
+
+        A window that covers several notices has no unique words, so smaller ones are tried too: cut
+        at the neighbouring places of the word, and where the notice lies if nothing is missing.
+        """
+        n = len(template)
+        start, end = max(0, seed - n), min(len(words), seed + 1 + 2 * n)
+        ours = Counter(words[start:end])
+        if sum(min(k, ours[w]) for w, k in Counter(template).items()) < self.least * n:
+            return []
+        k = bisect_left(same, seed)
+        before = same[k - 1] + 1 if k else 0
+        after = same[k + 1] if k + 1 < len(same) else len(words)
+        windows = [(start, end), (max(start, before), min(end, after))]
+        slack = n - math.ceil(self.least * n)
+        for place in (b for b, w in enumerate(template) if w == words[seed]):
+            windows += [(max(0, seed - place - m), seed - place + n + m) for m in sorted({0, slack})]
+        best: list[tuple[int, int]] = []
+        for start, end in windows:
+            best = max(best, self._aligned(words, template, seed, start, end), key=len)
+            if len(best) == n:
+                break
+        return best if len(best) >= self.least * n else []
+
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first word, last word) of the best place of each license."""
         if not text or not self._any.search(text.lower()):
@@ -138,17 +174,13 @@ class Scanner:
             for seed in seeds:
                 if seed < end:
                     continue
-                start, end = max(0, seed - n), seed + 1 + n
-                pairs = patience(words[start : end + n], template)
-                # Only what lies close together is one notice.
-                pairs = [(a + start, b) for a, b in pairs]
+                pairs = self._notice(words, template, seed, places[words[seed]])
                 if not pairs:
                     continue
-                if pairs[-1][0] - pairs[0][0] >= 2 * n:
-                    middle = next((k for k, p in enumerate(pairs) if p[0] >= seed), len(pairs) - 1)
-                    pairs = [p for p in pairs if abs(p[0] - pairs[middle][0]) <= n]
+                # Only a notice that was found is passed over.
+                end = pairs[-1][0] + 1
                 share = len(pairs) / n
-                if share >= self.least and (best is None or share > best[1]):
+                if best is None or share > best[1]:
                     best = (name, share, pairs[0][0], pairs[-1][0])
             if best:
                 found.append(best)
