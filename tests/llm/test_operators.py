@@ -467,6 +467,47 @@ def test_notices_repeated_inside_a_text(name, copies):
         assert best[0] == name and best[1] == (n - 1) / n
 
 
+GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (GNU.format("General Public License", 3), ["GPL-3.0-or-later"]),
+        (GNU.format("General Public License", 2), ["GPL-2.0-or-later"]),
+        (GNU.format("Lesser General Public License", "2.1").replace("program", "library"), ["LGPL-2.1-or-later"]),
+        (GNU.format("Affero General Public License", 3), ["AGPL-3.0-or-later"]),
+        (GNU.format("General Public License", 9), ["GPL"]),
+        (GNU.format("Lesser General Public License", 3) + " more words here " * 30 + GNU.format("General Public License", 3), ["LGPL-3.0-or-later", "GPL-3.0-or-later"]),
+        ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+        ("It is licensed under the GPLv3.", ["GPL-3.0"]),
+        ("Distributed under the MIT license", ["MIT"]),
+        ("It is available under the terms of the MIT License.", ["MIT"]),
+        ("// SPDX-License-Identifier: MPL-2.0", ["MPL-2.0"]),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", ["MPL-2.0"]),
+        ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", ["ISC"]),
+        ("This is free and unencumbered software released into the public domain.", ["Unlicense"]),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"]),
+        ("Creative Commons Attribution Share Alike 3.0 Unported", ["CC-BY-SA-3.0"]),
+        ("Text is under CC BY-NC-ND 4.0.", ["CC-BY-NC-ND-4.0"]),
+        ("See https://creativecommons.org/licenses/by-nc-sa/3.0/ for more", ["CC-BY-NC-SA-3.0"]),
+        ("This work is licensed under a Creative Commons Attribution-Something 4.0 International License.", []),
+    ],
+)
+def test_license_families(text, want):
+    scan = licenses.Scanner(licenses.NOTICES, licenses.COVERAGE).scan
+    for around in ("", " some words around it " * 20):
+        assert [f[0] for f in scan(around + text + around)] == want
+
+
+def test_bsd_clauses_are_told_apart():
+    scan = licenses.Scanner(licenses.NOTICES, licenses.COVERAGE).scan
+    texts = dict(n for n in licenses.NOTICES if n[0].startswith("BSD-") and len(n[1]) > 300)
+    assert len(texts) == 2
+    for name, text in texts.items():
+        assert scan(f"1. {text}")[0][:2] == (name, 1.0)
+
+
 def test_every_license_line_is_found(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     told = df.where(F.col("text").rlike(r"Licensed under|is licensed under|Released under")).count()
