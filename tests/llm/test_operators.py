@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -80,6 +81,26 @@ def test_quality_keeps_clean_labelled_documents(spark):
     assert kept[1][0] == kept[1][1] and kept[0][1] < kept[0][0] / 2
 
 
+def test_quality_keeps_other_languages(spark):
+    en = "the cat and the dog of that house went to the garden in the morning and no one came near".split()
+    other = {
+        "pl": "wczoraj wieczorem siostra wraca do domu przez stary park gdzie dzieci graja w pilke obok rzeki pod mostem".split(),
+        "ru": "вчера вечером сестра шла домой через старый парк где дети играли в мяч у реки под мостом".split(),
+        None: "tegnap este az orcsapat hazafele ment hegyi uton ahol sok gyerek labdazott folyo mellett hid alatt".split(),
+    }
+
+    def text(words, k):
+        rng = random.Random(k)
+        return ". ".join(" ".join(rng.choices(words, k=12)).capitalize() for _ in range(15))
+
+    rows = [(k, text(en, k), "en") for k in range(20)]
+    rows += [(100 * (m + 1) + k, text(w, k), lang) for m, (lang, w) in enumerate(other.items()) for k in range(20)]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == 80 and all(not r.base_failed and r.class_distance is not None for r in got)
+    assert [r.doc_id for r in got if not r.kept] == []
+    assert all((r.word_distance is None) == (r.doc_id >= 100) for r in got)
+
+
 def test_quality_plan_is_native(docs):
     plan = quality.quality_rules(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

@@ -1,14 +1,16 @@
 """Quality rules: repetition counts, and the divergence of a text from language references.
 
 Every text is described by two histograms, of character classes and of common words. The
-references are the mean histograms of the languages over the whole corpus; a text that is long
-enough is rejected if its Jensen-Shannon distance to every language exceeds a limit. All of it
-runs inside one projection; the only thing gathered is one row of sums for each stated language.
+references are the mean histograms of the languages over the whole corpus, one for each value of
+``lang``; rows without language form one more. A text that is long enough is rejected if its
+Jensen-Shannon distance to every language exceeds a limit. The common words are those of
+``LANGUAGES``, so words decide only on texts stated to be in one of these; others have no word
+distance. All of it runs inside one projection; the only thing gathered is one row of sums for each
+language.
 
 Defined results: a NULL or blank text has no words, zero counts and fails the base rule. Repeated
-rows get the same verdict. Other columns are ignored, whatever their names. Without any row of a
-language (empty table, NULL in ``lang``) that language has no reference; without references the
-base rule alone decides.
+rows get the same verdict. Other columns are ignored, whatever their names. Without any text of a
+language that language has no reference; without references the base rule alone decides.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from tracemill.llm.common import let
 from tracemill.session import materialise
 
-#: Languages with a reference, and their common words.
+#: Languages with common words, and these words.
 LANGUAGES = ["de", "en", "es", "fr"]
 COMMON_WORDS = [
     "the", "of", "and", "to", "in", "that",
@@ -182,14 +184,12 @@ def measured(docs: DataFrame) -> DataFrame:
     return materialise(rows.select("doc_id", "lang", "text_hash", "q.*"), "quality")
 
 
-def language_references(counts: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
-    """Summed class and word shares of each stated language over all documents.
+def language_references(counts: DataFrame) -> dict[str | None, tuple[list[int], list[int]]]:
+    """Summed class and word shares of each language over all documents; None has those without.
 
     One row for each language reaches the driver: 31 numbers, whatever the input.
     """
-    parts = counts.where(F.col("lang").isin(LANGUAGES)).select(
-        "lang", _shares(F.col("class_hist")).alias("c"), _shares(F.col("word_hist")).alias("w")
-    )
+    parts = counts.select("lang", _shares(F.col("class_hist")).alias("c"), _shares(F.col("word_hist")).alias("w"))
     n_c, n_w = N_CLASSES, len(COMMON_WORDS) + 1
     sums = [F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(n_c)]
     sums += [F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(n_w)]
@@ -240,8 +240,11 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     counts = measured(docs)
     references = language_references(counts)
 
-    def nearest(hist: str, side: int) -> Column:
-        return js_distance(F.col(hist), [references[x][side] for x in sorted(references)])
+    with_words = sorted(x for x in references if x in LANGUAGES)
+    every = with_words + sorted((x for x in references if x not in LANGUAGES), key=lambda x: (x is None, x))
+
+    def nearest(hist: str, languages: list[str | None], side: int) -> Column:
+        return js_distance(F.col(hist), [references[x][side] for x in languages])
 
     n = F.col("n_words")
     classes, common = F.col("class_distance"), F.col("word_distance")
@@ -252,8 +255,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     return (
         counts.withColumns(
             {
-                "class_distance": F.when(F.col("n_chars") >= MIN_CHARS, nearest("class_hist", 0)),
-                "word_distance": F.when(n >= MIN_COMMON, nearest("word_hist", 1)),
+                "class_distance": F.when(F.col("n_chars") >= MIN_CHARS, nearest("class_hist", every, 0)),
+                "word_distance": F.when(
+                    (n >= MIN_COMMON) & F.col("lang").isin(LANGUAGES), nearest("word_hist", with_words, 1)
+                ),
             }
         )
         .select("*", failed.alias("base_failed"), (~failed & ~strange).alias("kept"))
