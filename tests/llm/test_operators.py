@@ -179,6 +179,19 @@ def test_repeated_blocks_go_and_articles_stay(spark):
     assert pages.main_texts(df.limit(0)).count() == 0
 
 
+def test_covered_runs_go_and_unique_words_of_the_block_stay():
+    notice = "Please read our terms before you use any of this site today"
+
+    def blocks(inside):
+        own = [" ".join(f"w{k}x{j}" for j in range(9)) for k in range(10)]
+        return own, [[(inside, f"{notice} n{k}"), (inside, own[k])] for k in range(10)]
+
+    own, outside = blocks(False)
+    assert pages.unique_blocks(outside) == [f"n{k}\n{own[k]}" for k in range(10)]
+    own, article = blocks(True)
+    assert pages.unique_blocks(article) == [f"{notice} n{k}\n{own[k]}" for k in range(10)]
+
+
 def test_chunks_of_a_host_do_not_depend_on_others(spark):
     # Two hosts that share one of 16,384 buckets by hash.
     hosts = spark.range(1000).select(F.concat(F.lit("h"), "id", F.lit(".example")).alias("host"))
