@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracemill.llm import bpe, counts, exact, licenses, near, packing, pages, quality, quotes, shards
+from tracemill.llm import (
+    bpe, counts, exact, licenses, near, negatives, packing, pages, passages, quality, quotes, repair, shards,
+)
 from tracemill.llm.common import documents
 from tracemill.session import fresh_path
 
@@ -58,9 +61,23 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.sha2("kept", 256).alias("kept_sha256")
+    return passages.remove_passages(documents(spark, sf_dir), [F.col("n_words"), F.col("n_removed"), digest])
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_quality_rules, op2_vector_shards, op3_page_text, op4_quote_threads, op5_bpe_transducer,
         op6_best_fit, op7_token_counts, op8_exact_copies, op9_license_scan, op10_near_copies,
+        op11_repeated_passages, op12_conversation_repair, op13_hard_negatives,
     ]
     return {f.__name__: f for f in found}
