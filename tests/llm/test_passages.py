@@ -49,7 +49,7 @@ def test_awkward_rows(awkward, nothing):
     assert passages.remove_passages(nothing).count() == 0
 
 
-def test_random_texts(spark):
+def test_random_texts(spark, monkeypatch):
     """Shared passages at all offsets, periodic texts, repeats inside a text, copies."""
     dice = random.Random(7)
     shared = [" ".join(dice.choice("abcdefghij") for _ in range(dice.randint(5, 90))) for _ in range(25)]
@@ -61,7 +61,8 @@ def test_random_texts(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     want = truth(enumerate(texts))
     assert found(df) == want
-    # One pattern an automaton, two segments a salt: every phrase is dealt over parts and salts.
+    # One pattern an automaton, two segments a salt, and phrases dealt over parts and salts.
+    monkeypatch.setattr(passages, "LARGE", 1)
     assert found(df, per_automaton=1, per_salt=2) == want
     assert found(df, window=12, phrase=5) == truth(enumerate(texts), 12)
 

@@ -11,8 +11,9 @@ anywhere else, in the same text or another one.
 3. The words of the other runs (segments, 62 words at most) are reduced to distinct ones, and
    their windows are counted by 128-bit digests. Those counted twice are the confirmed patterns.
 4. Patterns are compiled into Aho-Corasick automata, sharded by phrase, and all distinct segments
-   of a shard stream through its automaton, which locates every confirmed window. A phrase with very
-   many patterns or segments is dealt over several parts and salts.
+   of a shard go through its automaton, which locates every confirmed window. There are as many
+   shards as keep each small; a phrase with very many patterns or segments is dealt over several
+   parts and salts.
 5. The windows found go back to the texts, which lose the words they cover.
 
 Work and shuffles are linear in the text: a window takes part in one run, a run in one segment, and
@@ -41,9 +42,12 @@ from tracemill.sources.clustered import write_clustered
 
 WINDOW = 35
 PHRASE = 8
-#: Patterns of one automaton (about 100 bytes a node, WINDOW nodes a pattern), and segments it sees.
-PATTERNS = 20_000
-SEGMENTS = 200_000
+#: Patterns of one automaton and segments that it sees, on average over the shards; a phrase with more
+#: than ``LARGE`` times as many is dealt over parts and salts. Small automata are faster, as the
+#: library searches the first words of its patterns one by one.
+PATTERNS = 512
+SEGMENTS = 2048
+LARGE = 16
 
 _CHUNK_BYTES = 4_000_000
 _POSITION_BITS = 31
@@ -55,7 +59,8 @@ _WORD_WEIGHTS = _RANDOM.integers(1, 1 << 63, PHRASE, dtype=np.uint64) | np.uint6
 def plain_words(text: Column) -> Column:
     """The words of a text joined by single blanks; empty for NULL."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
-    return F.regexp_replace(trimmed, SPACE + "+", " ")
+    # Single blanks, nearly all of the white space, are not matched.
+    return F.regexp_replace(trimmed, r"\x20?[\x09-\x0D]" + SPACE + r"*|\x20" + SPACE + "+", " ")
 
 
 def digest_of(words: Column) -> Column:
@@ -160,7 +165,8 @@ def recurring_runs(texts: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     # Written, so that the join has two plain exchanges and a hot phrase can be split.
     kept = runs.join(materialise(twice, "phrases"), "phrase", "left_semi")
     # One list for each text, no longer than the text.
-    return kept.groupBy("key").agg(F.collect_list(F.struct("start", "n", "phrase")).alias("runs"))
+    lists = kept.groupBy("key").agg(F.collect_list(F.struct("start", "n", "phrase")).alias("runs"))
+    return lists.select("key", *(F.col(f"runs.{c}").alias(c) for c in ("start", "n", "phrase")))
 
 
 # ---- segments and patterns --------------------------------------------------------------
@@ -178,123 +184,120 @@ def _short_digest(text: bytes) -> bytes:
 def _segments(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, words, runs in zip(batch["key"], batch["words"], batch["runs"]):
+            parts: list[bytes] = []
+            for words, start, n in zip(batch["words"], batch["start"], batch["n"]):
                 text = words.encode()
                 starts, ends = _bounds(text)
-                parts = [text[starts[r["start"]] : ends[r["start"] + r["n"] + window - 2]] for r in runs]
-                yield pd.DataFrame(
-                    {
-                        "key": [key] * len(parts),
-                        "start": [r["start"] for r in runs],
-                        "phrase": [r["phrase"] for r in runs],
-                        "seg": [_short_digest(p) for p in parts],
-                        "segment": [p.decode() for p in parts],
-                    }
-                )
+                first, last = starts[start].tolist(), ends[start + n + (window - 2)].tolist()
+                parts += [text[a:b] for a, b in zip(first, last)]
+            counts = [len(x) for x in batch["start"]]
+            yield pd.DataFrame(
+                {
+                    "key": np.repeat(batch["key"].to_numpy(), counts),
+                    "start": np.concatenate(batch["start"].to_list()) if parts else [],
+                    "phrase": np.concatenate(batch["phrase"].to_list()) if parts else [],
+                    "seg": [_short_digest(p) for p in parts],
+                    "segment": [p.decode() for p in parts],
+                }
+            )
 
     return run
 
 
+#: Bits of a place code that hold the window of a segment; the others are the segment's own.
+_AT_BITS = 6
+
+
+def _place_code(seg: bytes) -> int:
+    return int.from_bytes(seg[:8], "big", signed=True) >> _AT_BITS << _AT_BITS
+
+
 def _windows(window: int):
-    """Digests of the windows of distinct segments, with the count of the segment."""
+    """Digests and places of the windows of distinct segments, with the count of the segment."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            seg, at, count, digest = [], [], [], []
-            for s, segment, c in zip(batch["seg"], batch["segment"], batch["c"]):
+            sizes, codes, digest = [], [], []
+            for seg, segment in zip(batch["seg"], batch["segment"]):
                 text = segment.encode()
                 starts, ends = _bounds(text)
                 n = len(starts) - window + 1
-                seg += [s] * n
-                at += range(n)
-                count += [c] * n
-                digest += [_short_digest(text[a:b]) for a, b in zip(starts[:n], ends[window - 1 :])]
-            yield pd.DataFrame({"win": digest, "seg": seg, "at": at, "c": count})
+                code = _place_code(seg)
+                sizes.append(n)
+                codes += range(code, code + n)
+                digest += [_short_digest(text[a:b]) for a, b in zip(starts[:n].tolist(), ends[window - 1 :].tolist())]
+            repeated = {c: np.repeat(batch[c].to_numpy(), sizes) for c in ("phrase", "c")}
+            yield pd.DataFrame({**repeated, "win": digest, "code": codes})
 
     return run
 
 
 def confirmed_patterns(distinct: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(phrase, segment, at): each recurring window once, ``at`` its places in a segment."""
-    found = distinct.select("seg", "segment", "c").mapInPandas(
-        _windows(window), "win binary, seg binary, at int, c long"
+    """(phrase, code): one place for each recurring window.
+
+    A place code is a digest of the segment and the window's number in it. It names the segment
+    among those of its phrase.
+    """
+    found = distinct.select("phrase", "seg", "segment", "c").mapInPandas(
+        _windows(window), "phrase long, c long, win binary, code long"
     )
     # Counted map-side first: a window that is everywhere sends one row for each task.
-    owners = (
-        found.groupBy("win")
-        .agg(F.sum("c").alias("c"), F.min(F.struct("seg", "at")).alias("o"))
-        .where("c > 1")
-        .select("o.seg", "o.at")
-    )
-    # A segment has no more windows than PHRASE and WINDOW allow.
-    places = owners.groupBy("seg").agg(F.collect_list("at").alias("at"))
-    return distinct.select("phrase", "seg", "segment").join(places, "seg").select("phrase", "segment", "at")
+    counted = found.groupBy("phrase", "win").agg(F.sum("c").alias("c"), F.min("code").alias("code"))
+    return counted.where("c > 1").select("phrase", "code")
 
 
 # ---- automata ---------------------------------------------------------------------------
 
 
-class _Shard:
-    """Automaton over the words of a shard's patterns; other words are 0 and match nothing."""
-
-    def __init__(self, window: int):
-        self._window = window
-        self._ids: dict[str, int] = {}
-        self._automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+def _masks(segments: list[tuple[bytes, str, bool]], codes: list[int], window: int) -> Iterator[tuple[bytes, int]]:
+    """Windows of the segments to scan that are patterns, found by the automaton of the patterns."""
+    places: dict[int, list[int]] = {}
+    for code in codes:
+        places.setdefault(code >> _AT_BITS << _AT_BITS, []).append(code & ((1 << _AT_BITS) - 1))
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+    # Words that are in no pattern are 0 and match nothing.
+    ids: dict[str, int] = {}
+    for seg, segment, _ in segments:
+        if found := places.get(_place_code(seg)):
+            words = tuple([ids.setdefault(w, len(ids) + 1) for w in segment.split(" ")])
+            for at in found:
+                automaton.add_word(words[at : at + window])
+    if not len(automaton):
+        return
+    automaton.make_automaton()
+    for seg, segment, scan in segments:
+        if scan:
+            mask = 0
+            for end, _ in automaton.iter(tuple(map(ids.get, segment.split(" "), repeat(0)))):
+                mask |= 1 << (end - window + 1)
+            if mask:
+                yield seg, mask
 
-    def add(self, segment: str, places) -> None:
-        ids = self._ids
-        words = tuple([ids.setdefault(w, len(ids) + 1) for w in segment.split(" ")])
-        for at in places:
-            self._automaton.add_word(words[at : at + self._window])
 
-    def compile(self) -> None:
-        self._automaton.make_automaton()
-
-    def places(self, segment: str) -> int:
-        """Bits of the windows of a segment that are patterns."""
-        if not len(self._automaton):
-            return 0
-        words = tuple(map(self._ids.get, segment.split(" "), repeat(0)))
-        mask = 0
-        for end, _ in self._automaton.iter(words):
-            mask |= 1 << (end - self._window + 1)
-        return mask
+def _locate(window: int):
+    columns = ["shard", "part", "salt", "code", "seg", "segment", "scan"]
 
+    def frame(found: list[tuple[bytes, int]]) -> pd.DataFrame:
+        return pd.DataFrame({"seg": [f[0] for f in found], "mask": np.array([f[1] for f in found], dtype=np.int64)})
 
-def _locate(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cell, shard, ready = None, None, False
+        cell, segments, codes = None, [], []
         for batch in batches:
-            seg, masks = [], []
-            columns = (batch[c] for c in ("shard", "part", "salt", "at", "seg", "segment"))
-            for number, part, salt, at, s, segment in zip(*columns):
-                if (number, part, salt) != cell:
-                    cell, shard, ready = (number, part, salt), _Shard(window), False
-                if at is not None:
-                    shard.add(segment, at)
-                    continue
-                if not ready:
-                    shard.compile()
-                    ready = True
-                if mask := shard.places(segment):
-                    seg.append(s)
-                    masks.append(mask)
-            yield pd.DataFrame({"seg": seg, "mask": np.array(masks, dtype=np.int64)})
+            found: list[tuple[bytes, int]] = []
+            for shard, part, salt, code, seg, segment, scan in zip(*(batch[c] for c in columns)):
+                if (shard, part, salt) != cell:
+                    found += _masks(segments, codes, window)
+                    cell, segments, codes = (shard, part, salt), [], []
+                if seg is None:
+                    codes.append(code)
+                else:
+                    segments.append((seg, segment, scan))
+            yield frame(found)
+        yield frame(list(_masks(segments, codes, window)))
 
     return run
 
 
-def _cells(counted: DataFrame, patterns: int, segments: int) -> DataFrame:
-    """Phrases too large for one automaton: number of parts (patterns) and salts (segments)."""
-    large = counted.where((F.col("n_patterns") > patterns) | (F.col("n_segments") > segments))
-    return large.select(
-        "phrase",
-        F.ceil(F.greatest("n_patterns", F.lit(1)) / patterns).cast("int").alias("parts"),
-        F.ceil(F.greatest("n_segments", F.lit(1)) / segments).cast("int").alias("salts"),
-    )
-
-
 def locate(
     patterns: DataFrame,
     distinct: DataFrame,
@@ -304,34 +307,52 @@ def locate(
     per_salt: int = SEGMENTS,
 ) -> DataFrame:
     """(seg, mask): the windows of every distinct segment that are patterns, as bits."""
-    total = patterns.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
-    shards = max(1, -(-total // per_automaton))
-    counted = (
-        patterns.groupBy("phrase").agg(F.sum(F.size("at")).alias("n_patterns"), F.lit(0).alias("n_segments"))
+    n_patterns, n_segments = patterns.count(), distinct.count()
+    shards = max(1, -(-n_patterns // per_automaton), -(-n_segments // per_salt))
+    sizes = (
+        patterns.groupBy("phrase").agg(F.count(F.lit(1)).alias("p"), F.lit(0).alias("s"))
         .union(distinct.groupBy("phrase").agg(F.lit(0), F.count(F.lit(1))))
         .groupBy("phrase")
-        .agg(F.sum("n_patterns").alias("n_patterns"), F.sum("n_segments").alias("n_segments"))
+        .agg(F.sum("p").alias("p"), F.sum("s").alias("s"))
+        .where((F.col("p") > LARGE * per_automaton) | (F.col("s") > LARGE * per_salt))
     )
+
+    def pieces(rows: str, size: int):
+        return F.ceil(F.greatest(F.col(rows), F.lit(1)) / size).cast("int")
+
     # Hardly ever any rows; written, so that its size is known when the joins are planned.
-    large = materialise(_cells(counted, per_automaton, per_salt), "large-phrases")
-
-    def placed(rows: DataFrame, own: str, all_of: str) -> DataFrame:
-        """Own part or salt by hash, a copy for each of the other."""
-        count = F.coalesce(F.col(f"{own}s"), F.lit(1))
-        copies = F.sequence(F.lit(0), F.coalesce(F.col(f"{all_of}s"), F.lit(1)) - 1)
-        return rows.join(large, "phrase", "left").select(
-            F.pmod(F.xxhash64("phrase"), F.lit(shards)).alias("shard"),
-            F.pmod(F.xxhash64("segment"), count).cast("int").alias(own),
-            F.explode(copies).alias(all_of),
-            "at",
-            "seg",
-            "segment",
-        ).select("shard", "part", "salt", "at", "seg", "segment")
-
-    rules = placed(patterns.withColumn("seg", F.lit(None).cast("binary")), "part", "salt")
-    stream = placed(distinct.withColumn("at", F.lit(None).cast("array<int>")), "salt", "part")
-    cell = ["shard", "part", "salt"]
-    ordered = rules.union(stream).repartition(*cell).sortWithinPartitions(*cell, F.col("at").isNull())
+    large = materialise(
+        sizes.select("phrase", pieces("p", per_automaton).alias("parts"), pieces("s", per_salt).alias("salts")),
+        "large-phrases",
+    )
+
+    def cell(part, salt, scan):
+        return F.struct(part.cast("int").alias("part"), salt.cast("int").alias("salt"), scan.alias("scan"))
+
+    def dealt(rows: DataFrame, code, streamed: bool) -> DataFrame:
+        """Patterns, and the segments they stand in, go to their part in each salt; segments to be
+        scanned go to their salt in each part. Phrases that are not large have one of each.
+        """
+        name = F.shiftright(code, _AT_BITS)
+        part = F.pmod(F.xxhash64(name), F.col("parts"))
+        cells = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda k: cell(part, k, F.lit(False)))
+        if streamed:
+            salt = F.pmod(F.xxhash64(name, F.lit(1)), F.col("salts"))
+            own = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: cell(k, salt, F.lit(True)))
+            cells = F.concat(cells, own)
+        whole = F.array(cell(F.lit(0), F.lit(0), F.lit(True)))
+        shard = F.pmod(F.xxhash64("phrase"), F.lit(shards)).alias("shard")
+        spread = rows.join(large, "phrase", "left").select(
+            shard, "code", "seg", "segment", F.explode(F.when(F.col("parts").isNull(), whole).otherwise(cells)).alias("c")
+        )
+        return spread.select("shard", "c.part", "c.salt", "code", "seg", "segment", "c.scan")
+
+    nothing = [F.lit(None).cast("binary").alias("seg"), F.lit(None).cast("string").alias("segment")]
+    rules = dealt(patterns.select("phrase", "code", *nothing), F.col("code"), False)
+    # The first 8 bytes of the digest as a number, as in a place code.
+    head = F.conv(F.hex(F.substring("seg", 1, 8)), 16, -10).cast("long")
+    stream = dealt(distinct.select("phrase", head.alias("code"), "seg", "segment"), F.col("code"), True)
+    ordered = rules.union(stream).repartition("shard", "part", "salt").sortWithinPartitions("shard", "part", "salt")
     masks = ordered.mapInPandas(_locate(window), "seg binary, mask long")
     # Parts of one phrase find different windows of a segment.
     return masks.groupBy("seg").agg(F.bit_or("mask").alias("mask"))
@@ -388,7 +409,7 @@ def without_passages(
         raise ValueError("at most 63 windows may share a phrase")
     texts = distinct_texts(docs)
     runs = recurring_runs(texts, window, phrase)
-    segments = texts.select("key", "words").join(runs, "key").mapInPandas(
+    segments = texts.select("key", "words").join(runs, "key").select("key", "words", "start", "n", "phrase").mapInPandas(
         _segments(window), "key binary, start int, phrase long, seg binary, segment string"
     )
     segments = materialise(segments, "segments")
