@@ -107,13 +107,13 @@ def test_nodes_are_skipped():
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(40, 16)) * 3
     tree, whole = tree_of(np.repeat(centres, 100, axis=0) + rng.normal(size=(4000, 16)) * 0.05)
-    best, seen = negatives._Best(5), []
-
-    def take(members):
-        seen.append(len(members))
-        best.add(tree.products(whole[0], members), tree.ids[members])
-
-    tree.search(whole[0], lambda: best.bar, lambda low, high: high >= best.bar, take)
+    seen = []
+    products = tree.products
+    tree.products = lambda q, members: seen.append(len(members)) or products(q, members)
+    search = negatives._Search(
+        tree, whole[:1], np.array([-1]), np.array([0]), np.array([[negatives._FAR]]), np.array([[1 << 62]]), True, 5
+    )
+    search.run()
     exact = whole @ whole[0]
-    assert best.pairs == sorted(zip((-exact).astype(int).tolist(), range(4000)))[:5]
+    assert list(zip((-search.scores).tolist(), search.found.tolist())) == sorted(zip((-exact).astype(int).tolist(), range(4000)))[:5]
     assert sum(seen) < 800

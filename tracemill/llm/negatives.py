@@ -25,7 +25,6 @@ result. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracemill.llm.common import group_starts
 from tracemill.session import materialise
 
 POSITIVES = 5
@@ -44,6 +44,8 @@ PART_ROWS = 4096
 BLOCK_ROWS = 65_536
 CELL_ROWS = 8192
 PIVOTS = 1024
+#: Anchors that descend a tree together.
+TOGETHER = 256
 #: Rows from which pivots are chosen, for each pivot.
 SAMPLED = 8
 LEAF = 48
@@ -254,113 +256,151 @@ class CoverTree:
             self.members[node] = members
 
     def products(self, q: np.ndarray, members: np.ndarray) -> np.ndarray:
-        """Exact inner products of an anchor with some candidates."""
+        """Exact inner products of anchors (rows) with some candidates (columns)."""
         if self._exact:
-            return (self.vectors[members] @ q).astype(np.int64)
-        return self._whole[members] @ q.astype(np.int64)
+            return (q @ self.vectors[members].T).astype(np.int64)
+        return q.astype(np.int64) @ self._whole[members].T
 
-    def search(self, q: np.ndarray, bar, wanted, take) -> None:
-        """Best-first descent: leaves go to ``take(members)``, nodes that ``wanted`` refuses are skipped.
+    def leaves(self, q: np.ndarray, wanted) -> tuple[np.ndarray, ...]:
+        """(anchor, leaf, low, high) of the leaves that are left when the levels are descended.
 
-        ``wanted(low, high)`` gets the bounds of a node; ``bar()`` is the score below which nothing
-        is looked for any more.
+        ``wanted(low, high)`` says which bounds, one row for each anchor, leave a chance; nodes that it
+        refuses are skipped with all that is below them.
         """
-        low, high = _bounds(q[None, :], self._centres[:1], self._radii[:1], self.top)
-        heap = [(-high[0, 0], low[0, 0], 0)]
-        while heap:
-            high, low, node = heapq.heappop(heap)
-            if -high < bar():
-                break
-            if not wanted(low, -high):
-                continue
-            if self.members[node] is not None:
-                take(self.members[node])
-                continue
-            first, last = self.children[node]
-            lows, highs = _bounds(q[None, :], self._centres[first:last], self._radii[first:last], self.top)
-            for k in range(first, last):
-                heapq.heappush(heap, (-highs[0, k - first], lows[0, k - first], k))
-
-
-class _Best:
-    """The first ``count`` of (score, id) pairs, highest score and then smallest id first."""
-
-    def __init__(self, count: int, bar: int = _FAR):
-        self._count, self.pairs, self.bar = count, [], bar
-
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        good = scores >= self.bar
-        if not good.any():
-            return
-        pairs = self.pairs + list(zip((-scores[good]).tolist(), ids[good].tolist()))
-        self.pairs = heapq.nsmallest(self._count, pairs)
-        if len(self.pairs) == self._count:
-            # Equal scores may still win by their id.
-            self.bar = max(self.bar, -self.pairs[-1][0])
-
-
-def _positives(tree: CoverTree, row, count: int) -> list[tuple]:
-    q = np.asarray(row.vec, dtype=np.float64)
-    best = _Best(count, row.bar)
-
-    def take(members):
-        members = members[(tree.labels[members] == row.label) & (tree.ids[members] != row.id)]
-        best.add(tree.products(q, members), tree.ids[members])
-
-    tree.search(q, lambda: best.bar, lambda low, high: high >= best.bar, take)
-    return [(row.anchor, None, i, -s, None) for s, i in best.pairs]
-
-
-def _negatives(tree: CoverTree, row, count: int) -> list[tuple]:
-    q = np.asarray(row.vec, dtype=np.float64)
-    # Windows by positive score; 80 p <= 100 n is n >= ceil(4 p / 5).
-    windows = [(p["id"], p["score"], _Best(count, -(-4 * p["score"] // 5))) for p in row.positives]
-    windows = [w for w in windows if w[2].bar <= w[1]]
-
-    def take(members):
-        members = members[tree.labels[members] != row.label]
-        scores, ids = tree.products(q, members), tree.ids[members]
-        for _, high, best in windows:
-            inside = scores <= high
-            best.add(scores[inside], ids[inside])
-
-    def bar():
-        return min((best.bar for _, _, best in windows), default=-_FAR)
-
-    def wanted(low, high):
-        return any(low <= top and high >= best.bar for _, top, best in windows)
+        nodes, active = np.array([0]), np.ones((len(q), 1), dtype=bool)
+        found = []
+        while len(nodes):
+            low, high = _bounds(q, self._centres[nodes], self._radii[nodes], self.top)
+            active = active & wanted(low, high)
+            leaf = np.array([self.members[n] is not None for n in nodes])
+            anchor, at = np.nonzero(active & leaf)
+            found.append((anchor, nodes[at], low[anchor, at], high[anchor, at]))
+            go = np.flatnonzero(active.any(axis=0) & ~leaf)
+            spans = [self.children[n] for n in nodes[go]]
+            nodes = np.concatenate([np.arange(*span) for span in spans]) if spans else np.zeros(0, dtype=int)
+            active = active[:, np.repeat(go, [last - first for first, last in spans])]
+        return tuple(np.concatenate(column) for column in zip(*found))
+
+
+def _rank_in(group: np.ndarray) -> np.ndarray:
+    """Place of each entry of a sorted array among its equals."""
+    first = np.append(True, group[1:] != group[:-1]) if len(group) else np.zeros(0, dtype=bool)
+    return np.arange(len(group)) - np.maximum.accumulate(np.where(first, np.arange(len(group)), 0))
+
+
+class _Search:
+    """The first ``count`` candidates in every window [least, most] of a block of anchors.
+
+    Highest score first, then smallest id. ``least`` rises to the last of the first ``count`` as they
+    are found, so that the later leaves of an anchor, which are taken best bound first, fall away.
+    """
 
-    if windows:
-        tree.search(q, bar, wanted, take)
-    return [(row.anchor, i, n, -s, p) for i, p, best in windows for s, n in best.pairs]
+    def __init__(self, tree: CoverTree, q, ids, labels, least, most, same: bool, count: int):
+        self._tree, self._q, self._ids, self._labels = tree, q, ids, labels
+        self._least, self._most, self._same, self._count = least, most, same, count
+        nothing = np.zeros(0, dtype=np.int64)
+        self.slots, self.scores, self.found = nothing, nothing, nothing
+
+    def _wanted(self, low: np.ndarray, high: np.ndarray, anchor=slice(None)) -> np.ndarray:
+        """For bounds of one row, or one entry, for each of ``anchor``."""
+        chance = np.zeros(low.shape, dtype=bool)
+        for w in range(self._least.shape[1]):
+            least, most = self._least[anchor, w], self._most[anchor, w]
+            if low.ndim == 2:
+                least, most = least[:, None], most[:, None]
+            chance |= (low <= most) & (high >= least)
+        return chance
+
+    def run(self) -> None:
+        anchor, leaf, low, high = self._tree.leaves(self._q, self._wanted)
+        order = np.lexsort((-high, anchor))
+        anchor, leaf, low, high = anchor[order], leaf[order], low[order], high[order]
+        rank, first, size = _rank_in(anchor), 0, 2
+        while first <= rank.max(initial=-1):
+            now = np.flatnonzero((rank >= first) & (rank < first + size))
+            now = now[self._wanted(low[now], high[now], anchor[now])]
+            self._verify(anchor[now], leaf[now])
+            first, size = first + size, size * 3
+
+    def _verify(self, anchor: np.ndarray, leaf: np.ndarray) -> None:
+        order = np.argsort(leaf, kind="stable")
+        anchor, leaf = anchor[order], leaf[order]
+        new = [(self.slots, self.scores, self.found)]
+        for group in np.split(np.arange(len(leaf)), np.flatnonzero(np.diff(leaf)) + 1):
+            if not len(group):
+                continue
+            a, members = anchor[group], self._tree.members[leaf[group[0]]]
+            scores, ids = self._tree.products(self._q[a], members), self._tree.ids[members]
+            good = (self._labels[a][:, None] == self._tree.labels[members]) == self._same
+            good &= ids != self._ids[a][:, None]
+            for w in range(self._least.shape[1]):
+                hit = good & (scores <= self._most[a, w][:, None]) & (scores >= self._least[a, w][:, None])
+                row, column = np.nonzero(hit)
+                new.append((a[row] * self._least.shape[1] + w, scores[row, column], ids[column]))
+        slots, scores, found = (np.concatenate(c) for c in zip(*new))
+        order = np.lexsort((found, -scores, slots))
+        slots, scores, found = slots[order], scores[order], found[order]
+        rank = _rank_in(slots)
+        keep = rank < self._count
+        self.slots, self.scores, self.found = slots[keep], scores[keep], found[keep]
+        full = rank == self._count - 1
+        least = self._least.reshape(-1)
+        least[slots[full]] = np.maximum(least[slots[full]], scores[full])
+
+
+def _windows(scores: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of negatives for positive scores p: 80 p <= 100 n is n >= ceil(4 p / 5). Short rows get empty ones."""
+    most = np.full((len(scores), max((len(s) for s in scores), default=0)), -1, dtype=np.int64)
+    for k, s in enumerate(scores):
+        most[k, : len(s)] = s
+    return np.where(most < 0, 0, -(-4 * most // 5)), most
 
 
 FOUND = "anchor long, positive_id long, id long, score long, positive_score long"
 
 
-def _descend(search, levels_top: dict[int, float], count: int):
-    names = [column.split()[0] for column in FOUND.split(", ")]
+def _search_block(tree: CoverTree, rows: pd.DataFrame, negatives: bool, count: int) -> pd.DataFrame:
+    q = _stack(rows["vec"])
+    if negatives:
+        least, most = _windows(rows["pos_scores"].to_list())
+    else:
+        least, most = rows["bar"].to_numpy(dtype=np.int64)[:, None].copy(), np.full((len(rows), 1), _NO_ID)
+    search = _Search(tree, q, rows["id"].to_numpy(), rows["label"].to_numpy(), least, most, not negatives, count)
+    search.run()
+    anchor, window = np.divmod(search.slots, max(1, least.shape[1]))
+    out = pd.DataFrame({"anchor": rows["anchor"].to_numpy()[anchor], "id": search.found, "score": search.scores})
+    if negatives:
+        places = list(zip(anchor, window))
+        out["positive_id"] = np.array([rows["pos_ids"].iloc[a][w] for a, w in places], dtype=np.int64)
+        out["positive_score"] = most[anchor, window]
+    else:
+        out["positive_id"] = out["positive_score"] = np.int64(0)
+    return out[[column.split()[0] for column in FOUND.split(", ")]]
+
+
+def _descend(negatives: bool, tops: dict[int, float], count: int):
+    keys = ["dims", "cell", "part", "block"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cell, held, tree = None, [], None
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                here = (row.dims, row.cell, row.part, row.block)
+            edges = group_starts(batch, [*keys, "asked"]) if len(batch) else [0]
+            for first, last in zip(edges, edges[1:]):
+                rows = batch.iloc[first:last]
+                here = tuple(rows[keys].iloc[0])
                 if here != cell:
                     cell, held, tree = here, [], None
-                if not row.asked:
-                    held.append((row.id, row.label, row.vec))
+                if not rows["asked"].iloc[0]:
+                    held.append(rows[["id", "label", "vec"]])
                     continue
                 if tree is None:
-                    if not held:
-                        continue
-                    ids, labels, vectors = zip(*held)
-                    stacked = np.stack(vectors).astype(np.float64)
-                    tree = CoverTree(np.array(ids, dtype=np.int64), np.array(labels), stacked, levels_top[row.dims])
+                    points = pd.concat(held)
+                    tree = CoverTree(
+                        points["id"].to_numpy(), points["label"].to_numpy(), _stack(points["vec"]), tops[here[0]]
+                    )
                     held = []
-                out += search(tree, row, count)
-            yield pd.DataFrame(out, columns=names)
+                for at in range(0, len(rows), TOGETHER):
+                    yield _search_block(tree, rows.iloc[at : at + TOGETHER], negatives, count)
 
     return run
 
@@ -379,37 +419,38 @@ def _route(levels: dict[int, _Level], home_only: bool, windows: bool):
                 low, high = _bounds(_stack(batch["vec"].iloc[at]), level.pivots, level.radii, level.top)
                 filled = level.parts > 0
                 homes = np.where(filled, high, -np.inf).argmax(axis=1)
+                if windows:
+                    least, most = _windows(batch["pos_scores"].iloc[at].to_list())
+                    meets = np.zeros(high.shape, dtype=bool)
+                    for w in range(least.shape[1]):
+                        some = (least[:, w] <= most[:, w])[:, None]
+                        meets |= some & (high >= least[:, [w]]) & (low <= most[:, [w]])
+                else:
+                    meets = high >= batch["bar"].to_numpy()[at][:, None]
+                    # The first pass goes home, the second everywhere else.
+                    at_home = np.zeros(high.shape, dtype=bool)
+                    at_home[np.arange(len(at)), homes] = True
+                    meets = meets & (at_home if home_only else ~at_home)
                 for k, row in enumerate(at):
-                    if home_only:
-                        go = [homes[k]]
-                    elif windows:
-                        spans = [(-(-4 * p["score"] // 5), p["score"]) for p in batch["positives"].iloc[row]]
-                        meets = np.zeros(len(filled), dtype=bool)
-                        for least, most in spans:
-                            if least <= most:
-                                meets |= (high[k] >= least) & (low[k] <= most)
-                        go = np.flatnonzero(meets & filled)
-                    else:
-                        # The first pass has been in the home cell.
-                        meets = (high[k] >= batch["bar"].iloc[row]) & filled
-                        meets[homes[k]] = False
-                        go = np.flatnonzero(meets)
-                    cells[row] = [{"cell": int(c), "parts": int(level.parts[c])} for c in go]
+                    cells[row] = [{"cell": int(c), "parts": int(level.parts[c])} for c in np.flatnonzero(meets[k] & filled)]
             yield batch.assign(cells=list(cells))
 
     return run
 
 
 _ANCHOR = (
-    "anchor long, id long, label long, vec array<int>, dims int, bar long, "
-    "positives array<struct<score: long, id: long>>"
+    "anchor long, id long, label long, vec array<int>, dims int, bar long, pos_ids array<long>, pos_scores array<long>"
 )
 
 
-def _pass(parts, anchors, levels, search, count, *, home_only=False, windows=False, blocks=1) -> DataFrame:
+def _nobody():
+    return [F.lit(None).cast("array<long>").alias(c) for c in ("pos_ids", "pos_scores")]
+
+
+def _pass(parts, anchors, levels, count, *, home_only=False, windows=False, blocks=1) -> DataFrame:
     """Send anchors to the parts of their cells and search there."""
     routed = anchors.mapInPandas(_route(levels, home_only, windows), f"{_ANCHOR}, cells array<struct<cell: int, parts: int>>")
-    columns = ["dims", "cell", "part", "block", "asked", "anchor", "id", "label", "vec", "bar", "positives"]
+    columns = ["dims", "cell", "part", "block", "asked", "anchor", "id", "label", "vec", "bar", "pos_ids", "pos_scores"]
     visits = (
         routed.withColumn("c", F.explode("cells"))
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("c.parts") - 1)))
@@ -420,13 +461,12 @@ def _pass(parts, anchors, levels, search, count, *, home_only=False, windows=Fal
     )
     # No NULL numbers: pandas would turn the column into floating point.
     zeros = [F.lit(0).cast("long").alias(c) for c in ("anchor", "bar")]
-    nobody = F.lit(None).cast("array<struct<score: long, id: long>>").alias("positives")
-    there = parts.select("*", F.lit(False).alias("asked"), *zeros, nobody, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).select(*columns)
+    there = parts.select("*", F.lit(False).alias("asked"), *zeros, *_nobody(), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).select(*columns)
     cell = ["dims", "cell", "part", "block"]
     # Candidates come first and grow the tree.
     met = there.union(visits).repartition(*cell).sortWithinPartitions(*cell, "asked")
     tops = {d: level.top for d, level in levels.items()}
-    return met.mapInPandas(_descend(search, tops, count), FOUND)
+    return met.mapInPandas(_descend(windows, tops, count), FOUND)
 
 
 def hard_negatives(
@@ -446,12 +486,11 @@ def hard_negatives(
     rows = materialise(candidates(usable), "candidates")
     levels = _levels(rows, cell_rows)
     parts = materialise(_with_cells(rows, levels, part_rows), "candidate-parts")
-    nobody = F.lit(None).cast("array<struct<score: long, id: long>>")
     # Anchors are few enough to be numbered by hash: two vectors may share an id.
     asking = usable.where((F.col("id") % every == 0) & (F.col("id") != _NO_ID)).distinct()
     anchors = asking.select(
         F.xxhash64("id", "label", "vec").alias("anchor"), "id", "label", "vec", "dims",
-        F.lit(_FAR).cast("long").alias("bar"), nobody.alias("positives"),
+        F.lit(_FAR).cast("long").alias("bar"), *_nobody(),
     )
     anchors = materialise(anchors, "anchors")
     blocks = max(1, -(-anchors.count() // block_rows))
@@ -461,17 +500,18 @@ def hard_negatives(
         ranked = found.withColumn("_n", F.row_number().over(by_anchor)).where(F.col("_n") <= positives)
         return ranked.drop("_n")
 
-    near = first(_pass(parts, anchors, levels, _positives, positives, home_only=True, blocks=blocks))
+    near = first(_pass(parts, anchors, levels, positives, home_only=True, blocks=blocks))
     near = materialise(near, "near-positives")
     full = near.groupBy("anchor").agg(F.min("score").alias("_bar"), F.count(F.lit(1)).alias("_n"))
     barred = anchors.join(full, "anchor", "left").withColumn(
         "bar", F.when(F.col("_n") == positives, F.col("_bar")).otherwise(F.col("bar"))
     )
-    far = _pass(parts, barred.select(*anchors.columns), levels, _positives, positives, blocks=blocks)
+    far = _pass(parts, barred.select(*anchors.columns), levels, positives, blocks=blocks)
     best = first(near.unionByName(far))
-    pairs = best.groupBy("anchor").agg(F.collect_list(F.struct("score", "id")).alias("positives"))
-    looking = materialise(anchors.drop("positives").join(pairs, "anchor").select(*anchors.columns), "looking")
-    found = _pass(parts, looking, levels, _negatives, negatives, windows=True, blocks=blocks)
+    pairs = best.groupBy("anchor").agg(F.collect_list(F.struct("score", "id")).alias("p"))
+    pairs = pairs.select("anchor", F.col("p.id").alias("pos_ids"), F.col("p.score").alias("pos_scores"))
+    looking = materialise(anchors.drop("pos_ids", "pos_scores").join(pairs, "anchor").select(*anchors.columns), "looking")
+    found = _pass(parts, looking, levels, negatives, windows=True, blocks=blocks)
     of_pair = Window.partitionBy("anchor", "positive_id", "positive_score").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(of_pair)).where(F.col("rank") <= negatives)
 
