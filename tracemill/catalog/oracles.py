@@ -6,8 +6,15 @@ TOKEN = "[A-Za-z0-9_]+|[^A-Za-z0-9_]"
 SEP = "chr(10) || chr(10)"
 
 
+#: Read by several others: worked out once, or the database repeats them for each reader.
+_SHARED = {"tok", "dict", "masked", "best", "enc", "teacher"}
+
+
 def _with(ctes: dict[str, str], select: str) -> str:
-    return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in ctes.items()) + "\n" + select
+    def clause(name: str) -> str:
+        return f"{name} AS {'MATERIALIZED ' if name in _SHARED else ''}({ctes[name]})"
+
+    return "WITH " + ",\n".join(map(clause, ctes)) + "\n" + select
 
 
 # ---- conversations ----------------------------------------------------------------------
