@@ -282,7 +282,7 @@ def all_oracles() -> dict[str, str]:
         _TOOLTOKENS,
         "SELECT trajectory_id, instance_id, repo, n_tokens, input_ids FROM sample JOIN names USING (trajectory_id)",
     )
-    return {
+    found = {
         "s1_load_trajectories": _with(
             {**_DOCS},
             """SELECT CAST(d.doc_id AS VARCHAR) AS trajectory_id, lang || '-' || d.doc_id AS instance_id, source AS repo,
@@ -798,3 +798,22 @@ def all_oracles() -> dict[str, str]:
             for epoch in ("0", "1")
         ),
     }
+    found["k14_clustered"] = found["k14_batch_kl"]
+    found["evaluate_clustered"] = found["evaluate_epoch"]
+    found["s11_store_summary"] = _with(
+        _HEADERS,
+        "SELECT count(*) AS n_trajectories, count(*) AS n_without_mask, true AS all_files, true AS all_bytes FROM hdr",
+    )
+    once = """count(*) AS n_{0}, CAST(sum((pos + 1) * CAST(token_id AS BIGINT)) AS BIGINT) AS id_sum_{0},
+              round(sum(coalesce(val, 0)), 3) AS val_sum_{0}"""
+    found["s6_compacted_cache"] = _with(
+        {
+            **_COUNTS,
+            "vals": """
+                SELECT trajectory_id, pos, sum(CAST(CAST(val AS FLOAT) AS DOUBLE)) AS val FROM teacher GROUP BY 1, 2""",
+        },
+        f"""SELECT trajectory_id, {once.format('before')}, {once.format('after')}, CAST(max(pos) + 1 AS INTEGER) AS seq_len,
+                   CASE WHEN CAST(trajectory_id AS BIGINT) % 3 = 0 THEN 'first' ELSE 'second' END AS run_id
+            FROM enc LEFT JOIN vals USING (trajectory_id, pos) GROUP BY 1""",
+    )
+    return found

@@ -13,12 +13,13 @@ from tracemill.functions.distributions import probabilities, teacher_exponents
 from tracemill.functions.text import Template, called_functions, normalise_arguments
 from tracemill.operators import batching, divergence, filters, profile, render, scores, tokens
 from tracemill.plans import batches
-from tracemill.plans.evaluate import assign_epoch, evaluate
+from tracemill.plans.evaluate import assign_epoch, evaluate, evaluate_store
 from tracemill.plans.prepare import prepare_gold, tokenize_trajectories
 from tracemill.plans.score import build_cache, build_samples
 from tracemill.session import fresh_path, materialise
 from tracemill.sources import choose, npz, score_cache, tokenized
 from tracemill.sources import trajectories as stored
+from tracemill.sources.score_store import ScoreStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -287,6 +288,55 @@ def s11_cache_summary(spark, sf_dir):
     return summary.select("n_trajectories", "n_without_mask", "n_files", (F.col("total_gb") > 0).alias("has_bytes"))
 
 
+def _store_rows(spark, sf_dir):
+    teacher, student = fx.count_scores(spark, sf_dir, K)
+    bounds = render.prompt_boundary(render.locate_parts(fx.messages(spark, sf_dir))).select("trajectory_id", "prompt_boundary")
+    return tokens.valid_mask(teacher).join(bounds, "trajectory_id"), student
+
+
+@query
+def s6_compacted_cache(spark, sf_dir):
+    """Three runs, the last of which has trajectories of the first again, and one that died; read before
+    and after compaction.
+    """
+    path = fresh_path(spark, "store")
+    store = ScoreStore(spark, path)
+    rows = materialise(_store_rows(spark, sf_dir)[0], "scores")
+    part = F.pmod(F.col("trajectory_id").cast("bigint"), F.lit(3))
+    for run, wanted in (("first", part == 0), ("second", part > 0), ("third", part < 2)):
+        store.append(rows.where(wanted), run)
+    rows.write.parquet(f"{path}/runs/dead/positions")
+    before = store.snapshot()
+    after = store.compact()
+
+    def sums(snapshot, name):
+        return store.positions(snapshot).groupBy("trajectory_id").agg(
+            F.count("*").alias(f"n_{name}"),
+            F.sum((F.col("pos") + 1) * F.col("token_id").cast("bigint")).alias(f"id_sum_{name}"),
+            F.round(F.sum(_total("top_vals")), 3).alias(f"val_sum_{name}"),
+        )
+
+    return sums(before, "before").join(sums(after, "after"), "trajectory_id").join(
+        store.headers(after).select("trajectory_id", "run_id", "seq_len"), "trajectory_id"
+    )
+
+
+@query
+def s11_store_summary(spark, sf_dir):
+    """The size by the manifest against the sizes of the files that Spark reads."""
+    store = ScoreStore(spark, fresh_path(spark, "store"))
+    store.append(_store_rows(spark, sf_dir)[0].withColumn("loss_mask", F.lit(None).cast("int")))
+    store.compact()
+    files = store.chunks().select("_metadata.file_path", "_metadata.file_size").distinct()
+    seen = files.agg(F.count("*").alias("n"), F.sum("file_size").alias("size")).first()
+    return store.summary().select(
+        "n_trajectories",
+        "n_without_mask",
+        (F.col("n_files") == F.lit(seen.n)).alias("all_files"),
+        (F.round(F.col("total_gb") * 1e9) == F.lit(seen.size)).alias("all_bytes"),
+    )
+
+
 @query
 def s13_quarantine(spark, sf_dir):
     samples = build_samples(fx.gold_messages(spark, sf_dir), _gold_dictionary(spark, sf_dir))
@@ -737,6 +787,20 @@ def k14_batch_kl(spark, sf_dir):
     )
 
 
+@query
+def k14_clustered(spark, sf_dir):
+    """Batch losses from a compacted store."""
+    store = ScoreStore(spark, fresh_path(spark, "store"))
+    rows, student = _store_rows(spark, sf_dir)
+    store.append(rows)
+    version = store.compact()
+    gathered = divergence.gather_student_chunks(store.chunks(version), student, buckets=version.buckets)
+    order = batching.shuffled_index(_ids(spark, sf_dir), 0)
+    placed = batching.assign_batches(order, 8).select("trajectory_id", "batch_id")
+    sums = divergence.sample_sums(divergence.position_kl(gathered)).join(placed, "trajectory_id")
+    return divergence.batch_loss(sums).select("batch_id", "n_masked", F.round("loss", 6).alias("loss"))
+
+
 @query
 def k15_mean_of_samples(spark, sf_dir):
     return divergence.batch_mean_of_samples(_batched_sums(spark, sf_dir), accumulation_steps=4).select(
@@ -991,3 +1055,18 @@ def evaluate_epoch(spark, sf_dir):
         return evaluate(teacher, student, assignment).withColumn("epoch", F.lit(epoch))
 
     return losses(0).unionByName(losses(1)).withColumn("avg_loss", F.round("avg_loss", 6))
+
+
+@query
+def evaluate_clustered(spark, sf_dir):
+    """``evaluate_epoch`` from a compacted store: scored once, evaluated for two epochs."""
+    store = ScoreStore(spark, fresh_path(spark, "store"))
+    rows, student = _store_rows(spark, sf_dir)
+    store.append(rows)
+    store.compact()
+    student = materialise(student, "student")
+
+    def losses(epoch):
+        return evaluate_store(store, student, assign_epoch(_ids(spark, sf_dir), epoch, 8)).withColumn("epoch", F.lit(epoch))
+
+    return losses(0).unionByName(losses(1)).withColumn("avg_loss", F.round("avg_loss", 6))

@@ -30,7 +30,10 @@ def student_log_softmax(student: DataFrame, temperature: float = 1.0) -> DataFra
 
 def _gather(teacher: DataFrame, scores: DataFrame, z: Column) -> DataFrame:
     """Join student rows (_z, _lse) by position; ``z`` has their scores at the teacher's ids."""
-    joined = teacher.join(scores, ["trajectory_id", "pos"], "left")
+    return _at_ids(teacher.join(scores, ["trajectory_id", "pos"], "left"), z)
+
+
+def _at_ids(joined: DataFrame, z: Column) -> DataFrame:
     logp = F.zip_with(z, F.array_repeat(F.col("_lse"), F.size("top_ids")), lambda z, lse: z - lse)
     missing = F.size(F.filter("student_logp", lambda x: x.isNull()))
     return (
@@ -48,23 +51,69 @@ def gather_student(teacher: DataFrame, student: DataFrame, *, shift: int = 0) ->
     listed twice for one position are an error. Where both sides list the same ids in the same
     order, as students scored at the teacher's ids do, scores are taken by position.
     """
-    twice = F.size(F.array_distinct("ids")) < F.size("ids")
-    problem = F.raise_error(F.lit("a student id is listed twice")).cast("array<int>")
     scores = student.select(
         "trajectory_id",
         (F.col("pos") + shift).cast("int").alias("pos"),
-        F.when(twice, problem).otherwise(F.col("ids").cast("array<int>")).alias("_ids"),
+        F.col("ids").cast("array<int>").alias("_ids"),
         F.col("z").alias("_z"),
         F.col("lse").alias("_lse"),
     )
+    return _gather(teacher, scores, _listed()).drop("_ids")
+
+
+def _listed() -> Column:
+    """Student scores (_ids, _z) at the teacher's ids; an id listed twice is an error."""
 
     def place(i: Column) -> Column:
         at = F.array_position(F.col("_ids"), i)
         return F.when(at > 0, F.get(F.col("_z"), (at - 1).cast("int")))
 
+    twice = F.size(F.array_distinct("_ids")) < F.size("_ids")
+    problem = F.raise_error(F.lit("a student id is listed twice")).cast("array<double>")
+    # A teacher lists no id twice, so neither does a student that lists the same.
     aligned = F.col("_ids") == F.col("top_ids")
-    z = F.when(aligned, F.col("_z")).otherwise(F.transform("top_ids", place))
-    return _gather(teacher, scores, z).drop("_ids")
+    return F.when(aligned, F.col("_z")).when(twice, problem).otherwise(F.transform("top_ids", place))
+
+
+def gather_student_chunks(chunks: DataFrame, student: DataFrame, *, shift: int = 0, buckets: int | None = None) -> DataFrame:
+    """``gather_student`` for a cache stored as chunk rows (trajectory_id, chunk, format, rows).
+
+    Student rows are shuffled into chunks, ``buckets`` of them if the cache is bucketed so; the
+    cache is read where it lies. Result: positions, as from ``gather_student``.
+    """
+    keys = ["trajectory_id", "chunk"]
+    scores = student.select(
+        "trajectory_id",
+        F.floor((F.col("pos") + shift) / fixed.CHUNK_POSITIONS).cast("int").alias("chunk"),
+        F.struct(
+            (F.col("pos") + shift).cast("int").alias("pos"),
+            F.col("ids").cast("array<int>").alias("_ids"),
+            F.col("z").alias("_z"),
+            F.col("lse").alias("_lse"),
+        ).alias("s"),
+    )
+    scores = scores.repartition(buckets, *keys) if buckets else scores
+    # No more rows than a chunk has positions.
+    lists = scores.groupBy(*keys).agg(F.sort_array(F.collect_list("s")).alias("_s"))
+    first, last = F.get("_s", F.lit(0))["pos"], F.element_at("_s", -1)["pos"]
+    # Gaps are filled, so that a position is found by its distance from the first.
+    dense = F.when(last - first + 1 == F.size("_s"), F.col("_s")).otherwise(
+        F.transform(F.sequence(first, last), lambda p: F.get(F.filter("_s", lambda s: s["pos"] == p), F.lit(0)))
+    )
+    lists = lists.select(*keys, first.alias("_first"), dense.alias("_s"))
+    joined = chunks.join(lists.hint("merge"), keys, "left").select(
+        *keys,
+        "format",
+        F.explode(
+            F.zip_with(
+                "rows",
+                F.transform("rows", lambda r: F.get(F.col("_s"), r["pos"] - F.col("_first"))),
+                lambda r, s: F.struct(r.alias("r"), s.alias("s")),
+            )
+        ).alias("e"),
+    )
+    rows = joined.select(*keys, "format", "e.r.*", "e.s._ids", "e.s._z", "e.s._lse")
+    return _at_ids(rows, _listed()).drop("_ids")
 
 
 def gather_dense(teacher: DataFrame, student: DataFrame, temperature: float = 1.0) -> DataFrame:

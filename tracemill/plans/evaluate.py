@@ -7,9 +7,18 @@ from pyspark.sql import functions as F
 
 from tracemill import fixed
 from tracemill.operators.batching import assign_batches, shuffled_index, split_train_val
-from tracemill.operators.divergence import batch_loss, chosen_mask, gather_student, mean_of_batches, position_kl, sample_sums
+from tracemill.operators.divergence import (
+    batch_loss,
+    chosen_mask,
+    gather_student,
+    gather_student_chunks,
+    mean_of_batches,
+    position_kl,
+    sample_sums,
+)
 from tracemill.operators.ordering import hash_index
 from tracemill.operators.tokens import truncate_positions
+from tracemill.sources.score_store import ScoreStore
 
 
 def assign_epoch(
@@ -36,10 +45,32 @@ def evaluate(
     shift: int = 0,
 ) -> DataFrame:
     """Mean batch loss per split. Where no loss mask was stored, all positions count."""
-    masked = truncate_positions(cache, max_tokens).withColumn(
-        "loss_mask", chosen_mask(F.col("loss_mask"), F.lit(1))
-    )
-    positions = position_kl(gather_student(masked, student, shift=shift), temperature)
+    masked = _masked(truncate_positions(cache, max_tokens))
+    return _losses(position_kl(gather_student(masked, student, shift=shift), temperature), assignment)
+
+
+def evaluate_store(
+    store: ScoreStore,
+    student: DataFrame,
+    assignment: DataFrame,
+    *,
+    temperature: float = 1.0,
+    max_tokens: int = fixed.MAX_TRAJECTORY_TOKENS,
+    shift: int = 0,
+) -> DataFrame:
+    """``evaluate`` on a compacted store, whose rows are not moved."""
+    version = store.snapshot()
+    gathered = gather_student_chunks(store.chunks(version), student, shift=shift, buckets=version.buckets)
+    return _losses(position_kl(_masked(truncate_positions(gathered, max_tokens)), temperature), assignment)
+
+
+def _masked(positions: DataFrame) -> DataFrame:
+    return positions.withColumn("loss_mask", chosen_mask(F.col("loss_mask"), F.lit(1)))
+
+
+def _losses(positions: DataFrame, assignment: DataFrame) -> DataFrame:
     # Summed per trajectory first, so that the join to batches sees one row per trajectory.
-    sums = sample_sums(positions).join(assignment, "trajectory_id")
-    return mean_of_batches(batch_loss(sums, ["split", "batch_id"]), ["split"])
+    sums = sample_sums(positions).join(assignment, "trajectory_id", "left")
+    problem = F.raise_error(F.concat(F.lit("no batch for trajectory "), "trajectory_id")).cast("bigint")
+    placed = sums.withColumn("batch_id", F.when(F.col("batch_id").isNull(), problem).otherwise(F.col("batch_id")))
+    return mean_of_batches(batch_loss(placed, ["split", "batch_id"]), ["split"])
