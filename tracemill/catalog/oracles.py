@@ -816,4 +816,23 @@ def all_oracles() -> dict[str, str]:
                    CASE WHEN CAST(trajectory_id AS BIGINT) % 3 = 0 THEN 'first' ELSE 'second' END AS run_id
             FROM enc LEFT JOIN vals USING (trajectory_id, pos) GROUP BY 1""",
     )
+    found["k1_top_k_partial"] = found["k1_top_k"]
+    found["k12_partial_selection"] = found["k12_dense_teacher_loss"]
+    found["k3_balanced_scoring"] = _with(
+        {**_ALL, **{k: v for k, v in _ECHO.items() if k.startswith("echo")}},
+        """SELECT e.trajectory_id, CAST(least(b.n_tokens, 8192) AS INTEGER) AS seq_len,
+                  CAST(least(b.prompt_boundary, 8192) AS INTEGER) AS prompt_boundary,
+                  e.pos, e.token_id, CASE WHEN e.pos > 0 THEN e.loss_mask ELSE 0 END AS loss_mask, p.top_ids,
+                  round(p.val_sum, 4) AS val_sum, 'ok' AS status
+           FROM enc e JOIN btok b USING (trajectory_id) LEFT JOIN echopos p USING (trajectory_id, pos)
+           WHERE e.pos < 8192 AND (SELECT length(t.text) FROM txt t WHERE t.trajectory_id = e.trajectory_id) >= 100""",
+    )
+    found["s13_quarantine_sink"] = _with(
+        _GOLD,
+        """SELECT trajectory_id, CASE WHEN n_tokens <= 1200 THEN CAST(n_tokens AS INTEGER) END AS seq_len,
+                  CASE WHEN n_tokens <= 1200 THEN 0 ELSE 2 END AS n_attempts,
+                  CASE WHEN n_tokens > 1200 THEN 'ValueError: ' || n_tokens || ' tokens' END AS error,
+                  CASE WHEN n_tokens > 1200 THEN 'second' END AS run_id
+           FROM btok JOIN txt USING (trajectory_id) WHERE length(text) >= 100""",
+    )
     return found

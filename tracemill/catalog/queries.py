@@ -11,11 +11,11 @@ from tracemill import fixtures as fx
 from tracemill.functions.arrays import as_text
 from tracemill.functions.distributions import probabilities, teacher_exponents
 from tracemill.functions.text import Template, called_functions, normalise_arguments
-from tracemill.operators import batching, divergence, filters, profile, render, scores, tokens
+from tracemill.operators import batching, divergence, filters, profile, render, scores, scoring, selection, tokens
 from tracemill.plans import batches
 from tracemill.plans.evaluate import assign_epoch, evaluate, evaluate_store
 from tracemill.plans.prepare import prepare_gold, tokenize_trajectories
-from tracemill.plans.score import build_cache, build_samples
+from tracemill.plans.score import build_cache, build_samples, build_store
 from tracemill.session import fresh_path, materialise
 from tracemill.sources import choose, npz, score_cache, tokenized
 from tracemill.sources import trajectories as stored
@@ -348,6 +348,22 @@ def s13_quarantine(spark, sf_dir):
     ).unionByName(failed.withColumn("n_positions", F.lit(0).cast("bigint")))
 
 
+@query
+def s13_quarantine_sink(spark, sf_dir):
+    """Two attempts with a scorer that refuses long sequences: attempts and last error of each trajectory."""
+    store = ScoreStore(spark, fresh_path(spark, "store"))
+    rows, dictionary = fx.gold_messages(spark, sf_dir), _gold_dictionary(spark, sf_dir)
+    for run in ("first", "second"):
+        build_store(rows, dictionary, store, fx.echo_scorer(longest=1200), run_id=run, top_k=2)
+    attempts = store.quarantined().groupBy("trajectory_id").agg(
+        F.max("attempt").alias("n_attempts"), F.max_by("error", "attempt").alias("error"), F.max_by("run_id", "attempt").alias("run_id")
+    )
+    cached = store.headers().select("trajectory_id", "seq_len")
+    return cached.join(attempts, "trajectory_id", "full").select(
+        "trajectory_id", "seq_len", F.coalesce("n_attempts", F.lit(0)).alias("n_attempts"), "error", "run_id"
+    )
+
+
 @query
 def s13_malformed_scores(spark, sf_dir):
     """Answers that are missing, NULL, too short or too long; every sequence is accounted for."""
@@ -636,6 +652,18 @@ def k1_top_k(spark, sf_dir):
     )
 
 
+@query
+def k1_top_k_partial(spark, sf_dir):
+    """Partial selection instead of a sort of every vector."""
+    teacher, _ = fx.dense_scores(spark, sf_dir)
+    return selection.with_top_k_partial(teacher, "logits", K).select(
+        "trajectory_id",
+        "pos",
+        as_text(F.col("top_ids")).alias("top_ids"),
+        F.round(_total("top_vals"), 6).alias("val_sum"),
+    )
+
+
 @query
 def k1_top_k_rows(spark, sf_dir):
     teacher, _ = fx.dense_scores(spark, sf_dir)
@@ -677,6 +705,24 @@ def k3_batch_scoring(spark, sf_dir):
     )
 
 
+@query
+def k3_balanced_scoring(spark, sf_dir):
+    """Tasks of equal tokens, micro-batches of 2,048 padded tokens, arrays out."""
+    samples = build_samples(fx.messages(spark, sf_dir), _dictionary(spark, sf_dir))
+    scored = scoring.score_arrays(samples, fx.echo_scorer(), max_tokens=2048, top_k=2, partitions=16)
+    return scoring.cache_rows(scored).select(
+        "trajectory_id",
+        "seq_len",
+        "prompt_boundary",
+        "pos",
+        "token_id",
+        "loss_mask",
+        as_text(F.col("top_ids")).alias("top_ids"),
+        F.round(_total("top_vals"), 4).alias("val_sum"),
+        "status",
+    )
+
+
 def _tag():
     return F.when(F.col("loss_mask") == 0, F.lit(None).cast("string")).when(F.col("pos") % 2 == 0, "logits").otherwise("other")
 
@@ -767,6 +813,14 @@ def k12_dense_teacher_loss(spark, sf_dir):
     )
 
 
+@query
+def k12_partial_selection(spark, sf_dir):
+    teacher, student = fx.dense_scores(spark, sf_dir)
+    return divergence.dense_loss(teacher, student, K, 2.0, partial=True).select(
+        "trajectory_id", "n_masked", F.round("loss", 6).alias("loss")
+    )
+
+
 @query
 def k13_sample_kl(spark, sf_dir):
     return divergence.sample_loss(divergence.sample_sums(_kl(spark, sf_dir))).select(

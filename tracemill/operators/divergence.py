@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tracemill import fixed
 from tracemill.functions.distributions import log_sum_exp, scaled, sparse_kl, teacher_exponents
 from tracemill.operators.scores import score_format, top_k_dense, with_top_k
+from tracemill.operators.selection import with_top_k_partial
 
 
 def student_log_softmax(student: DataFrame, temperature: float = 1.0) -> DataFrame:
@@ -205,9 +206,17 @@ def dense_teacher_positions(teacher: DataFrame, k: int = fixed.TOP_K) -> DataFra
     return with_top_k(teacher, top_k_dense(F.col("logits"), k)).drop("logits").withColumn("format", F.lit(fixed.LOGITS))
 
 
-def dense_loss(teacher: DataFrame, student: DataFrame, k: int = fixed.TOP_K, temperature: float = 1.0) -> DataFrame:
-    """Loss per trajectory when the teacher's logits are dense too."""
-    top = dense_teacher_positions(teacher, k)
+def dense_loss(
+    teacher: DataFrame, student: DataFrame, k: int = fixed.TOP_K, temperature: float = 1.0, *, partial: bool = False
+) -> DataFrame:
+    """Loss per trajectory when the teacher's logits are dense too.
+
+    ``partial`` selects the teacher's k best without sorting the vocabulary; take it for large ones.
+    """
+    if partial:
+        top = with_top_k_partial(teacher, "logits", k).withColumn("format", F.lit(fixed.LOGITS))
+    else:
+        top = dense_teacher_positions(teacher, k)
     return sample_loss(sample_sums(position_kl(gather_dense(top, student, temperature), temperature)))
 
 

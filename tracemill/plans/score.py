@@ -12,9 +12,11 @@ from tracemill.functions.text import PLAIN, Template
 from tracemill.operators.filters import min_chars
 from tracemill.operators.render import locate_parts, prompt_boundary, whole_texts
 from tracemill.operators.scores import Scorer, cache_positions, score_with, split_by_status
+from tracemill.operators.scoring import BATCH_TOKENS, cache_rows, score_arrays
 from tracemill.operators.tokens import Encoder, assemble_samples, boundary_token, encode, explode_tokens, tokenize_with
 from tracemill.session import materialise
 from tracemill.sources.score_cache import not_cached, write_cache
+from tracemill.sources.score_store import ScoreStore, Snapshot
 
 
 def build_samples(
@@ -83,3 +85,29 @@ def build_cache(
     good, failed = split_by_status(materialise(scored, "scored"))
     write_cache(cache_positions(good, top_k, score_format), path, run_id)
     return failed
+
+
+def build_store(
+    messages: DataFrame,
+    dictionary: DataFrame | None,
+    store: ScoreStore,
+    make_scorer: Callable[[], Scorer],
+    *,
+    run_id: str | None = None,
+    batch_tokens: int = BATCH_TOKENS,
+    batch_size: int = fixed.SCORER_BATCH,
+    top_k: int = fixed.TOP_K,
+    score_format: str = fixed.LOGPROBS,
+    partitions: int | None = None,
+    **sampling,
+) -> Snapshot:
+    """Score every trajectory that the store lacks and append one run.
+
+    Scores are written once, as arrays. What could not be scored is in the store's quarantine, and is
+    tried again by the next call. ``sampling`` goes to ``build_samples``.
+    """
+    samples = build_samples(store.missing(messages), dictionary, **sampling)
+    scored = score_arrays(
+        samples, make_scorer, max_tokens=batch_tokens, max_sequences=batch_size, top_k=top_k, partitions=partitions
+    )
+    return store.append(cache_rows(scored, score_format), run_id)

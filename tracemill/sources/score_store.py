@@ -109,14 +109,20 @@ class ScoreStore:
 
         A NULL format becomes ``logprobs``. A NULL trajectory id, or a position that occurs twice, is an
         error, and the run does not count. A run that dies leaves a folder that nothing reads.
+
+        Rows may have a ``status`` and an ``error``: those that are not ``ok`` are written beside the
+        others in the same pass and go to the quarantine.
         """
         run_id = run_id or uuid.uuid4().hex
         boundary = F.col("prompt_boundary") if "prompt_boundary" in positions.columns else F.lit(None)
         rows = positions.withColumn("prompt_boundary", boundary).withColumn("format", tag_or_default(F.col("format")))
-        data, headers = f"{self._run(run_id)}/positions", f"{self._run(run_id)}/headers"
-        rows.select(*(F.col(f.name).cast(f.dataType) for f in _STORED)).write.parquet(data)
+        if "status" not in positions.columns:
+            rows = rows.withColumn("status", F.lit("ok")).withColumn("error", F.lit(None).cast("string"))
+        headers, data = f"{self._run(run_id)}/headers", f"{self._run(run_id)}/positions"
+        columns = [F.col(f.name).cast(f.dataType) for f in _STORED]
+        rows.select(*columns, "error", "status").write.partitionBy("status").parquet(data)
         # From the files just written, so nothing is scored again.
-        written = self.spark.read.schema(_STORED).parquet(data)
+        written = self._written(run_id)
         counted = written.groupBy("trajectory_id").agg(
             (F.max("pos") + 1).alias("seq_len"),
             F.max("format").alias("format"),
@@ -126,16 +132,27 @@ class ScoreStore:
             F.min("pos").alias("_first"),
         )
         counted.withColumn("run_id", F.lit(run_id)).write.parquet(headers)
-        stored = self.spark.read.parquet(headers)
+        checked = T.StructType([*CACHE_HEADERS, T.StructField("_n", T.LongType()), T.StructField("_first", T.IntegerType())])
+        stored = self.spark.read.schema(checked).parquet(headers)
         # Two trajectories under one id have more rows than their positions leave room for.
         wrong = stored.where("trajectory_id IS NULL OR _n > seq_len - _first").select("trajectory_id").take(1)
         if wrong:
             raise RepeatedTrajectory(f"trajectory id {wrong[0].trajectory_id} is NULL or stands for several trajectories")
+        if "status" in positions.columns:
+            every = self.spark.read.schema("trajectory_id string, error string, status string").parquet(data)
+            self.quarantine(every.where("status <> 'ok'").select("trajectory_id", "error"), run_id)
         while True:
             now = self.snapshot()
             if self._commit(now, [*now.runs, run_id], now.generation, now.buckets):
                 return self.snapshot()
 
+    def _written(self, run_id: str) -> DataFrame:
+        """Positions of a run; none where every trajectory failed."""
+        path = f"{self._run(run_id)}/positions/status=ok"
+        if not path_exists(self.spark, path):
+            return self.spark.createDataFrame([], _STORED)
+        return self.spark.read.schema(_STORED).parquet(path)
+
     def compact(self, buckets: int | None = None) -> Snapshot:
         """Merge all runs of the newest version into one clustered generation.
 
@@ -187,7 +204,7 @@ class ScoreStore:
         found = None
         for order, path in enumerate(paths):
             if path:
-                one = self.spark.read.parquet(path).select(*names, F.lit(order).alias("_order"))
+                one = self.spark.read.schema(CACHE_HEADERS).parquet(path).select(*names, F.lit(order).alias("_order"))
                 found = one if found is None else found.unionByName(one)
         if found is None:
             raise FileNotFoundError(f"no cached trajectories in {self.path}; append a run first")
@@ -209,8 +226,7 @@ class ScoreStore:
         if snapshot.generation:
             parts.append(to_positions(self._clustered(snapshot)).select(*names, F.lit(0).alias("_order")))
         for order, run in enumerate(snapshot.runs, 1):
-            rows = self.spark.read.schema(_STORED).parquet(f"{self._run(run)}/positions")
-            parts.append(rows.select(*names, F.lit(order).alias("_order")))
+            parts.append(self._written(run).select(*names, F.lit(order).alias("_order")))
         found = parts[0]
         for part in parts[1:]:
             found = found.unionByName(part)
@@ -245,7 +261,7 @@ class ScoreStore:
     def summary(self) -> DataFrame:
         """Trajectories, those without a stored loss mask, files, and their size in GB (1e9 bytes)."""
         now = self.snapshot()
-        folders = [f"{self._run(r)}/positions" for r in now.runs]
+        folders = [f"{self._run(r)}/positions/status=ok" for r in now.runs]
         folders += [f"{self._generation(now.generation)}/chunks"] if now.generation else []
         sizes = [n for folder in folders for n in manifest.files_below(self.spark, folder, ".parquet")]
         return self.headers(now).agg(
