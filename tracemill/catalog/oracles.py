@@ -835,4 +835,32 @@ def all_oracles() -> dict[str, str]:
                   CASE WHEN n_tokens > 1200 THEN 'second' END AS run_id
            FROM btok JOIN txt USING (trajectory_id) WHERE length(text) >= 100""",
     )
+    found["k14_exact_sum"] = found["k14_batch_kl"]
+    found["b5_chunked_batches"] = _with(
+        {
+            **_COUNTS,
+            **_sides("0"),
+            "lens": """
+                SELECT b.trajectory_id, CAST(least(b.n_tokens, 2500) AS INTEGER) AS n, b.prompt_boundary, o.split, o.batch_id, o.slot,
+                       CAST(max(least(b.n_tokens, 2500)) OVER (PARTITION BY o.split, o.batch_id) AS INTEGER) AS longest
+                FROM btok b JOIN numbered o USING (trajectory_id)""",
+            "cells": "SELECT *, CAST(unnest(range((longest + 1023) // 1024)) AS INTEGER) AS chunk FROM lens",
+            "parts": """
+                SELECT trajectory_id, CAST(pos // 1024 AS INTEGER) AS chunk, string_agg(token_id, ',' ORDER BY pos) AS input_ids,
+                       string_agg(CASE WHEN pos > 0 THEN loss_mask ELSE 0 END, '' ORDER BY pos) AS loss_mask,
+                       list(token_id ORDER BY pos) AS ids
+                FROM enc WHERE pos < 2500 GROUP BY 1, 2""",
+            "vals": """
+                SELECT trajectory_id, CAST(pos // 1024 AS INTEGER) AS chunk, sum(CAST(CAST(val AS FLOAT) AS DOUBLE)) AS val_sum
+                FROM teacher WHERE pos < 2500 GROUP BY 1, 2""",
+            "sized": """
+                SELECT *, greatest(least(n - chunk * 1024, 1024), 0) AS n_tokens, least(longest - chunk * 1024, 1024) AS width FROM cells""",
+        },
+        """SELECT trajectory_id, split, batch_id, slot, chunk, longest AS batch_max_len, n_tokens, width - n_tokens AS n_padding,
+                  coalesce(input_ids, '') AS input_ids, coalesce(loss_mask, '') AS loss_mask,
+                  CASE WHEN chunk = 0 THEN array_to_string(list_transform(range(64), lambda i:
+                      CASE WHEN i < least(prompt_boundary, 64, n) THEN ids[i + 1] ELSE -1 END), ',') END AS prompt_ids,
+                  n_tokens * 8 AS n_scores, round(coalesce(val_sum, 0), 3) AS val_sum
+           FROM sized LEFT JOIN parts USING (trajectory_id, chunk) LEFT JOIN vals USING (trajectory_id, chunk)""",
+    )
     return found

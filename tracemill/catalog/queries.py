@@ -841,6 +841,15 @@ def k14_batch_kl(spark, sf_dir):
     )
 
 
+@query
+def k14_exact_sum(spark, sf_dir):
+    """Sums that do not depend on the order of rows."""
+    order = batching.shuffled_index(_ids(spark, sf_dir), 0)
+    placed = batching.assign_batches(order, 8).select("trajectory_id", "batch_id")
+    sums = divergence.exact_sums(_kl(spark, sf_dir)).join(placed, "trajectory_id")
+    return divergence.exact_batch_loss(sums).select("batch_id", "n_masked", F.round("loss", 6).alias("loss"))
+
+
 @query
 def k14_clustered(spark, sf_dir):
     """Batch losses from a compacted store."""
@@ -934,6 +943,33 @@ def b5_pad_batch(spark, sf_dir):
     )
 
 
+@query
+def b5_chunked_batches(spark, sf_dir):
+    """Batches in rows of one chunk of a compacted store, padding counted."""
+    store = ScoreStore(spark, fresh_path(spark, "store"))
+    store.append(_store_rows(spark, sf_dir)[0])
+    version = store.compact()
+    assignment = assign_epoch(_ids(spark, sf_dir), 0, 8)
+    rows = batches.chunked_batches(
+        store.chunks(version), store.headers(version), assignment, K, max_tokens=2500, max_prompt=64, pad_id=-1
+    )
+    return rows.select(
+        "trajectory_id",
+        "split",
+        "batch_id",
+        "slot",
+        "chunk",
+        "batch_max_len",
+        "n_tokens",
+        "n_padding",
+        as_text(F.col("input_ids")).alias("input_ids"),
+        F.array_join(F.col("loss_mask").cast("array<string>"), "").alias("loss_mask"),
+        as_text(F.col("prompt_ids")).alias("prompt_ids"),
+        F.size(F.flatten("teacher_indices")).alias("n_scores"),
+        F.round(_total(F.flatten("teacher_values")), 3).alias("val_sum"),
+    )
+
+
 def _score_samples(spark, sf_dir):
     """Dense top-2 scores gathered per trajectory of 50 positions, cut to 30 + the mask sum."""
     teacher, _ = fx.dense_scores(spark, sf_dir)

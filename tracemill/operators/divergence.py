@@ -173,6 +173,27 @@ def sample_sums(positions: DataFrame) -> DataFrame:
     return positions.groupBy("trajectory_id").agg(*_sums())
 
 
+def exact_sums(positions: DataFrame, keys: Sequence[str] = ("trajectory_id",)) -> DataFrame:
+    """``sample_sums`` whose total does not depend on the order of the positions.
+
+    Each divergence is rounded to 18 decimals and summed as a decimal, which is exact, so any
+    partitioning gives the same bits. ``kl_sum`` stays a decimal and may be summed on.
+    """
+    weight = F.when(F.col("kl").isNotNull(), F.col("loss_mask")).otherwise(0)
+    value = F.coalesce(F.col("kl"), F.lit(0.0)).cast("decimal(28,18)")
+    return positions.groupBy(*keys).agg(
+        F.sum(F.when(weight == 1, value).otherwise((value * weight).cast("decimal(28,18)"))).alias("kl_sum"),
+        F.sum(weight).alias("n_masked"),
+    )
+
+
+def exact_batch_loss(sums: DataFrame, keys: Sequence[str] = ("batch_id",)) -> DataFrame:
+    """``batch_loss`` from ``exact_sums``: the only rounding is that of the quotient."""
+    return sums.groupBy(*keys).agg(F.sum("kl_sum").alias("_total"), F.sum("n_masked").alias("n_masked")).select(
+        *keys, _mean(F.col("_total").cast("double"), F.col("n_masked")), "n_masked"
+    )
+
+
 def roll_up_chunks(chunks: DataFrame) -> DataFrame:
     """Slices to trajectories."""
     return chunks.groupBy("trajectory_id").agg(
