@@ -863,4 +863,5 @@ def all_oracles() -> dict[str, str]:
                   n_tokens * 8 AS n_scores, round(coalesce(val_sum, 0), 3) AS val_sum
            FROM sized LEFT JOIN parts USING (trajectory_id, chunk) LEFT JOIN vals USING (trajectory_id, chunk)""",
     )
+    found["s8_npz_files"] = found["s8_npz_import"]
     return found

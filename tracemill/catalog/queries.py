@@ -17,7 +17,7 @@ from tracemill.plans.evaluate import assign_epoch, evaluate, evaluate_store
 from tracemill.plans.prepare import prepare_gold, tokenize_trajectories
 from tracemill.plans.score import build_cache, build_samples, build_store
 from tracemill.session import fresh_path, materialise
-from tracemill.sources import choose, npz, score_cache, tokenized
+from tracemill.sources import choose, npz, npz_source, score_cache, tokenized
 from tracemill.sources import trajectories as stored
 from tracemill.sources.score_store import ScoreStore
 
@@ -232,6 +232,36 @@ def s8_npz_import(spark, sf_dir):
     )
 
 
+@query
+def s8_npz_files(spark, sf_dir):
+    """Archives written by tasks to the shared folder and read again through the data source."""
+    vectors = fx.table(spark, sf_dir, "embeddings").select(
+        F.floor(F.col("vec_id") / 50).cast("string").alias("trajectory_id"),
+        F.lit(0).alias("chunk"),
+        (F.col("vec_id") % 50).alias("pos"),
+        F.col("label").alias("token_id"),
+        (F.col("label") % 2).alias("loss_mask"),
+        F.lit("logits").alias("format"),
+        F.sequence(F.lit(0), F.size("embedding") - 1).alias("top_ids"),
+        F.transform("embedding", lambda x: F.floor(x.cast("double") * 64) / 64).alias("top_vals"),
+    )
+    sizes = vectors.groupBy("trajectory_id").agg((F.count("*") / 2).cast("int").alias("prompt_boundary"))
+    folder = fresh_path(spark, "archives")
+    npz_source.write_npz(vectors.join(sizes, "trajectory_id"), folder)
+    rows = npz_source.read_npz(spark, folder, partition_bytes=100_000)
+    return rows.select(
+        F.regexp_replace("trajectory_id", "^trajectory_", "").alias("trajectory_id"),
+        "chunk",
+        "pos",
+        "token_id",
+        "loss_mask",
+        "prompt_boundary",
+        "format",
+        as_text(F.col("top_ids")).alias("top_ids"),
+        as_text(F.transform("top_vals", lambda v: (v * 64).cast("int"))).alias("top_vals"),
+    )
+
+
 @query
 def s9_resume(spark, sf_dir):
     """Gold conversations are cached first, then all; a third run finds nothing to do."""
