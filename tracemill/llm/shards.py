@@ -10,7 +10,7 @@ are shards, which bounds what is broadcast.
 The law is ``bytes``: sizes are near equal. Tokens are words between white space.
 
 Defined results: NULL counts as empty, so it has size 1 and is equal to the empty text. Every row is
-placed, repeated rows and rows without doc_id too. An empty table gives an empty result. Other
+placed, repeated rows and rows without doc_id too: groups are split by row, whatever its id. An empty table gives an empty result. Other
 columns are ignored, whatever their names.
 """
 
@@ -69,6 +69,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"),
         F.crc32(text).alias("text_crc32"),
         F.unhex(F.md5(text)).alias("digest"),
+        # Fixed by the write: rows that share a doc_id, or have none, are told apart by it.
+        F.monotonically_increasing_id().alias("row"),
     )
     rows = materialise(rows, "sizes")
     sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
@@ -79,7 +81,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     heavy = rows.groupBy("digest").agg(*sums).where(largest > 1.0 / shards)
     heavy = heavy.select("digest", F.ceil(largest * (2 * shards)).cast("int").alias("parts"))
     heavy = materialise(heavy, "heavy")
-    part = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("parts")), F.lit(0)).cast("int")
+    part = F.coalesce(F.pmod(F.xxhash64("row", F.lit(3)), F.col("parts")), F.lit(0)).cast("int")
     rows = rows.join(F.broadcast(heavy), "digest", "left").withColumn("part", part).drop("parts")
 
     shares = [(F.col(s) / totals[s]).alias(f"{s}_share") for s in SIZES]
@@ -114,13 +116,13 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     # Written, so that the join has two plain exchanges and hot digests can be split.
     where = materialise(where.select("digest", "part", "shard"), "places")
     numbered = rows.join(where, ["digest", "part"]).withColumn(
-        "_part", F.pmod(F.xxhash64("doc_id", "digest", F.lit(5)), F.lit(PARTS)).cast("int")
+        "_part", F.pmod(F.xxhash64("row", F.lit(5)), F.lit(PARTS)).cast("int")
     )
-    numbered = materialise(numbered.select("doc_id", "size", "text_crc32", "shard", "_part"), "placed")
+    numbered = materialise(numbered.select("doc_id", "size", "text_crc32", "shard", "row", "_part"), "placed")
     counts = numbered.groupBy("shard", "_part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("shard", "_part").orderBy("doc_id", "text_crc32")
+    inside = Window.partitionBy("shard", "_part").orderBy("doc_id", "text_crc32", "row")
     return (
         numbered.withColumn("_row", F.row_number().over(inside) - 1)
         .join(F.broadcast(starts), ["shard", "_part"])
