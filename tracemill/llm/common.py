@@ -56,3 +56,11 @@ def group_starts(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
 
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it as long as ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.common import free_name
 from tracemill.session import materialise
 
 #: Counters of a Misra-Gries summary; no more winners than this are ever broadcast.
@@ -110,11 +111,12 @@ def exact_groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 def keep_unique(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """One document of each group of equal texts, with the columns of ``docs``."""
+    name = free_name(docs, "_key")
 
     def key(digest: Column) -> Column:
-        return F.concat_ws(" ", digest, F.col("doc_id").cast("string")).alias("_key")
+        return F.concat_ws(" ", digest, F.col("doc_id").cast("string")).alias(name)
 
     keep = exact_groups(docs, counters).where("kept").select(key(F.col("text_sha256"))).distinct()
     keyed = docs.select("*", key(F.lower(F.hex(digest_of(F.col("text"))))))
     # Both steps need the same partitioning, so repeated rows go without another shuffle.
-    return keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    return keyed.join(keep, name, "left_semi").dropDuplicates([name]).select(*docs.columns)

@@ -17,7 +17,8 @@
 
 Defined results: NULL and texts without words have no shingles and are linked with nothing.
 Copies are linked. A row without doc_id is linked with nothing and has no component. Repeated rows
-have the same result each. Shingles are compared by 64-bit hashes. Other columns are ignored.
+have the same result each. Texts that share a doc_id are documents of their own. Shingles are
+compared by 64-bit hashes. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import group_starts, whole_groups
+from tracemill.llm.common import free_name, group_starts, whole_groups
 from tracemill.llm.components import components
 from tracemill.session import materialise
 
@@ -109,14 +110,27 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 bands.append(np.empty(0, np.int64))
                 marks.append(b"")
         yield pd.DataFrame(
-            {"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": sizes, "set_key": keys, "bands": bands, "marks": marks}
+            {
+                "doc_id": batch["doc_id"].astype("Int64"),
+                "text_key": batch["text_key"],
+                "n_shingles": sizes,
+                "set_key": keys,
+                "bands": bands,
+                "marks": marks,
+            }
         )
 
 
+def text_key(text: Column) -> Column:
+    """Tells texts under one doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def describe(docs: DataFrame) -> DataFrame:
     """Set size, set key, band keys and one byte of each coordinate, for every document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        _describe, "doc_id long, n_shingles long, set_key binary, bands array<long>, marks binary"
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
+    rows = narrow.mapInPandas(
+        _describe, "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>, marks binary"
     )
     return materialise(rows, "sketches")
 
@@ -241,13 +255,17 @@ def _confirm(rows: DataFrame) -> DataFrame:
     )
 
 
-def confirmed(docs: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, root): classes joined by links that hold on whole sets, inside the given clusters."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    members = roots.select(F.col("node").alias("id"), "root")
+def confirmed(docs: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root): classes joined by links that hold on whole sets, inside the given clusters.
+
+    ``classes`` says where a class has its text: (id, doc_id, text_key).
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
+    members = classes.join(roots.select(F.col("node").alias("id"), "root"), "id")
     # Members grow with the corpus: one plan at every size, never a broadcast that stops to fit.
+    found = texts.join(members.hint("merge"), ["doc_id", "text_key"]).select("root", "id", "text")
     sets = materialise(
-        texts.join(members.hint("merge"), "id").mapInPandas(_sets, "cluster long, id long, items binary"), "sets"
+        found.mapInPandas(_sets, "cluster long, id long, items binary"), "sets"
     )
     ids = sets.select("cluster", "id").distinct()
     sizes = materialise(
@@ -305,31 +323,44 @@ def confirmed(docs: DataFrame, roots: DataFrame) -> DataFrame:
     return components(known.union(_confirm(second)))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Set size and component of every document."""
+def _components(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with the key of each text."""
     rows = describe(docs)
     sets = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     # One row for each class, also where a row is repeated many times.
-    described = F.min_by(F.struct("bands", "marks"), "doc_id").alias("d")
-    firsts = sets.groupBy("set_key").agg(F.min("doc_id").alias("id"), described)
-    firsts = materialise(firsts.select("set_key", "id", "d.bands", "d.marks"), "classes")
-    classes = firsts.select("id", "bands", "marks")
-    roots = confirmed(docs, clusters(classes))
-    named = firsts.select("set_key", "id").join(roots, F.col("id") == F.col("node"), "left").select(
-        "set_key", F.coalesce("root", "id").alias("root")
+    described = F.min_by(F.struct("bands", "marks", "text_key"), F.struct("doc_id", "text_key")).alias("d")
+    firsts = sets.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), described)
+    # Numbers of their own, fixed by the write: two texts may share a doc_id.
+    firsts = firsts.select(
+        F.monotonically_increasing_id().alias("id"), "set_key", "doc_id", "d.text_key", "d.bands", "d.marks"
     )
-    named = materialise(named, "named")
-    plain = rows.select("doc_id", "n_shingles", "set_key")
+    firsts = materialise(firsts, "classes")
+    roots = confirmed(docs, firsts.select("id", "doc_id", "text_key"), clusters(firsts.select("id", "bands", "marks")))
+    rooted = firsts.select("id", "set_key", "doc_id").join(
+        roots.select(F.col("node").alias("id"), "root"), "id", "left"
+    ).select("set_key", "doc_id", F.coalesce("root", "id").alias("root"))
+    rooted = materialise(rooted, "rooted")
+    least = materialise(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "components")
+    named = materialise(rooted.join(least, "root").select("set_key", "component_id"), "named")
+    plain = rows.select("doc_id", "text_key", "n_shingles", "set_key")
     linked = plain.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).join(named, "set_key")
     alone = plain.where(F.col("doc_id").isNull() | (F.col("n_shingles") == 0))
-    return linked.select("doc_id", "n_shingles", F.col("root").alias("component_id")).unionByName(
-        alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    columns = ["doc_id", "text_key", "n_shingles", "component_id"]
+    return (
+        linked.select(*columns)
+        .unionByName(alone.withColumn("component_id", F.col("doc_id")).select(*columns))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    )
 
 
-def keep_distinct(docs: DataFrame) -> DataFrame:
-    """One document of each component, with the columns of ``docs``."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Set size and component of every document."""
+    return _components(docs).drop("text_key")
 
 
+def keep_distinct(docs: DataFrame) -> DataFrame:
+    """One document of each component, with the columns of ``docs``."""
+    kept_id, kept_text = free_name(docs, "_kept_id"), free_name(docs, "_kept_text")
+    kept = _components(docs).where("kept").select(F.col("doc_id").alias(kept_id), F.col("text_key").alias(kept_text)).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(kept[kept_id]) & (text_key(docs["text"]) == kept[kept_text])
+    return docs.join(kept, same, "left_semi")
