@@ -101,6 +101,70 @@ def test_quality_keeps_other_languages(spark):
     assert all((r.word_distance is None) == (r.doc_id >= 100) for r in got)
 
 
+def brute_quality(rows):
+    """Verdicts in plain Python: references of distinct texts, without the judged one."""
+    scale = quality.SCALE
+
+    def hists(t):
+        n = len(t)
+        c = [
+            sum("A" <= x <= "Z" for x in t), sum(x in ".,;:!?'\"()-" for x in t), sum(x in " \t\n\x0b\x0c\r" for x in t),
+            sum(x in "#*$%&|<>" for x in t), len(t.encode()) - n,
+        ]
+        w = [sum(x == k for x in words(t)) for k in quality.COMMON_WORDS]
+        return [*c, max(0, n - sum(c))], [*w, len(words(t)) - sum(w)]
+
+    def shares(h):
+        return [x * scale // sum(h) for x in h]
+
+    def distance(h, ref):
+        p, q = [x / sum(h) for x in h], [x / sum(ref) for x in ref]
+
+        def part(x, y):
+            return sum(i * math.log2(2 * i / (i + j)) for i, j in zip(x, y) if i)
+
+        return math.sqrt(max(0.0, (part(p, q) + part(q, p)) / 2))
+
+    texts = defaultdict(set)
+    for _, t, lang in rows:
+        if words(t or ""):
+            texts[lang].add(t)
+    texts = {k: v for k, v in texts.items() if len(v) >= quality.MIN_TEXTS and sum(map(len, v)) >= quality.MIN_REFERENCE_CHARS}
+    sums = {
+        k: [[sum(col) for col in zip(*[shares(hists(t)[side]) for t in v])] for side in (0, 1)] for k, v in texts.items()
+    }
+    out = {}
+    for i, t, lang in rows:
+        t = t or ""
+        n, _, _, _, repeated = base(t)
+        h, ok = hists(t), not (n < 20 or 100 * repeated > 30 * n)
+        if ok and len(t) >= quality.MIN_CHARS and sums:
+            if lang in sums:
+                near = distance(h[0], [a - b for a, b in zip(sums[lang][0], shares(h[0]))])
+            else:
+                near = min(distance(h[0], s[0]) for s in sums.values())
+            ok = near <= quality.MAX_CLASS_DISTANCE + quality.CLASS_NOISE / math.sqrt(len(t))
+            if lang in sums and lang in quality.LANGUAGES and n >= quality.MIN_COMMON:
+                near = distance(h[1], [a - b for a, b in zip(sums[lang][1], shares(h[1]))])
+                ok = ok and near <= quality.MAX_WORD_DISTANCE + quality.WORD_NOISE / math.sqrt(n)
+        out[i] = ok
+    return out
+
+
+def test_quality_verdicts(spark, docs):
+    """Against brute force; junk that is alone in its language, or often repeated there, is no reference."""
+    rng = random.Random(3)
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.select("doc_id", "text", "lang").collect()]
+    junk = ["".join(rng.choice("#*$%&|<>ABC") for _ in range(9)) for _ in range(300)]
+    rows += [(10_000_000, " ".join(junk), "zz"), (10_000_001, " ".join(junk), "en")]
+    rows += [(10_000_100 + k, " ".join(junk[::-1]), "yy") for k in range(40)]
+    rows += [(10_000_200, None, None), (10_000_201, "", "zz")]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    kept = {r.doc_id: r.kept for r in got}
+    assert kept == brute_quality(rows)
+    assert not any(v for k, v in kept.items() if k >= 10_000_000)
+
+
 def test_quality_plan_is_native(docs):
     plan = quality.quality_rules(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
@@ -258,6 +322,71 @@ def test_quotes_of_all_levels_and_lengths(spark):
     }
 
 
+def brute_parents(rows):
+    """(conv, turn) -> parent, message by message in plain Python."""
+
+    def parse(text):
+        out, run, last = [], [], None
+        for line in re.split("\r?\n", text or ""):
+            mark = re.match(r"[ \t]*(?:>[ \t]*)+", line)
+            level = mark.group(0).count(">") if mark else 0
+            body = re.sub(r"\s+", " ", line[mark.end() if mark else 0 :].lower()).strip(" ")
+            if run and (level != last or not body):
+                out.append((last, " ".join(run)))
+                run = []
+            if body:
+                out.append((level, body))
+                run.append(body)
+            last = level
+        return out + ([(last, " ".join(run))] if run else [])
+
+    parsed = [(c, t, parse(x)) for c, t, x in rows]
+    out = {}
+    for c, t, found in parsed:
+        quotes_of = {}
+        for level, body in found:
+            if level:
+                quotes_of[body] = min(level, quotes_of.get(body, level))
+        votes = Counter()
+        for body, level in quotes_of.items():
+            origins = [u for d, u, theirs in parsed if d == c and u < t and (0, body) in theirs]
+            if origins:
+                votes[level, max(origins)] += len(body)
+        out[c, t] = max(votes, key=lambda v: (-v[0], votes[v], v[1]))[1] if votes else None
+    return out
+
+
+def test_quotes_against_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for c in range(12):
+        for t in range(25):
+            lines = [
+                rng.choice(["", "", "> ", ">> ", "> > >"]) + rng.choice(["", "Yes.", "why  not", "It rains.", "Go on", f"note {t}"])
+                for _ in range(rng.randint(0, 7))
+            ]
+            rows.append((c, t, "\n".join(lines)))
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r.parent_turn for r in quotes.link_quotes(df).collect()}
+    want = brute_parents(rows)
+    assert got == want and sum(x is not None for x in want.values()) > 50
+
+
+def test_quotes_of_one_long_message(spark):
+    """Time grows with the passages of a message, not with their square."""
+    import time
+
+    def seconds(n):
+        text = "\n\n".join(f"> passage {k}\nanswer {k}" for k in range(n // 2))
+        df = spark.createDataFrame([(1, 0, "user", text)], "conv_id long, turn long, role string, text string")
+        start = time.perf_counter()
+        assert quotes.parse_quotes(df).select(F.size("passages")).first()[0] == 2 * n
+        return time.perf_counter() - start
+
+    seconds(16_000)
+    assert seconds(64_000) < 4.5 * max(seconds(16_000), 0.5)
+
+
 def test_quotes_in_a_hot_conversation(spark):
     chain = spark.range(3000).select(
         F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"),
@@ -307,6 +436,16 @@ def test_counts_and_cache(spark, docs, awkward, library):
     assert stored.count() == stored.select("content").distinct().count() == len(distinct)
 
 
+def test_counts_of_a_second_call_encode_nothing(spark, docs):
+    cache = fresh_path(spark, "cache")
+    first = set(map(tuple, counts.count_tokens(docs, cache, PATH, P.PATTERN).collect()))
+    rows = spark.read.parquet(cache).count()
+    again = counts.count_tokens(docs.unionByName(docs.limit(3)), cache, PATH, P.PATTERN)
+    assert set(map(tuple, again.collect())) == first and spark.read.parquet(cache).count() == rows
+    # Counts of another version are not met.
+    assert counts._cached(spark, cache, counts.tokenizer_digest(PATH, "other")).isEmpty()
+
+
 def packed_well(rows, df, library):
     want, total = Counter(), 0
     for i, t in texts_of(df):
@@ -468,6 +607,16 @@ def test_patience():
     assert [a[i] for i, _ in pairs] == [b[j] for _, j in pairs] == list("abcd")
 
 
+def test_sentences_that_only_resemble_notices_have_no_license():
+    scanner = licenses.Scanner(licenses.NOTICES, licenses.COVERAGE)
+    for text in (
+        "The engine ran under boost with a license plate",
+        "stopped under the new rules, BSD staff said, with no license",
+    ):
+        assert scanner.scan(text) == []
+    assert scanner.scan("This is released under the MIT License.")[0][0].startswith("MIT")
+
+
 def test_licenses(spark, awkward):
     filler = " ".join(f"word{k}" for k in range(3000))
     mit = licenses.TEMPLATES["MIT-text"]

@@ -2,8 +2,8 @@
 
 The cache is a Parquet table (content digest, tokenizer digest, n_tokens) in shared storage. Texts
 are reduced to one for each distinct digest before they are shuffled, those in the cache are
-dropped, the rest is encoded and appended; every document then takes its count from the cache.
-A run that dies before the append leaves the cache as it was; two runs that append the same digest
+dropped, the rest is encoded and appended; every document then takes its count from the new ones
+and from the stored ones with its digest. A run that dies before the append leaves the cache as it was; two runs that append the same digest
 do no harm, as counts are read once for each digest.
 
 Content is normalised only in ways that cannot change a count: NULL counts as empty. The tokenizer
@@ -64,12 +64,15 @@ def count_tokens(docs: DataFrame, cache: str, path: str, pattern: str, limit: in
     rows = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("content"))
     # The first text of a digest is picked by the reading task already, so copies do not travel.
     distinct = rows.groupBy("content").agg(F.first("text").alias("text"))
-    missing = distinct.join(_cached(spark, cache, version), "content", "left_anti")
-    found = missing.mapInPandas(_counts(path, pattern), "content binary, n_tokens long")
-    found.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    counts = _cached(spark, cache, version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    stored = _cached(spark, cache, version)
+    missing = distinct.join(stored, "content", "left_anti")
+    found = materialise(missing.mapInPandas(_counts(path, pattern), "content binary, n_tokens long"), "counts")
+    # Of the cache only what this call asks for is taken on.
+    known = stored.join(rows.select("content").distinct(), "content", "left_semi")
+    counts = known.unionByName(found).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     # Written, so that the join has two plain exchanges and hot digests can be split.
     counts = materialise(counts, "counts")
+    found.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     return (
         rows.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes"))
         .join(counts, "content")

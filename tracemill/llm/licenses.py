@@ -188,6 +188,8 @@ NOTICES = [*TEMPLATES.items(), *_wordings()]
 PLAIN = set("a all and any as at by for free in is it its license licensed of or other the this to under use v version with work you".split())
 #: Share of a template's words that must be aligned.
 COVERAGE = 0.9
+#: Wordings of fewer words must stand without gaps: aligned with gaps, they fit sentences about other things.
+SHORT = 10
 
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 
@@ -294,6 +296,14 @@ class Scanner:
             pairs = [p for p in pairs if abs(p[0] - pairs[middle][0]) <= n]
         return pairs
 
+    def _unbroken(self, words: list[str], template: list[str], seed: int) -> list[tuple[int, int]]:
+        """A short wording around a seed, every word beside the next."""
+        for place in (b for b, w in enumerate(template) if w == words[seed]):
+            start = seed - place
+            if start >= 0 and words[start : start + len(template)] == template:
+                return [(start + b, b) for b in range(len(template))]
+        return []
+
     def _notice(self, words: list[str], template: list[str], seed: int, same: list[int]) -> list[tuple[int, int]]:
         """The notice around a seed; ``same`` has all places of its word.
 
@@ -301,6 +311,8 @@ class Scanner:
         at the neighbouring places of the word, and where the notice lies if nothing is missing.
         """
         n = len(template)
+        if n < SHORT:
+            return self._unbroken(words, template, seed)
         start, end = max(0, seed - n), min(len(words), seed + 1 + 2 * n)
         ours = Counter(words[start:end])
         if sum(min(k, ours[w]) for w, k in Counter(template).items()) < self.least * n:

@@ -1,22 +1,23 @@
 """Quality rules: repetition counts, and the divergence of a text from language references.
 
 Every text is described by two histograms, of character classes and of common words. The
-references are the mean histograms of the languages over the whole corpus, one for each value of
-``lang``; rows without language form one more. A text that is long enough is rejected if its
-Jensen-Shannon distance to every language exceeds a limit. The common words are those of
-``LANGUAGES``, so words decide only on texts stated to be in one of these; others have no word
-distance. All of it runs inside one projection; the only thing gathered is one row of sums for each
-language.
+references are the mean histograms of the languages over the distinct texts of the whole corpus,
+one for each value of ``lang`` with at least ``MIN_TEXTS`` texts and ``MIN_REFERENCE_CHARS``
+characters; rows without language form one more. A text is held against the language it is stated to
+be in, less its own share of that reference, so that it cannot vouch for itself. A text of a language
+without a reference is held against the nearest of the ``MAX_OTHERS`` largest references. A text that
+is long enough is rejected if its Jensen-Shannon distance exceeds a limit. The common words are
+those of ``LANGUAGES``, so words decide only on texts of one of these that has a reference; others
+have no word distance. References are a table joined on the language; only the class sums of the
+``MAX_OTHERS`` largest, six numbers each, reach the driver.
 
 Defined results: a NULL or blank text has no words, zero counts and fails the base rule. Repeated
-rows get the same verdict. Other columns are ignored, whatever their names. Without any text of a
-language that language has no reference; without references the base rule alone decides.
+rows get the same verdict. Other columns are ignored, whatever their names. Without references the
+base rule alone decides.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,10 @@ MIN_CHARS, MIN_COMMON = 150, 60
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.17
 #: Short texts scatter: the limits rise by these, divided by the root of the number counted.
 CLASS_NOISE, WORD_NOISE = 1.0, 0.8
+#: A language with fewer distinct texts or characters has no reference.
+MIN_TEXTS, MIN_REFERENCE_CHARS = 20, 10_000
+#: References that texts of languages without one are held against.
+MAX_OTHERS = 256
 #: Shares are summed as whole millionths, so that the sum does not depend on its order.
 SCALE = 1_000_000
 
@@ -184,22 +189,31 @@ def measured(docs: DataFrame) -> DataFrame:
     return materialise(rows.select("doc_id", "lang", "text_hash", "q.*"), "quality")
 
 
-def language_references(counts: DataFrame) -> dict[str | None, tuple[list[int], list[int]]]:
-    """Summed class and word shares of each language over all documents; None has those without.
+def language_references(counts: DataFrame) -> DataFrame:
+    """Summed class and word shares of each language over its distinct texts.
 
-    One row for each language reaches the driver: 31 numbers, whatever the input.
+    (ref_lang, n_texts, class_ref, word_ref), written to the shared folder. Copies count once, so
+    that a text that is often repeated makes no reference. NULL is a language of its own.
     """
-    parts = counts.select("lang", _shares(F.col("class_hist")).alias("c"), _shares(F.col("word_hist")).alias("w"))
-    n_c, n_w = N_CLASSES, len(COMMON_WORDS) + 1
-    sums = [F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(n_c)]
-    sums += [F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(n_w)]
-    out = {}
-    for row in parts.groupBy("lang").agg(*sums).collect():
-        classes = [row[f"c{i}"] or 0 for i in range(n_c)]
-        words = [row[f"w{i}"] or 0 for i in range(n_w)]
-        if sum(classes) and sum(words):
-            out[row["lang"]] = (classes, words)
-    return out
+    shares = counts.where("n_words > 0").select(
+        "lang", "text_hash", "n_chars", _shares(F.col("class_hist")).alias("c"), _shares(F.col("word_hist")).alias("w")
+    )
+    cells = [(x, i) for x, n in (("c", N_CLASSES), ("w", len(COMMON_WORDS) + 1)) for i in range(n)]
+    texts = shares.groupBy("lang", "text_hash").agg(
+        F.max("n_chars").alias("n_chars"), *[F.max(F.col(x)[i]).alias(f"{x}{i}") for x, i in cells]
+    )
+    sums = texts.groupBy("lang").agg(
+        F.count("*").alias("n_texts"),
+        F.sum("n_chars").alias("n_chars"),
+        *[F.sum(f"{x}{i}").alias(f"{x}{i}") for x, i in cells],
+    )
+    found = sums.where((F.col("n_texts") >= MIN_TEXTS) & (F.col("n_chars") >= MIN_REFERENCE_CHARS)).select(
+        F.col("lang").alias("ref_lang"),
+        "n_texts",
+        F.array(*[f"c{i}" for x, i in cells if x == "c"]).alias("class_ref"),
+        F.array(*[f"w{i}" for x, i in cells if x == "w"]).alias("word_ref"),
+    )
+    return materialise(found, "references")
 
 
 def _entropy(share: Column) -> Column:
@@ -210,41 +224,41 @@ def _add(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def js_distance(counts: Column, references: list[list[int]]) -> Column:
-    """Smallest Jensen-Shannon distance (base 2) of a histogram to the references.
+def js_distance(counts: Column, references: Column | list[list[int]]) -> Column:
+    """Smallest Jensen-Shannon distance (base 2) of a histogram to an array of histograms.
 
-    The divergence is the entropy of the mean less the mean of the entropies.
+    The divergence is the entropy of the mean less the mean of the entropies. NULL without any.
     """
-    if not references:
-        return F.lit(None).cast("double")
+    if isinstance(references, list):
+        references = F.array(*[F.array(*map(F.lit, r)) for r in references])
+
+    def shares(h: Column) -> Column:
+        return let(_sum(h), lambda n: F.transform(h, lambda x: x / n))
+
+    def divergence(p: Column, own: Column, q: Column) -> Column:
+        mean = _add(F.zip_with(p, q, lambda a, b: _entropy((a + b) / 2)))
+        return mean - (own + _add(F.transform(q, _entropy))) / 2
 
     def nearest(p: Column) -> Column:
         own = _add(F.transform(p, _entropy))
+        of_each = lambda h: F.transform(references, lambda r: let(shares(r), lambda q: divergence(p, h, q)))
+        return F.array_min(let(own, of_each))
 
-        def divergence(reference: list[int], own: Column) -> Column:
-            q = [x / sum(reference) for x in reference]
-            theirs = -sum(x * math.log2(x) for x in q if x)
-            mean = _add(
-                F.zip_with(p, F.array(*map(F.lit, q)), lambda a, b: _entropy((a + b) / 2))
-            )
-            return mean - (own + theirs) / 2
+    found = let(shares(counts), nearest)
+    return F.when(found.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), found)))
 
-        return let(own, lambda h: F.array_min(F.array(*[divergence(r, h) for r in references])))
 
-    shares = let(_sum(counts), lambda n: F.transform(counts, lambda c: c / n))
-    return F.sqrt(F.greatest(F.lit(0.0), let(shares, nearest)))
+def _without(reference: Column, hist: Column) -> Column:
+    """An array of the reference less the shares of one of its texts."""
+    return F.array(F.zip_with(reference, _shares(hist), lambda a, b: a - b))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """Counts, distances to the nearest language, and verdict of every document."""
+    """Counts, distances to the language, and verdict of every document."""
     counts = measured(docs)
     references = language_references(counts)
-
-    with_words = sorted(x for x in references if x in LANGUAGES)
-    every = with_words + sorted((x for x in references if x not in LANGUAGES), key=lambda x: (x is None, x))
-
-    def nearest(hist: str, languages: list[str | None], side: int) -> Column:
-        return js_distance(F.col(hist), [references[x][side] for x in languages])
+    largest = references.orderBy(F.desc("n_texts"), "ref_lang").limit(MAX_OTHERS).select("class_ref").collect()
+    judged = counts.join(references, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
 
     n = F.col("n_words")
     classes, common = F.col("class_distance"), F.col("word_distance")
@@ -252,17 +266,24 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     strange = F.coalesce(
         classes > MAX_CLASS_DISTANCE + CLASS_NOISE / F.sqrt("n_chars"), F.lit(False)
     ) | F.coalesce(common > MAX_WORD_DISTANCE + WORD_NOISE / F.sqrt(n), F.lit(False))
+    stated = F.col("class_ref").isNotNull() & (n > 0)
+    if largest:
+        others = F.array(*[F.array(*map(F.lit, r.class_ref)) for r in largest])
+        class_distance = F.when(
+            stated, js_distance(F.col("class_hist"), _without(F.col("class_ref"), F.col("class_hist")))
+        ).otherwise(js_distance(F.col("class_hist"), others))
+    else:
+        class_distance = F.lit(None).cast("double")
+    word_distance = js_distance(F.col("word_hist"), _without(F.col("word_ref"), F.col("word_hist")))
     return (
-        counts.withColumns(
+        judged.withColumns(
             {
-                "class_distance": F.when(F.col("n_chars") >= MIN_CHARS, nearest("class_hist", every, 0)),
-                "word_distance": F.when(
-                    (n >= MIN_COMMON) & F.col("lang").isin(LANGUAGES), nearest("word_hist", with_words, 1)
-                ),
+                "class_distance": F.when(F.col("n_chars") >= MIN_CHARS, class_distance),
+                "word_distance": F.when(stated & (n >= MIN_COMMON) & F.col("lang").isin(LANGUAGES), word_distance),
             }
         )
         .select("*", failed.alias("base_failed"), (~failed & ~strange).alias("kept"))
-        .drop("lang", "class_hist", "word_hist")
+        .drop("lang", "class_hist", "word_hist", "ref_lang", "n_texts", "class_ref", "word_ref")
     )
 
 

@@ -51,30 +51,37 @@ def _normal(text: Column) -> Column:
 
 
 def _passages(lines: Column) -> Column:
-    """(level, body) of runs of lines of one level without a blank line."""
-    empty = F.array().cast("array<struct<level:int,body:string>>")
-    start = F.struct(empty.alias("done"), F.lit(-1).alias("level"), F.lit("").alias("body"))
+    """(level, body) of runs of lines of one level without a blank line, and of the lines themselves.
 
-    def close(a: Column) -> Column:
-        return F.when(a["body"] == "", a["done"]).otherwise(
-            F.concat(a["done"], F.array(F.struct(a["level"].alias("level"), a["body"].alias("body"))))
+    Runs are cut at their ends, so the work grows with the lines. Repeated passages stay in; they
+    meet in the grouping by hash.
+    """
+
+    def apart(p: Column, x: Column, i: Column) -> Column:
+        """Whether the line at ``i`` does not go on with line ``x``."""
+        other = F.get(p, i)
+        return other.isNull() | (other["level"] != x["level"]) | (other["body"] == "")
+
+    def places(p: Column, step: int) -> Column:
+        marked = F.transform(
+            p, lambda x, i: F.when((x["body"] != "") & apart(p, x, i + step), i.cast("int"))
         )
+        return F.array_compact(marked)
+
+    def runs(p: Column) -> Column:
+        def run(first: Column, last: Column) -> Column:
+            bodies = F.transform(F.slice(p, first + 1, last - first + 1), lambda x: x["body"])
+            return F.struct(F.get(p, first)["level"].alias("level"), F.array_join(bodies, " ").alias("body"))
 
-    def add(a: Column, x: Column) -> Column:
-        goes_on = (a["level"] == x["level"]) & (x["body"] != "") & (a["body"] != "")
-        return F.struct(
-            F.when(goes_on, a["done"]).otherwise(close(a)).alias("done"),
-            x["level"].alias("level"),
-            F.when(goes_on, F.concat(a["body"], F.lit(" "), x["body"])).otherwise(x["body"]).alias("body"),
+        return let(
+            F.struct(places(p, -1).alias("first"), places(p, 1).alias("last")),
+            lambda at: F.zip_with(at["first"], at["last"], run),
         )
 
     plain = F.transform(
         lines, lambda x: F.struct(x["level"].alias("level"), _normal(x["body"]).alias("body"))
     )
-    return let(
-        plain,
-        lambda p: F.array_distinct(F.concat(F.aggregate(p, start, add, close), F.filter(p, lambda x: x["body"] != ""))),
-    )
+    return let(plain, lambda p: F.concat(runs(p), F.filter(p, lambda x: x["body"] != "")))
 
 
 def parse_quotes(messages: DataFrame) -> DataFrame:
