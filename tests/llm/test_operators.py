@@ -145,7 +145,8 @@ def brute_quality(rows):
                 near = min(distance(h[0], s[0]) for s in sums.values())
             ok = near <= quality.MAX_CLASS_DISTANCE + quality.CLASS_NOISE / math.sqrt(len(t))
             if lang in sums and lang in quality.LANGUAGES and n >= quality.MIN_COMMON:
-                near = distance(h[1], [a - b for a, b in zip(sums[lang][1], shares(h[1]))])
+                refs = [s[1] for k, s in sums.items() if k in quality.LANGUAGES and k != lang]
+                near = min(distance(h[1], r) for r in [*refs, [a - b for a, b in zip(sums[lang][1], shares(h[1]))]])
                 ok = ok and near <= quality.MAX_WORD_DISTANCE + quality.WORD_NOISE / math.sqrt(n)
         out[i] = ok
     return out

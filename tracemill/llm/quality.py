@@ -7,9 +7,10 @@ characters; rows without language form one more. A text is held against the lang
 be in, less its own share of that reference, so that it cannot vouch for itself. A text of a language
 without a reference is held against the nearest of the ``MAX_OTHERS`` largest references. A text that
 is long enough is rejected if its Jensen-Shannon distance exceeds a limit. The common words are
-those of ``LANGUAGES``, so words decide only on texts of one of these that has a reference; others
-have no word distance. References are a table joined on the language; only the class sums of the
-``MAX_OTHERS`` largest, six numbers each, reach the driver.
+those of ``LANGUAGES``, so words decide only on texts of one of these that has a reference, by the
+nearest of these languages, as texts are sometimes stated to be in the wrong one; others have no
+word distance. References are a table joined on the language; only the class sums of the
+``MAX_OTHERS`` largest and the word sums of ``LANGUAGES`` reach the driver.
 
 Defined results: a NULL or blank text has no words, zero counts and fails the base rule. Repeated
 rows get the same verdict. Other columns are ignored, whatever their names. Without references the
@@ -274,7 +275,12 @@ def quality_rules(docs: DataFrame) -> DataFrame:
         ).otherwise(js_distance(F.col("class_hist"), others))
     else:
         class_distance = F.lit(None).cast("double")
-    word_distance = js_distance(F.col("word_hist"), _without(F.col("word_ref"), F.col("word_hist")))
+    # Texts are sometimes stated to be in the wrong one of these languages, which is no fault of theirs.
+    known = references.where(F.col("ref_lang").isin(LANGUAGES)).select("ref_lang", "word_ref").collect()
+    elsewhere = [F.when(F.col("lang") != r.ref_lang, F.array(*map(F.lit, r.word_ref))) for r in known]
+    own = _without(F.col("word_ref"), F.col("word_hist"))
+    word_refs = F.concat(own, F.array_compact(F.array(*elsewhere))) if known else own
+    word_distance = js_distance(F.col("word_hist"), word_refs)
     return (
         judged.withColumns(
             {
