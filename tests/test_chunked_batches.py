@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_score_store import SCHEMA, rows_of
-from tracemill.operators import divergence
+from tracemill.operators import profile, divergence
 from tracemill.plans.batches import chunked_batches, training_batches
 from tracemill.session import fresh_path
 from tracemill.sources.score_store import ScoreStore
@@ -73,3 +73,17 @@ def test_exact_sums_do_not_depend_on_the_order(spark):
     ((row,),) = found
     want = sum(kl for _, m, kl in rows if m and kl is not None) / sum(m for _, m, kl in rows if kl is not None)
     assert row.loss == pytest.approx(want, rel=1e-9)
+
+
+def test_best_losses_do_not_depend_on_the_order(spark):
+    """Two epochs with the same losses in another order are no improvement, in any partitioning."""
+    losses = [0.1, 0.2, 0.3, 1e6, 1e-9, 0.7, None]
+    rows = [("r", e, s, x) for e, order in enumerate((losses, losses[::-1], sorted(losses[:-1]))) for s, x in enumerate(order)]
+    rows += [("none", 0, 0, None), ("wild", 0, 0, 1e300), ("wild", 1, 0, 2.0)]
+    for parts in (1, 3, 7):
+        df = spark.createDataFrame(rows, "run_id string, epoch int, step int, loss double").repartition(parts)
+        got = {(r.run_id, r.epoch): (r.val_loss, r.is_best) for r in profile.new_best(profile.exact_losses(df)).collect()}
+        assert [got["r", e][1] for e in range(3)] == [True, False, False]
+        assert len({got["r", e][0] for e in range(3)}) == 1
+        assert got["none", 0][0] is None
+        assert got["wild", 0] == (1e300, True) and got["wild", 1] == (2.0, True)

@@ -109,6 +109,23 @@ def test_first_n(spark, n, count):
     assert sorted(r[0] for r in filters.first_n(df, n).collect()) == expected_keys
 
 
+@pytest.mark.parametrize("last_keys", [1, 5, 4096])
+def test_first_n_of_awkward_keys(spark, monkeypatch, last_keys):
+    """Prefixes of one another, repeats, NULL, and letters beyond ASCII, whatever the number of rounds."""
+    monkeypatch.setattr(filters, "_LAST_KEYS", last_keys)
+    keys = ["", "a", "ab", "ab", "abc", "abcd", "abcde", "abd", "b", "\u00e9", "\u65e5\u672c", "\U0001f600", "x" * 300, "x" * 301]
+    df = spark.createDataFrame([(k,) for k in [*keys, None]], "trajectory_id string")
+    ordered = sorted(keys, key=str.encode)
+    for n in (1, 3, 4, 7, 11, 13, 14, 15, 99):
+        last = ordered[min(n, len(ordered)) - 1]
+        wanted = [k for k in ordered if k.encode() <= last.encode()]
+        got = sorted((r[0] for r in filters.first_n(df, n).collect()), key=str.encode)
+        assert got == wanted, n
+    plan = filters.first_n(df, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert filters.first_n(df.limit(0), 4).count() == 0
+
+
 def test_length_thresholds(spark):
     # "[user]: " has 8 characters.
     df = frame(spark, short=[message("user", "x" * 91)], enough=[message("user", "x" * 92)], trail=[message("user", "x" * 90)])

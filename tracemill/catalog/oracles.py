@@ -409,6 +409,13 @@ def all_oracles() -> dict[str, str]:
         "f2_first_n": _with(
             _HEADERS, "SELECT trajectory_id, n_messages FROM gold ORDER BY trajectory_id LIMIT 20"
         ),
+        "f2_selected": _with(
+            _HEADERS,
+            """SELECT 'few' AS part, trajectory_id FROM (SELECT trajectory_id FROM gold ORDER BY trajectory_id LIMIT 20)
+               UNION ALL
+               SELECT 'half', key FROM (SELECT 'event-' || event_id AS key, row_number() OVER (ORDER BY 'event-' || event_id) AS r
+                                        FROM events) WHERE r <= (SELECT count(*) // 2 FROM events)""",
+        ),
         "f3_with_messages": _with(
             _DOCS, """SELECT trajectory_id, CAST(count(*) AS INTEGER) AS n_messages FROM docmsg
                WHERE resolved IS NOT NULL AND content <> '' GROUP BY 1"""
@@ -722,6 +729,17 @@ def all_oracles() -> dict[str, str]:
                                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'inf'::DOUBLE) AS is_best
                FROM epochs""",
         ),
+        "a4_exact_best": _with(
+            {
+                **_STEPS,
+                "sums": """SELECT run_id, epoch, CAST(sum(CAST(loss AS DECIMAL(28,18))) AS DOUBLE) / count(*) AS val_loss
+                           FROM steps GROUP BY 1, 2""",
+            },
+            """SELECT run_id, epoch, round(val_loss, 6) AS val_loss,
+                      val_loss < coalesce(min(val_loss) OVER (PARTITION BY run_id ORDER BY epoch
+                                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'inf'::DOUBLE) AS is_best
+               FROM sums""",
+        ),
         "a5_every_nth_epoch": _with(_STEPS, "SELECT run_id, epoch, val_loss FROM epochs WHERE (epoch + 1) % 2 = 0"),
         "prepare_gold_set": _with(
             {**_DOCS, "g": f"{doc_headers} WHERE {_GOLDDOC} GROUP BY ALL"},

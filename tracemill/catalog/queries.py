@@ -415,6 +415,17 @@ def f2_first_n(spark, sf_dir):
     return filters.first_n(filters.gold(fx.headers(spark, sf_dir)), 20).select("trajectory_id", "n_messages")
 
 
+@query
+def f2_selected(spark, sf_dir):
+    """The first 20 gold conversations, and the first half of all messages of the corpus by a text key."""
+    few = filters.first_n(filters.gold(fx.headers(spark, sf_dir)), 20).select(F.lit("few").alias("part"), "trajectory_id")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.concat(F.lit("event-"), F.col("event_id")).alias("trajectory_id")
+    )
+    half = filters.first_n(rows, rows.count() // 2).select(F.lit("half").alias("part"), "trajectory_id")
+    return few.unionByName(half)
+
+
 @query
 def f3_with_messages(spark, sf_dir):
     """Documents without a label count as not recorded (NULL), those of blank lines only as empty."""
@@ -1086,6 +1097,13 @@ def a4_new_best(spark, sf_dir):
     return profile.new_best(fx.epoch_losses(spark, sf_dir))
 
 
+@query
+def a4_exact_best(spark, sf_dir):
+    """Epochs with new best losses, from sums that do not depend on the order of the steps."""
+    losses = profile.exact_losses(fx.training_steps(spark, sf_dir))
+    return profile.new_best(losses).withColumn("val_loss", F.round("val_loss", 6))
+
+
 @query
 def a5_every_nth_epoch(spark, sf_dir):
     return profile.every_nth_epoch(fx.epoch_losses(spark, sf_dir), 2)

@@ -51,6 +51,20 @@ def running_loss(steps: DataFrame, every: int = 10, accumulation_steps: int = 1)
     )
 
 
+def exact_losses(steps: DataFrame) -> DataFrame:
+    """(run_id, epoch, val_loss): mean loss of every epoch, the same bits under any partitioning.
+
+    Losses are summed as decimals of 18 places, so equal epochs have equal means and ``new_best``,
+    which asks for strictly smaller ones, does not depend on the order of the rows. NULL losses do
+    not count; an epoch with only these has none. An infinite loss, NaN, or one of 10 digits or more
+    before the point makes the mean of its epoch a plain one.
+    """
+    exact = F.col("loss").try_cast("decimal(28,18)")
+    total, n = F.sum(exact), F.count("loss")
+    mean = F.when(F.count(exact) == n, total.cast("double") / n).otherwise(F.avg("loss"))
+    return steps.groupBy("run_id", "epoch").agg(F.when(n > 0, mean).alias("val_loss"))
+
+
 def new_best(epochs: DataFrame) -> DataFrame:
     """Mark epochs whose val_loss is strictly below every earlier one of the run."""
     earlier = running(epochs, ["run_id"], "epoch", before={"_best": ("min", F.col("val_loss"))})
