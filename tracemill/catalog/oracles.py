@@ -499,6 +499,29 @@ def all_oracles() -> dict[str, str]:
         ),
         "t2_dictionary": _with(_ALL, "SELECT token, n, token_id FROM dict"),
         "t3_loss_mask": _with(_ALL, "SELECT trajectory_id, pos, loss_mask FROM masked"),
+        "t2_wide_lookup": _with(
+            _ALL, "SELECT t.trajectory_id, t.pos, t.token, d.token_id FROM tok t LEFT JOIN dict d USING (token)"
+        ),
+        "t1_windowed_tokenizer": _with(
+            {
+                **_DOCS,
+                **_parts("toolmsg"),
+                "txt": _tokens()["txt"],
+                "w0": f"""
+                    SELECT trajectory_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos
+                    FROM (SELECT trajectory_id, regexp_extract_all(text, '{_WORD}') AS ws FROM txt)""",
+                "w": """
+                    SELECT *, coalesce(sum(length(w)) OVER (PARTITION BY trajectory_id ORDER BY pos
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM w0""",
+                "wm": """
+                    SELECT w.*, CAST(EXISTS (SELECT 1 FROM located a WHERE a.trajectory_id = w.trajectory_id
+                           AND a.role = 'assistant' AND w.s < a.char_end AND w.s + length(w.w) > a.char_start) AS INTEGER) AS m
+                    FROM w""",
+            },
+            """SELECT trajectory_id, pos // 512 AS block, string_agg(length(w), ',' ORDER BY pos) AS input_ids,
+                      string_agg(m, '' ORDER BY pos) AS loss_mask, CAST(min(s) AS BIGINT) AS first_char
+               FROM wm GROUP BY 1, 2""",
+        ),
         "t3_overlap_mask": _with(
             {
                 **_DOCPARTS,

@@ -11,7 +11,8 @@ from tracemill import fixtures as fx
 from tracemill.functions.arrays import as_text
 from tracemill.functions.distributions import probabilities, teacher_exponents
 from tracemill.functions.text import Template, called_functions, normalise_arguments
-from tracemill.operators import batching, divergence, filters, profile, render, scores, scoring, selection, tokens
+from tracemill.operators import batching, divergence, filters, profile, render, scores, scoring, selection, tokens, windows
+from tracemill.operators.lookup import lookup
 from tracemill.plans import batches
 from tracemill.plans.evaluate import assign_epoch, evaluate, evaluate_store
 from tracemill.plans.prepare import prepare_gold, tokenize_trajectories
@@ -585,6 +586,39 @@ def t2_unknown_token(spark, sf_dir):
     )
 
 
+@query
+def t2_wide_lookup(spark, sf_dir):
+    """Ids where a head of 256 bytes is broadcast and all other tokens are shuffled."""
+    rows = fx.conversation_tokens(spark, sf_dir, offsets=False)
+    table = _dictionary(spark, sf_dir).select("token", "token_id")
+    found = lookup(rows, table, "token", "token_id", head_bytes=256)
+    return found.select("trajectory_id", "pos", "token", "token_id")
+
+
+@query
+def t1_windowed_tokenizer(spark, sf_dir):
+    """All documents through a user's tokenizer in windows of 1,024 characters; blocks of 512 tokens."""
+    parts = materialise(render.locate_parts(render.normalise_messages(_nested_messages(spark, sf_dir))), "parts")
+    rows = windows.windowed_tokens(parts, fx.word_encoder(), window=1024, overlap=128)
+    token = F.explode(F.arrays_zip("input_ids", "tok_starts", "loss_mask", F.sequence(F.lit(0), F.size("input_ids") - 1).alias("i")))
+    exploded = rows.where(F.size("input_ids") > 0).select("trajectory_id", "first_pos", token.alias("t"))
+    placed = exploded.select(
+        "trajectory_id",
+        (F.col("first_pos") + F.col("t.i")).alias("pos"),
+        F.struct((F.col("first_pos") + F.col("t.i")).alias("pos"), "t.input_ids", "t.tok_starts", "t.loss_mask").alias("t"),
+    )
+    blocks = placed.groupBy("trajectory_id", F.floor(F.col("pos") / 512).alias("block")).agg(
+        F.sort_array(F.collect_list("t")).alias("ts")
+    )
+    return blocks.select(
+        "trajectory_id",
+        "block",
+        as_text(F.transform("ts", lambda t: t["input_ids"])).alias("input_ids"),
+        F.array_join(F.transform("ts", lambda t: t["loss_mask"].cast("string")), "").alias("loss_mask"),
+        F.array_min(F.transform("ts", lambda t: t["tok_starts"])).alias("first_char"),
+    )
+
+
 @query
 def t3_loss_mask(spark, sf_dir):
     return fx.conversation_tokens(spark, sf_dir, offsets=False).select("trajectory_id", "pos", "loss_mask")

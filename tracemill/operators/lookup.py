@@ -2,30 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _HEAD_ROWS = 200_000
-_HEAD_KEY_CHARS = 128
+_HEAD_KEY_BYTES = 512
+_HEAD_BYTES = 64 << 20
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, rank: str, *, head_rows: int = _HEAD_ROWS) -> DataFrame:
+def frequent_head(
+    table: DataFrame, key: str, rank: str, *, head_rows: int = _HEAD_ROWS, head_bytes: int = _HEAD_BYTES
+) -> DataFrame:
+    """The first keys of ``table`` by ``rank``, as many as fit ``head_bytes`` of key text.
+
+    A key of more than 512 bytes is not in it, whatever its rank, and neither is one whose rank is
+    NULL or ``head_rows`` or more. The window runs over at most ``head_rows`` keys.
+    """
+    size = F.octet_length(key)
+    first = table.where((F.col(rank) < head_rows) & (size <= _HEAD_KEY_BYTES))
+    so_far = Window.orderBy(rank, key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return first.withColumn("_bytes", F.sum(size).over(so_far)).where(F.col("_bytes") <= head_bytes).drop("_bytes")
+
+
+def lookup(
+    rows: DataFrame,
+    table: DataFrame,
+    key: str,
+    rank: str,
+    *,
+    head_rows: int = _HEAD_ROWS,
+    head_bytes: int = _HEAD_BYTES,
+) -> DataFrame:
     """Left join ``rows`` to ``table`` on ``key``, without shuffling the frequent keys.
 
     ``table`` has one row per key, and ``rank`` orders its keys by how often they occur (0 =
-    most often). The first ``head_rows`` short keys are broadcast, a table of bounded size. Rows
-    they do not cover are joined to the rest by a shuffle, where no key is frequent any more; that
-    branch is left out when the table has no rest. NULL keys match nothing.
+    most often). Its ``frequent_head``, bounded in rows and bytes, is broadcast. Rows that it does
+    not cover are joined to the rest by a shuffle, where no key is frequent any more. Whether the
+    table has a rest is asked when the query runs: if it has none, the second branch stops at its
+    source. No job runs while planning. NULL keys match nothing.
     """
-    is_head = (F.col(rank) < head_rows) & (F.length(key) <= _HEAD_KEY_CHARS)
     added = [c for c in table.columns if c != key]
-    head = table.filter(is_head).withColumn("_hit", F.lit(True))
+    head = frequent_head(table, key, rank, head_rows=head_rows, head_bytes=head_bytes).withColumn("_hit", F.lit(True))
+    rest = table.join(F.broadcast(head.select(key)), key, "left_anti")
+    has_rest = rest.exists()
     covered = rows.join(F.broadcast(head), key, "left")
-    # A key without a rank is not in the head.
-    is_head = F.coalesce(is_head, F.lit(False))
-    rest = table.filter(~is_head)
-    if rest.isEmpty():
-        return covered.select(*rows.columns, *added)
-    found = covered.filter(F.col("_hit") | F.col(key).isNull()).select(*rows.columns, *added)
-    missed = covered.filter(F.col("_hit").isNull() & F.col(key).isNotNull()).select(*rows.columns)
+    missed = covered.where(F.col("_hit").isNull() & F.col(key).isNotNull() & has_rest).select(*rows.columns)
+    found = covered.where(F.col("_hit") | F.col(key).isNull() | ~has_rest).select(*rows.columns, *added)
     return found.unionByName(missed.join(rest, key, "left").select(*rows.columns, *added))
