@@ -839,8 +839,10 @@ def all_oracles() -> dict[str, str]:
             for epoch in ("0", "1")
         ),
     }
-    found["k14_clustered"] = found["k14_batch_kl"]
-    found["evaluate_clustered"] = found["evaluate_epoch"]
+    # The store keeps scores in single precision, and so do its losses.
+    single = ("b.rank, b.val, b.token_id", "b.rank, CAST(CAST(b.val AS FLOAT) AS DOUBLE) AS val, b.token_id")
+    found["k14_clustered"] = found["k14_batch_kl"].replace(*single)
+    found["evaluate_clustered"] = found["evaluate_epoch"].replace(*single)
     found["s11_store_summary"] = _with(
         _HEADERS,
         "SELECT count(*) AS n_trajectories, count(*) AS n_without_mask, true AS all_files, true AS all_bytes FROM hdr",

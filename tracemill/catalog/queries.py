@@ -14,7 +14,7 @@ from tracemill.functions.text import Template, called_functions, normalise_argum
 from tracemill.operators import batching, divergence, filters, profile, render, scores, scoring, selection, tokens, windows
 from tracemill.operators.lookup import lookup
 from tracemill.plans import batches
-from tracemill.plans.evaluate import assign_epoch, evaluate, evaluate_store
+from tracemill.plans.evaluate import assign_epoch, evaluate, evaluate_store, mean_losses, trajectory_sums
 from tracemill.plans.prepare import prepare_gold, tokenize_trajectories
 from tracemill.plans.score import build_cache, build_samples, build_store
 from tracemill.session import fresh_path, materialise
@@ -1221,10 +1221,11 @@ def training_batches(spark, sf_dir):
 def evaluate_epoch(spark, sf_dir):
     """Split, order, batch, join the student's scores, and average the batch losses, for two epochs."""
     teacher, student = fx.count_scores(spark, sf_dir, K)
+    # The student is the same in both epochs: scored once.
+    sums = materialise(trajectory_sums(teacher, student), "sums")
 
     def losses(epoch):
-        assignment = assign_epoch(_ids(spark, sf_dir), epoch, 8)
-        return evaluate(teacher, student, assignment).withColumn("epoch", F.lit(epoch))
+        return mean_losses(sums, assign_epoch(_ids(spark, sf_dir), epoch, 8)).withColumn("epoch", F.lit(epoch))
 
     return losses(0).unionByName(losses(1)).withColumn("avg_loss", F.round("avg_loss", 6))
 

@@ -165,10 +165,12 @@ def count_scores(spark: SparkSession, sf_dir: str, k: int = 8) -> tuple[DataFram
     n_tokens, n_distinct = dictionary.agg(F.sum("n"), F.count("*")).first()
 
     pairs = tokens.filter(F.col("pos") > 0).groupBy("prev_token", "token").agg(F.count("*").alias("n_pair"))
-    contexts = pairs.groupBy("prev_token").agg(F.sum("n_pair").alias("n_context"))
-    likeliest = Window.partitionBy("prev_token").orderBy(F.desc("n_pair"), F.asc("token"))
-    best = pairs.withColumn("rank", F.row_number().over(likeliest)).filter(F.col("rank") <= k)
-    best = lookup(best, dictionary, "token", "token_id").join(contexts, "prev_token")
+    context = Window.partitionBy("prev_token")
+    likeliest = context.orderBy(F.desc("n_pair"), F.asc("token"))
+    ranked = pairs.withColumn("n_context", F.sum("n_pair").over(context)).withColumn("rank", F.row_number().over(likeliest))
+    # Written: it is small, and each look-up would count the pairs again.
+    best = materialise(ranked.filter(F.col("rank") <= k), "best")
+    best = lookup(best, dictionary, "token", "token_id")
     best = best.select(
         "prev_token",
         "rank",

@@ -45,8 +45,21 @@ def evaluate(
     shift: int = 0,
 ) -> DataFrame:
     """Mean batch loss per split. Where no loss mask was stored, all positions count."""
+    sums = trajectory_sums(cache, student, temperature=temperature, max_tokens=max_tokens, shift=shift)
+    return mean_losses(sums, assignment)
+
+
+def trajectory_sums(
+    cache: DataFrame,
+    student: DataFrame,
+    *,
+    temperature: float = 1.0,
+    max_tokens: int = fixed.MAX_TRAJECTORY_TOKENS,
+    shift: int = 0,
+) -> DataFrame:
+    """Summed losses of each trajectory: what ``mean_losses`` needs for any number of assignments."""
     masked = _masked(truncate_positions(cache, max_tokens))
-    return _losses(position_kl(gather_student(masked, student, shift=shift), temperature), assignment)
+    return sample_sums(position_kl(gather_student(masked, student, shift=shift), temperature))
 
 
 def evaluate_store(
@@ -61,16 +74,16 @@ def evaluate_store(
     """``evaluate`` on a compacted store, whose rows are not moved."""
     version = store.snapshot()
     gathered = gather_student_chunks(store.chunks(version), student, shift=shift, buckets=version.buckets)
-    return _losses(position_kl(_masked(truncate_positions(gathered, max_tokens)), temperature), assignment)
+    return mean_losses(sample_sums(position_kl(_masked(truncate_positions(gathered, max_tokens)), temperature)), assignment)
 
 
 def _masked(positions: DataFrame) -> DataFrame:
     return positions.withColumn("loss_mask", chosen_mask(F.col("loss_mask"), F.lit(1)))
 
 
-def _losses(positions: DataFrame, assignment: DataFrame) -> DataFrame:
-    # Summed per trajectory first, so that the join to batches sees one row per trajectory.
-    sums = sample_sums(positions).join(assignment, "trajectory_id", "left")
+def mean_losses(sums: DataFrame, assignment: DataFrame) -> DataFrame:
+    """Mean batch loss per split from one row of sums per trajectory; one without a batch is an error."""
+    sums = sums.join(assignment, "trajectory_id", "left")
     problem = F.raise_error(F.concat(F.lit("no batch for trajectory "), "trajectory_id")).cast("bigint")
     placed = sums.withColumn("batch_id", F.when(F.col("batch_id").isNull(), problem).otherwise(F.col("batch_id")))
     return mean_of_batches(batch_loss(placed, ["split", "batch_id"]), ["split"])
