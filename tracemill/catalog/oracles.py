@@ -839,6 +839,7 @@ def all_oracles() -> dict[str, str]:
             for epoch in ("0", "1")
         ),
     }
+    found["m2_native_arguments"] = found["m2_normalise_arguments"]
     # The store keeps scores in single precision, and so do its losses.
     single = ("b.rank, b.val, b.token_id", "b.rank, CAST(CAST(b.val AS FLOAT) AS DOUBLE) AS val, b.token_id")
     found["k14_clustered"] = found["k14_batch_kl"].replace(*single)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracemill import fixtures as fx
 from tracemill.functions.arrays import as_text
 from tracemill.functions.distributions import probabilities, teacher_exponents
-from tracemill.functions.text import Template, called_functions, normalise_arguments
+from tracemill.functions.text import Template, called_functions, native_arguments, normalise_arguments
 from tracemill.operators import batching, divergence, filters, profile, render, scores, scoring, selection, tokens, windows
 from tracemill.operators.lookup import lookup
 from tracemill.plans import batches
@@ -481,6 +481,14 @@ def m2_normalise_arguments(spark, sf_dir):
     )
 
 
+@query
+def m2_native_arguments(spark, sf_dir):
+    """The same without Python workers."""
+    raw = F.transform(called_functions(F.col("tool_calls")), lambda function: function["arguments"])
+    calls = _nested_messages(spark, sf_dir).select("trajectory_id", "msg_idx", native_arguments(raw).alias("arguments"))
+    return calls.select("trajectory_id", "msg_idx", F.posexplode("arguments").alias("call_idx", "arguments"))
+
+
 @query
 def m3_wrap_tool_responses(spark, sf_dir):
     wrapped = render.wrap_tool_responses(_nested_messages(spark, sf_dir))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill import fixed
+from tracemill.functions.json_text import redump
 
 
 def fill(pattern: str, **values: Column) -> Column:
@@ -79,6 +80,11 @@ def normalise_arguments(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda messages: None if messages is None else [per_message(m) for m in messages])
 
 
+def native_arguments(texts: Column) -> Column:
+    """``normalise_arguments`` for one list of texts, by built-in functions: no Python workers."""
+    return F.transform(texts, lambda text: redump(F.coalesce(text, F.lit(_NO_ARGUMENTS))))
+
+
 def called_functions(tool_calls: Column) -> Column:
     """The ``function`` structs of the calls that have one; one without any field counts as none."""
     functions = F.transform(tool_calls, lambda call: call["function"])
