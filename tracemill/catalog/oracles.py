@@ -344,6 +344,17 @@ def all_oracles() -> dict[str, str]:
         "s1_broken_lines": """
             SELECT 'read' AS kind, count(*) FILTER (WHERE doc_id % 7 <> 0) AS n FROM documents
             UNION ALL SELECT 'broken', count(*) FILTER (WHERE doc_id % 7 = 0) FROM documents""",
+        "s1_checked_ids": _with(
+            _DOCS,
+            """SELECT lang || '-' || d.doc_id AS instance_id,
+                      CASE WHEN d.doc_id % 7 <> 0 THEN CASE WHEN d.doc_id % 3 = 0 THEN 'shared' ELSE CAST(d.doc_id AS VARCHAR) END END
+                          AS trajectory_id,
+                      CASE WHEN d.doc_id % 7 = 0 THEN 'missing' WHEN d.doc_id % 3 = 0 THEN 'repeated' ELSE 'none' END AS id_fault,
+                      m.n_messages
+               FROM documents d
+               LEFT JOIN (SELECT trajectory_id, CAST(count(*) AS INTEGER) AS n_messages FROM docmsg GROUP BY 1) m
+                 ON m.trajectory_id = CAST(d.doc_id AS VARCHAR)""",
+        ),
         "s4_user_tokenizer": _with(
             {
                 **_DOCS,
@@ -715,6 +726,20 @@ def all_oracles() -> dict[str, str]:
                       string_agg(CASE WHEN pos < s.n_scored THEN id ELSE 0 END, ',' ORDER BY pos, rank) AS indices
                FROM top2 JOIN scored s USING (trajectory_id) GROUP BY 1, 2""",
         ),
+        "b6_batch_length": _with(
+            {
+                **_DENSE,
+                "placed": """
+                    SELECT trajectory_id, n_scored,
+                           CAST((row_number() OVER (ORDER BY md5('42:0:' || trajectory_id)) - 1) // 3 AS BIGINT) AS batch_id
+                    FROM scored""",
+                "sized": "SELECT *, max(n_scored) OVER (PARTITION BY batch_id) AS len FROM placed",
+            },
+            """SELECT trajectory_id, s.batch_id, s.len AS batch_max_len, s.len AS n_ids, s.len AS n_rows,
+                      round(sum(CASE WHEN pos < s.n_scored THEN z ELSE 0 END), 4) AS val_sum,
+                      string_agg(CASE WHEN pos < s.n_scored THEN id ELSE 0 END, ',' ORDER BY pos, rank) AS indices
+               FROM top2 JOIN sized s USING (trajectory_id) WHERE pos < s.len GROUP BY ALL""",
+        ),
         "b7_batch_metadata": _with(
             {
                 **_DENSE,

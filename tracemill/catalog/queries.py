@@ -116,6 +116,20 @@ def s1_broken_lines(spark, sf_dir):
     )
 
 
+@query
+def s1_checked_ids(spark, sf_dir):
+    """Every seventh trajectory has lost its id, and multiples of 3 beside share one."""
+    number = F.col("trajectory_id").cast("bigint")
+    damaged = F.when(number % 7 == 0, None).when(number % 3 == 0, "shared").otherwise(F.col("trajectory_id"))
+    rows = fx.trajectories(spark, sf_dir).withColumn("trajectory_id", damaged)
+    sound, faulty = stored.split_by_id(rows)
+    return (
+        sound.withColumn("id_fault", F.lit("none"))
+        .unionByName(faulty)
+        .select("instance_id", "trajectory_id", "id_fault", F.size("trajectory").alias("n_messages"))
+    )
+
+
 @query
 def s2_load_gold(spark, sf_dir):
     path = fresh_path(spark, "gold")
@@ -1091,6 +1105,23 @@ def b6_pad_scores(spark, sf_dir):
     )
 
 
+@query
+def b6_batch_length(spark, sf_dir):
+    """Scores of batches of three, brought to the length that the batch's ids have."""
+    samples = _score_samples(spark, sf_dir).withColumn("input_ids", F.transform("teacher_indices", lambda ids: ids[0]))
+    order = batching.assign_batches(batching.shuffled_index(samples.select("trajectory_id"), 0), 3)
+    padded = batching.pad_scores(batching.pad_batch(samples.join(order, "trajectory_id").drop("loss_mask")), 2)
+    return padded.select(
+        "trajectory_id",
+        "batch_id",
+        "batch_max_len",
+        F.size("input_ids").alias("n_ids"),
+        F.size("teacher_values").alias("n_rows"),
+        F.round(_total(F.flatten("teacher_values")), 4).alias("val_sum"),
+        as_text(F.flatten("teacher_indices")).alias("indices"),
+    )
+
+
 @query
 def b7_batch_metadata(spark, sf_dir):
     """Batches of three; a trajectory with few scored positions counts as a raw-logits cache, and

@@ -37,6 +37,34 @@ def load_json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return rows.where(~broken).select("row.*").drop(_BROKEN), rows.where(broken).select("line")
 
 
+def flag_ids(trajectories: DataFrame) -> DataFrame:
+    """Add ``id_fault``: ``missing`` for a NULL id, ``repeated`` for one of several rows, else NULL.
+
+    Ids are counted before they are joined back, one row each, so a partition that holds a very
+    frequent id can be split.
+    """
+    id_ = F.col("trajectory_id")
+    ids = trajectories.where(id_.isNotNull()).groupBy("trajectory_id").agg(F.count("*").alias("_rows"))
+    flagged = trajectories.join(ids.where(F.col("_rows") > 1), "trajectory_id", "left")
+    fault = F.when(id_.isNull(), "missing").when(F.col("_rows").isNotNull(), "repeated")
+    return flagged.select(*trajectories.columns, fault.alias("id_fault"))
+
+
+def split_by_id(trajectories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Trajectories that their id names alone, and the others with ``id_fault``."""
+    flagged = flag_ids(trajectories)
+    sound = flagged.where(F.col("id_fault").isNull()).drop("id_fault")
+    return sound, flagged.where(F.col("id_fault").isNotNull())
+
+
+def require_ids(trajectories: DataFrame) -> DataFrame:
+    """The same rows; the job stops at a NULL or repeated id, which would merge trajectories."""
+    flagged = flag_ids(trajectories)
+    message = F.concat(F.col("id_fault"), F.lit(" trajectory id: "), F.coalesce("trajectory_id", F.lit("NULL")))
+    checked = F.when(F.col("id_fault").isNull(), F.col("trajectory_id")).otherwise(F.raise_error(message).cast("string"))
+    return flagged.withColumn("trajectory_id", checked).drop("id_fault")
+
+
 def load_gold(spark: SparkSession, path: str) -> DataFrame:
     """The prepared gold set; tells what to run if it is missing."""
     if not path_exists(spark, path):
