@@ -132,3 +132,23 @@ def test_tokenize_with_truncates(spark):
     rows = {r.trajectory_id: r for r in tokens.tokenize_with(df, make, max_tokens=2).collect()}
     assert (rows["a"].input_ids, rows["a"].tok_starts, rows["a"].tok_ends) == ([120, 121], [0, 1], [1, 2])
     assert rows["b"].input_ids == []
+
+
+def test_tokenize_with_bounds_a_call(spark):
+    """A call of the encoder gets texts of bounded size together, whatever the batch."""
+    longest = tokens.SLICE_CHARS
+
+    def make():
+        def encode_all(texts):
+            assert len(texts) == 1 or sum(len(t or "") for t in texts) <= longest
+            return [([len(t or "")], [(0, len(t or ""))]) for t in texts]
+
+        return encode_all
+
+    rows = spark.range(0, 100, 1, 1).select(
+        "id", F.when(F.col("id") != 7, F.repeat(F.lit("x"), F.when(F.col("id") == 50, 300_000).otherwise(30_000))).alias("text")
+    )
+    found = {r.id: (r.input_ids, r.tok_starts, r.tok_ends) for r in tokens.tokenize_with(rows, make).collect()}
+    assert len(found) == 100
+    assert found[50] == ([300_000], [0], [300_000]) and found[7] == ([0], [0], [0])
+    assert all(found[k] == ([30_000], [0], [30_000]) for k in range(100) if k not in (7, 50))
