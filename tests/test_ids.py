@@ -36,3 +36,23 @@ def test_required(spark, ids, word):
 
 def test_required_passes_sound_rows(spark):
     assert require_ids(rows(spark, ["a", "b"])).count() == 2
+
+
+def test_frequent_ids_are_not_shuffled(spark, tmp_path):
+    """Rows that share an id, and rows without one, stay where they are."""
+    key = F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string"))
+    spark.range(40_000).repartition(8).select(key.alias("trajectory_id"), "id").write.parquet(f"{tmp_path}/rows")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    # A table of ids too wide to be broadcast as a whole, as in a large corpus.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, faulty = split_by_id(spark.read.parquet(f"{tmp_path}/rows"))
+        sizes = {}
+        for r in faulty.groupBy(F.spark_partition_id().alias("p"), "id_fault").count().collect():
+            sizes.setdefault(r.id_fault, []).append(r["count"])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    missing, hot = -(-40_000 // 7), -(-40_000 // 3) - -(-40_000 // 21)
+    assert (sum(sizes["missing"]), sum(sizes["repeated"])) == (missing, hot)
+    assert max(sizes["missing"]) < missing / 3
+    assert max(sizes["repeated"]) < hot / 3

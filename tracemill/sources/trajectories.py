@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from tracemill.operators.lookup import lookup
+from tracemill.operators.ordering import ordered_index
 from tracemill.schemas import TRAJECTORIES
 from tracemill.session import path_exists
 
@@ -40,12 +42,13 @@ def load_json_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 def flag_ids(trajectories: DataFrame) -> DataFrame:
     """Add ``id_fault``: ``missing`` for a NULL id, ``repeated`` for one of several rows, else NULL.
 
-    Ids are counted before they are joined back, one row each, so a partition that holds a very
-    frequent id can be split.
+    Ids are counted first, and the repeated ones written, most frequent first. The frequent ones are
+    looked up without a shuffle, rows without an id too, so that no task reads all rows of one id.
     """
     id_ = F.col("trajectory_id")
     ids = trajectories.where(id_.isNotNull()).groupBy("trajectory_id").agg(F.count("*").alias("_rows"))
-    flagged = trajectories.join(ids.where(F.col("_rows") > 1), "trajectory_id", "left")
+    repeated = ordered_index(ids.where(F.col("_rows") > 1), [F.desc("_rows"), F.asc("trajectory_id")], "_rank")
+    flagged = lookup(trajectories, repeated, "trajectory_id", "_rank")
     fault = F.when(id_.isNull(), "missing").when(F.col("_rows").isNotNull(), "repeated")
     return flagged.select(*trajectories.columns, fault.alias("id_fault"))
 
