@@ -8,6 +8,7 @@ import __spark_entry__ as entry_points
 from oracle_check import compare, connect
 from tracemill.catalog.oracles import all_oracles
 from tracemill.catalog.queries import all_queries
+from tracemill.sources import score_cache
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -33,3 +34,17 @@ def test_entry(spark):
     result = entry_points.entry(spark)
     assert result.columns == ["trajectory_id", "n_chars", "n_parts", "assistant_share", "prompt_boundary_char"]
     assert result.count() == 9
+
+
+def test_cache_summary_only_copies_in_one_task(spark, monkeypatch):
+    """The two files are written by one task, which must not work out the scores as well."""
+    plans, write = [], score_cache.write_cache
+
+    def seen(positions, *args):
+        plans.append(positions._jdf.queryExecution().executedPlan().toString())
+        return write(positions, *args)
+
+    monkeypatch.setattr(score_cache, "write_cache", seen)
+    result = entry_points.queries()["s11_cache_summary"](spark, SF_DIR).first()
+    assert result.n_files == 2
+    assert not any(step in plan for plan in plans for step in ("Join", "Generate", "Aggregate", "Exchange"))
