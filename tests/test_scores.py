@@ -5,6 +5,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from tracemill.functions import distributions
 from tracemill.operators import divergence, scores
 
 EPS = 1e-8
@@ -216,3 +217,27 @@ def test_dense_scorer(spark):
     assert {tuple(r.top_ids) for r in rows if r.token_id % 3 == 2} == {(0, 2)}
     assert {tuple(r.top_ids) for r in rows if r.token_id % 3 != 2} == {(2, 3)}
     assert {r.format for r in rows} == {"logits"}
+
+
+def test_kl_of_a_batch_of_uneven_rows(spark):
+    """Rows without scores, with NULLs and of uneven length beside each other; no array function per pair."""
+    nan, low = float("nan"), float("-inf")
+    cases = [
+        (0, [0.0, low], [-1.5, None], 1.5),
+        (1, [0.0, -1.0], [-1.0, None], None),
+        (2, [], [], None),
+        (3, None, [-1.0], None),
+        (4, [-1.0], None, None),
+        (5, [0.0, 0.0], [-1.0], None),
+        (6, [0.0], [-1.0, -2.0], None),
+        (7, [None, 0.0], [-1.0, -1.0], None),
+        (8, [0.0, nan], [-1.0, -1.0], nan),
+        (9, [3.0], [-2.0], 2.0),
+        (10, [0.0, low], [-1.5], 1.5),
+    ]
+    df = spark.createDataFrame([c[:3] for c in cases], "i int, u array<double>, q array<double>").coalesce(1)
+    result = df.select("i", distributions.sparse_kl(F.col("u"), F.col("q")).alias("kl"))
+    got = {r.i: r.kl for r in result.collect()}
+    for i, _, _, want in cases:
+        assert got[i] == (None if want is None else pytest.approx(want, nan_ok=True)), i
+    assert "lambda" not in result._jdf.queryExecution().optimizedPlan().toString()
