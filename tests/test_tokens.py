@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.functions.text import TOKEN_PATTERN
+from tracemill.functions.text import TOKEN_PATTERN, last_token, token_count
 from tracemill.operators import render, tokens
 from test_rendering import CASES, expected, frame, message
 
@@ -152,3 +152,19 @@ def test_tokenize_with_bounds_a_call(spark):
     assert len(found) == 100
     assert found[50] == ([300_000], [0], [300_000]) and found[7] == ([0], [0], [0])
     assert all(found[k] == ([30_000], [0], [30_000]) for k in range(100) if k not in (7, 50))
+
+
+def test_counts_and_last_tokens_without_lists(spark):
+    texts = ["", "a", "\n", "ab_9\n", "x" * 5000, "é", "né", "a😀", "😀😀b1", "\r\n", "a b\n\n", "--", "_"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = rows.select("t", token_count(F.col("t")).alias("n"), last_token(F.col("t")).alias("last")).collect()
+    for r in found:
+        want = re.findall(TOKEN_PATTERN, r.t)
+        assert (r.n, r.last) == (len(want), want[-1] if want else None)
+
+
+def test_offsets_are_not_folded(spark):
+    """A fold copies the sums so far for every token."""
+    parts = render.locate_parts(render.explode_messages(frame(spark, **LONG)))
+    plan = tokens.explode_tokens(parts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "array_append" not in plan and "array_insert" not in plan
