@@ -48,3 +48,16 @@ def test_cache_summary_only_copies_in_one_task(spark, monkeypatch):
     result = entry_points.queries()["s11_cache_summary"](spark, SF_DIR).first()
     assert result.n_files == 2
     assert not any(step in plan for plan in plans for step in ("Join", "Generate", "Aggregate", "Exchange"))
+
+
+def test_two_runs_look_scores_up_once(spark, monkeypatch):
+    plans, write = [], score_cache.write_cache
+
+    def seen(positions, *args):
+        plans.append(positions._jdf.queryExecution().executedPlan().toString())
+        return write(positions, *args)
+
+    monkeypatch.setattr(score_cache, "write_cache", seen)
+    assert entry_points.queries()["s7_two_runs"](spark, SF_DIR).count() > 0
+    assert len(plans) == 2
+    assert not any(step in plan for plan in plans for step in ("Join", "Generate", "Aggregate", "Exchange"))
