@@ -280,6 +280,48 @@ def test_copies_of_a_page_are_no_boilerplate():
         assert got == [block] * 20 + [p[0][1] for p in other]
 
 
+def _host_of_chunks(spark, n):
+    """Chunks of the pages 0 to n of one host, as ``main_texts`` deals them."""
+    url = F.concat(F.lit("http://h.example/"), "id")
+    chunk = F.pmod(F.xxhash64("id", url, F.lit(17)), F.lit(-(-n // pages.PAGES)))
+    return {r.id: r.chunk for r in spark.range(n).select("id", chunk.alias("chunk")).collect()}
+
+
+@pytest.mark.parametrize("n_marked, gone", [(59, False), (60, True)])
+def test_shares_are_those_of_the_whole_host(spark, n_marked, gone):
+    # All but one in one chunk, which are more than a fifth of its pages; too few for a report in the other.
+    chunks = _host_of_chunks(spark, 300)
+    first = [k for k in range(300) if chunks[k] == 0][: n_marked - 1]
+    assert len(first) == n_marked - 1
+    marked = {*first, next(k for k in range(300) if chunks[k] == 1)}
+    notice = "Please read our terms before you use any of this site today"
+    rows = [(k, f"http://h.example/{k}", f"<p>{notice}</p>" * (k in marked) + f"<p>Page {k} says w{k}</p>") for k in range(300)]
+    got = pages.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    kept = "" if gone else f"{notice}\n"
+    assert {r.page_id: r.text for r in got} == {k: kept * (k in marked) + f"Page {k} says w{k}" for k in range(300)}
+
+
+@pytest.mark.parametrize("n_marked, gone", [(20, False), (21, True)])
+def test_copies_in_several_chunks_count_once(spark, n_marked, gone):
+    notice = "Please read our terms before you use any of this site today"
+    copy = "A text of more than eight words that stands on every copy of this page"
+    own = [f"<p>{notice}</p>" * (k < n_marked) + f"<p>Page {k} says w{k}</p>" for k in range(100)] + [f"<p>{copy}</p>"] * 200
+    rows = [(k, f"http://h.example/{k}", html) for k, html in enumerate(own)]
+    got = {r.page_id: r.text for r in pages.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 300 and {got[k] for k in range(100, 300)} == {copy}
+    assert [got[k] for k in range(100)] == [("" if gone or k >= n_marked else f"{notice}\n") + f"Page {k} says w{k}" for k in range(100)]
+
+
+def test_chunks_of_a_host_share_one_shuffle(spark):
+    rows = [(k, f"http://h.example/{k}", f"<p>Page {k} says w{k}</p>") for k in range(300)]
+    got = pages.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert got.count() == 300
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # The markup of a page is read once: of the small hosts, and of the large ones.
+    assert 1 <= plan.count("_parse(") <= 2
+
+
 # ---- quotes -----------------------------------------------------------------------------
 
 

@@ -12,8 +12,11 @@
 
 Sorting the first ``LONG`` tokens of each suffix by doubling is enough, as longer repeats are
 covered by their parts. Hosts of more than ``PAGES`` pages are cut into chunks of about that many by
-hash; what stands on half of a host's pages stands on about half of each chunk's. The number of
-chunks comes from the host's own pages only.
+hash, whose suffixes are sorted apart; counts are those of the whole host. A page whose copies lie in
+several chunks counts in one of them. Each chunk reports its runs of ``LONG`` tokens that stand on a
+``REPORT``-th of its pages or more, by 64-bit hash. What the chunks without a report could add at most
+is known, so a run that might stand on enough pages of the host, but maybe on some that were not reported, is
+counted again in all of them. The chunks are shuffled once and read for each of these steps.
 
 Defined results: NULL and empty html give the empty text. A cut-off page gives what is there, without
 an unfinished tag. Pages without url form one nameless host. Repeated rows are pages of their own.
@@ -30,12 +33,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracemill.llm.common import group_starts, whole_groups
 from tracemill.session import materialise
 
 LONG = 8
 PAGES = 128
+REPORT = 20
 
 #: Elements without visible prose, elements of the page's frame, and elements that
 #: end a block.
@@ -233,22 +238,75 @@ def _covered(hits: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(depth)[:n] > 0
 
 
-def unique_blocks(pages: list[list[tuple[bool, str]]]) -> list[str]:
-    """Texts of a chunk's pages without what is covered by repeats: runs, or whole blocks in an article.
-
-    Pages with the same blocks count as one: a page's copies do not make its text boilerplate.
+def _words(pages: list[list[tuple[bool, str]]]) -> tuple[list, list[str], np.ndarray]:
+    """Words of each page with the number of their block, all words in order, and whose they are."""
+    words = [[(k, w) for k, (_, text) in enumerate(p) for w in text.split(" ")] for p in pages]
+    return words, [w for p in words for _, w in p], np.repeat(np.arange(len(pages)), [len(p) for p in words])
+
+
+def _runs(codes: np.ndarray, distinct: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions from which ``LONG`` words of one page follow, and the hashes of these words."""
+    n = max(0, len(codes) - LONG + 1)
+    word = pd.util.hash_array(distinct.astype(object), categorize=False)[codes]
+    run = np.zeros(n, np.uint64)
+    for k in range(LONG):
+        run = run * np.uint64(0x9E3779B97F4A7C15) + word[k : k + n]
+    whole = np.flatnonzero(owner[LONG - 1 :] == owner[:n])
+    return whole, run[whole].view(np.int64)
+
+
+def reported_runs(pages: list[list[tuple[bool, str]]]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of the runs of a chunk that stand on enough of its different pages, on how many, and the limit."""
+    least = max(1, len(pages) // REPORT)
+    _, flat, owner = _words(pages)
+    if not flat:
+        return np.empty(0, np.int64), np.empty(0, np.int64), least
+    codes, distinct = pd.factorize(np.array(flat, dtype=object))
+    shared, _ = repeated(codes, owner)
+    whole, run = _runs(codes, distinct, owner)
+    enough = shared[whole] >= least
+    hashes, first = np.unique(run[enough], return_index=True)
+    return hashes, shared[whole][enough][first].astype(np.int64), least
+
+
+def wanted_runs(pages: list[list[tuple[bool, str]]], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the runs ``wanted`` that a chunk's different pages hold, and on how many they stand."""
+    _, flat, owner = _words(pages)
+    if not flat:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    codes, distinct = pd.factorize(np.array(flat, dtype=object))
+    whole, run = _runs(codes, distinct, owner)
+    found = np.isin(run, wanted)
+    pairs = pd.DataFrame({"run": run[found], "page": owner[whole][found]}).drop_duplicates()
+    return np.unique(pairs["run"].to_numpy(np.int64), return_counts=True)
+
+
+def unique_blocks(
+    pages: list[list[tuple[bool, str]]], often: np.ndarray | None = None, mostly: np.ndarray | None = None
+) -> list[str]:
+    """Texts of pages without what is covered by repeats: runs, or whole blocks in an article.
+
+    The pages are all of a host, or those of a chunk with the hashes of the runs that stand on enough
+    pages of the host outside (``often``) and inside (``mostly``) an article. Pages with the same
+    blocks count as one: a page's copies do not make its text boilerplate.
     """
     names = [tuple(p) for p in pages]
     if len(distinct := list(dict.fromkeys(names))) < len(pages):
-        texts = dict(zip(distinct, unique_blocks([list(p) for p in distinct])))
+        texts = dict(zip(distinct, unique_blocks([list(p) for p in distinct], often, mostly)))
         return [texts[name] for name in names]
-    words = [[(k, w) for k, (_, text) in enumerate(p) for w in text.split(" ")] for p in pages]
-    flat = [w for p in words for _, w in p]
-    if len(pages) < 3 or not flat:
+    words, flat, owner = _words(pages)
+    if not flat or (len(pages) < 3 if often is None else not len(often)):
         return ["\n".join(text for _, text in p) for p in pages]
-    tokens = pd.factorize(np.array(flat, dtype=object))[0]
-    owner = np.repeat(np.arange(len(pages)), [len(p) for p in words])
-    shared, _ = repeated(tokens, owner)
+    tokens, different = pd.factorize(np.array(flat, dtype=object))
+    repeats = {}
+    if often is None:
+        shared, _ = repeated(tokens, owner)
+        repeats = {False: shared >= max(3, len(pages) / 5), True: shared >= max(5, len(pages) / 2)}
+    else:
+        whole, run = _runs(tokens, different, owner)
+        for inside, runs in ((False, often), (True, mostly)):
+            repeats[inside] = np.zeros(len(flat), bool)
+            repeats[inside][whole[np.isin(run, runs)]] = True
     out = []
     start = 0
     for p, own in zip(pages, words):
@@ -257,8 +315,7 @@ def unique_blocks(pages: list[list[tuple[bool, str]]]) -> list[str]:
         block = np.array([k for k, _ in own], np.int64)
         gone = np.zeros(len(own), bool)
         for inside in set(kinds):
-            least = max(5, len(pages) / 2) if inside else max(3, len(pages) / 5)
-            hits = np.flatnonzero(shared[start:end] >= least)
+            hits = np.flatnonzero(repeats[bool(inside)][start:end])
             if not len(hits):
                 continue
             covered = _covered(hits, len(own))
@@ -284,23 +341,116 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "page_id": batch["page_id"].astype("Int64"),
                 "url": batch["url"],
                 "host": batch["host"],
+                "chunks": batch["chunks"],
                 "inside": [bool(p and p[0][0]) for p in pages],
                 "blocks": [[t for _, t in p] for p in pages],
             }
         )
 
 
-def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    keys = ["host", "chunk"]
+_CHUNK = ["host", "chunk"]
+
+
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[list[pd.DataFrame]]:
+    """Lists of whole groups from batches that are sorted by ``keys``."""
     for frame in whole_groups(batches, keys):
-        texts: list[str] = []
         starts = group_starts(frame, keys)
-        for a, b in zip(starts, starts[1:]):
-            part = frame.iloc[a:b]
-            texts += unique_blocks([[(i, t) for t in ts] for i, ts in zip(part["inside"], part["blocks"])])
+        yield [frame.iloc[a:b] for a, b in zip(starts, starts[1:])]
+
+
+def _blocks(part: pd.DataFrame) -> list[list[tuple[bool, str]]]:
+    return [[(i, t) for t in ts] for i, ts in zip(part["inside"], part["blocks"])]
+
+
+def _different(part: pd.DataFrame) -> list[list[tuple[bool, str]]]:
+    """The different pages that count in this chunk."""
+    return _blocks(part[part["counts"]].drop_duplicates("digest"))
+
+
+def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for parts in _groups(batches, ["host"]):
+        texts = [text for part in parts for text in unique_blocks(_blocks(part))]
+        frame = pd.concat(parts)
+        yield pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": texts})
+
+
+def _chunk_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for parts in _groups(batches, _CHUNK):
+        texts: list[str] = []
+        for part in parts:
+            # The first row of a chunk has the runs.
+            runs = [np.empty(0, np.int64) if x is None else np.asarray(x, np.int64) for x in part[["often", "mostly"]].iloc[0]]
+            texts += unique_blocks(_blocks(part), *runs)
+        frame = pd.concat(parts)
         yield pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": texts})
 
 
+def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch[["host", "chunk", "digest"]].drop_duplicates()
+
+
+def _reports(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A chunk's runs with their pages; and a row without a run for the chunk itself, with its pages."""
+    for parts in _groups(batches, _CHUNK):
+        for part in parts:
+            pages = _different(part)
+            hashes, counts, least = reported_runs(pages)
+            runs = pd.array([None, *hashes.tolist()], dtype="Int64")
+            yield pd.DataFrame({"host": part["host"].iloc[0], "run": runs, "n": [len(pages), *counts], "slack": least - 1})
+
+
+def _recounts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for parts in _groups(batches, _CHUNK):
+        for part in parts:
+            hashes, counts = wanted_runs(_different(part), np.asarray(part["wanted"].iloc[0], np.int64))
+            yield pd.DataFrame({"host": part["host"].iloc[0], "run": hashes, "n": counts, "n_pages": part["n_pages"].iloc[0]})
+
+
+def _first_only(rows: DataFrame, *names: str) -> DataFrame:
+    """Rows sorted by chunk, with the columns ``names`` in the first row of each only."""
+    first = F.row_number().over(Window.partitionBy(*_CHUNK).orderBy(*_CHUNK)) == 1
+    return rows.withColumn("_first", first).withColumns({name: F.when(F.col("_first"), F.col(name)) for name in names}).drop("_first")
+
+
+def _large_texts(dealt: DataFrame, large: DataFrame) -> DataFrame:
+    """Texts of the pages of hosts of more than one chunk; ``dealt`` is partitioned by chunk.
+
+    All columns of ``dealt`` go into each step, so that Spark reads one shuffle for all of them.
+    """
+    held = dealt.mapInPandas(_digests, "host string, chunk int, digest long").groupBy("host", "digest")
+    held = held.agg(F.min("chunk").alias("owner"), F.collect_set("chunk").alias("at"))
+    elsewhere = (
+        held.select("host", "digest", F.explode(F.array_remove("at", F.col("owner"))).alias("chunk"))
+        .groupBy(*_CHUNK)
+        .agg(F.collect_list("digest").alias("elsewhere"))
+    )
+    counts = ~F.coalesce(F.array_contains("elsewhere", F.col("digest")), F.lit(False))
+    counted = dealt.join(elsewhere, _CHUNK, "left").withColumn("counts", counts).drop("elsewhere")
+    reports = counted.sortWithinPartitions(*_CHUNK).mapInPandas(_reports, "host string, run long, n long, slack long")
+    summed = reports.groupBy("host", "run").agg(F.sum("n").alias("n"), F.sum("slack").alias("slack"))
+
+    def of_host(name):
+        return F.sum(F.when(F.col("run").isNull(), F.col(name))).over(Window.partitionBy("host"))
+
+    placed = summed.select("*", of_host("n").alias("n_pages"), of_host("slack").alias("all_slack"))
+    least = F.greatest(F.lit(3.0), F.col("n_pages") / 5)
+    possible = placed.where(F.col("run").isNotNull() & (F.col("n") + F.col("all_slack") - F.col("slack") >= least))
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
+    unsure = possible.where("slack < all_slack").groupBy("host").agg(F.collect_list("run").alias("wanted"), F.max("n_pages").alias("n_pages"))
+    wanted = unsure.join(large, "host").select("host", every, "wanted", "n_pages")
+    again = _first_only(counted.join(wanted, _CHUNK), "wanted").mapInPandas(_recounts, "host string, run long, n long, n_pages long")
+    again = again.groupBy("host", "run").agg(F.sum("n").alias("n"), F.max("n_pages").alias("n_pages"))
+    sure = possible.where("slack = all_slack").select("host", "run", "n", "n_pages").unionByName(again).where(F.col("n") >= least)
+    most = F.col("n") >= F.greatest(F.lit(5.0), F.col("n_pages") / 2)
+    # At most five times the runs of a mean page of the host.
+    runs = sure.groupBy("host").agg(F.collect_list("run").alias("often"), F.collect_list(F.when(most, F.col("run"))).alias("mostly"))
+    runs = runs.join(large, "host").select("host", every, "often", "mostly")
+    return _first_only(dealt.join(runs, _CHUNK, "left"), "often", "mostly").mapInPandas(
+        _chunk_texts, "page_id long, url string, text string"
+    )
+
+
 def main_texts(pages: DataFrame) -> DataFrame:
     """Main text of every page."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]+)", 1)), F.lit(""))
@@ -308,14 +458,25 @@ def main_texts(pages: DataFrame) -> DataFrame:
     # Only hosts of more than one chunk. Written, so that their size decides how they are joined.
     chunks = F.ceil(F.count("*") / F.lit(PAGES)).cast("int")
     large = materialise(rows.groupBy("host").agg(chunks.alias("chunks")).where("chunks > 1"), "hosts")
-    parsed = rows.mapInPandas(
-        _parse, "page_id long, url string, host string, inside boolean, blocks array<string>"
-    )
-    spread = F.pmod(F.xxhash64("page_id", "url", F.lit(17)), F.coalesce("chunks", F.lit(1))).cast("int")
-    dealt = parsed.join(large, "host", "left").withColumn("chunk", spread).drop("chunks")
-    texts = (
-        dealt.repartition("host", "chunk")
-        .sortWithinPartitions("host", "chunk")
-        .mapInPandas(_texts, "page_id long, url string, text string")
-    )
+
+    def parsed(rows):
+        return rows.mapInPandas(
+            _parse, "page_id long, url string, host string, chunks int, inside boolean, blocks array<string>"
+        )
+
+    small = parsed(rows.join(large, "host", "left_anti").withColumn("chunks", F.lit(1)))
+    texts = small.repartition("host").sortWithinPartitions("host").mapInPandas(_texts, "page_id long, url string, text string")
+    if not large.isEmpty():
+        spread = F.pmod(F.xxhash64("page_id", "url", F.lit(17)), F.col("chunks")).cast("int")
+        dealt = parsed(rows.join(large, "host")).select(
+            # Never NULL, so that no join filters on it and gets a shuffle of its own.
+            F.coalesce("host", F.lit("")).alias("host"),
+            F.coalesce(spread, F.lit(0)).alias("chunk"),
+            F.xxhash64("inside", "blocks").alias("digest"),
+            "page_id",
+            "url",
+            "inside",
+            "blocks",
+        )
+        texts = texts.unionByName(_large_texts(dealt.repartition(*_CHUNK), large))
     return texts.withColumn("n_chars", F.length("text").cast("long"))
