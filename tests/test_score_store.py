@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tracemill.operators import divergence
 from tracemill.plans.evaluate import evaluate, evaluate_store
 from tracemill.session import fresh_path
-from tracemill.sources import manifest
+from tracemill.sources import manifest, score_store
+from tracemill.sources.clustered import write_clustered
 from tracemill.sources.score_store import RepeatedTrajectory, ScoreStore
 
 SCHEMA = (
@@ -61,6 +62,26 @@ def test_versions_and_compaction(spark, store):
     assert {p.rsplit("/", 1)[1] for p in store.leftovers()} == {"one", "two", "three", "dead", after.generation}
 
 
+def test_compaction_shuffles_positions_once(spark, store, monkeypatch):
+    store.append(spark.createDataFrame(rows_of("abcd"), SCHEMA), "one")
+    plans = []
+
+    def write(df, keys, *, partitioned=False, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange") + (not partitioned))
+        return write_clustered(df, keys, partitioned=partitioned, **options)
+
+    monkeypatch.setattr(score_store, "write_clustered", write)
+    after = store.compact(buckets=3)
+    assert plans == [1]
+    chunks = store.chunks(after)
+    # Each bucket is one file, written by one task, and holds whole chunks.
+    assert len(chunks.inputFiles()) <= 3 and chunks.count() == 12
+    rows = chunks.selectExpr("trajectory_id", "chunk", "rows.pos as p").collect()
+    assert {(r.trajectory_id, r.chunk): r.p for r in rows} == {
+        (t, c): list(range(c * 1024, min(2500, c * 1024 + 1024))) for t in "abcd" for c in range(3)
+    }
+
+
 def test_a_commit_is_refused_where_another_was_first(spark):
     folder = fresh_path(spark, "manifest")
     assert manifest.commit(spark, folder, 1, {"runs": ["é"]})

@@ -18,18 +18,21 @@ def write_clustered(
     buckets: int | None = None,
     path: str | None = None,
     name: str = "clustered",
+    partitioned: bool = False,
 ) -> DataFrame:
     """Write ``df`` in buckets of ``keys``, sorted by ``order`` inside, and return the table.
 
     A join or aggregation on ``keys`` reads it without an exchange. There are as many buckets as
     shuffle partitions unless ``buckets`` says otherwise; the other side of a join is shuffled into
     the same number. Files lie in ``path``, or else in a new folder of the shared directory.
+    ``partitioned`` says that ``df`` comes from ``repartition(buckets, *keys)`` already.
     """
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
     # Partitioned like the buckets, so that each task writes whole buckets: one file for each.
-    writer = df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys)
+    rows = df if partitioned else df.repartition(buckets, *keys)
+    writer = rows.write.format("parquet").bucketBy(buckets, *keys)
     if order:
         writer = writer.sortBy(*order)
     writer.option("path", path or fresh_path(spark, name)).saveAsTable(table)

@@ -163,9 +163,11 @@ class ScoreStore:
             return before
         name = uuid.uuid4().hex
         buckets = buckets or before.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # Shuffled once: positions go where the buckets of their chunks are written.
+        placed = self.positions(before).repartition(buckets, *KEYS)
         write_clustered(
-            to_chunks(self.positions(before)), KEYS, order=KEYS, buckets=buckets,
-            path=f"{self._generation(name)}/chunks", name="chunks",
+            to_chunks(placed), KEYS, order=KEYS, buckets=buckets,
+            path=f"{self._generation(name)}/chunks", name="chunks", partitioned=True,
         )
         self.headers(before).write.parquet(f"{self._generation(name)}/headers")
         while True:
