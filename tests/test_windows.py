@@ -106,3 +106,13 @@ def test_lookup_starts_no_job_while_planning(spark, head_bytes):
     context.setLocalProperty("spark.jobGroup.id", None)
     assert {r.i: r.rank for r in found.collect()} == {1: 0, 2: 1, 3: None, 4: None}
     assert lookup(rows, table.limit(0), "key", "rank").where(F.col("rank").isNull()).count() == 4
+
+
+def test_windows_stay_as_wide_as_asked(spark):
+    text = " ".join(f"word{i}" for i in range(400))
+    parts = locate_parts(_messages(spark, {"t": [("user", text), ("assistant", text)]}))
+    rows = windows.windowed_tokens(parts, fx.word_encoder(), window=256, overlap=64).collect()
+    length = sum(len(f"[{role}]: {text}") for role in ("user", "assistant")) + 2
+    assert sorted(r.window for r in rows) == list(range((length - 1) // 256 + 1))
+    assert max(max(r.tok_ends) - min(r.tok_starts) for r in rows) <= 256 + 2 * 64
+    assert sum(len(r.input_ids) for r in rows) == len(PATTERN.findall(f"[user]: {text}\n\n[assistant]: {text}"))

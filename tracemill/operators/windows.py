@@ -85,16 +85,14 @@ def _near(tokens: str, low: Column, high: Column) -> Column:
 def _cuts(encoded: DataFrame, window: int, overlap: int, agree: int) -> DataFrame:
     """(trajectory_id, window, cut): where window - 1 ends and ``window`` begins; NULL if they never agree."""
     border = F.col("window") * window
-    after = (F.col("window") + 1) * window
-    begun = encoded.where("window > 0").select(
-        "trajectory_id", "window", F.lit(1).alias("_side"), _near("tokens", border - overlap, border + overlap).alias("t")
-    )
-    ended = encoded.where("not last").select(
-        "trajectory_id",
-        (F.col("window") + 1).alias("window"),
-        F.lit(0).alias("_side"),
-        _near("tokens", after - overlap, after + overlap).alias("t"),
-    )
+
+    def side(rows: DataFrame, number: int) -> DataFrame:
+        near = _near("tokens", border - overlap, border + overlap)
+        return rows.select("trajectory_id", "window", F.lit(number).alias("_side"), near.alias("t"))
+
+    begun = side(encoded.where("window > 0"), 1)
+    # Renamed before: a lambda beside the new name would take that for the old one.
+    ended = side(encoded.where("not last").withColumn("window", F.col("window") + 1), 0)
     sides = (
         begun.unionByName(ended)
         .groupBy("trajectory_id", "window")
