@@ -84,3 +84,18 @@ def test_mask_by_search_equals_overlap(spark):
     spans = F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))
     both = rows.withColumn("spans", spans).select("loss_mask", tokens.overlap_mask(F.col("tok_starts"), F.col("tok_ends"), F.col("spans")).alias("m"))
     assert all(r.loss_mask == r.m for r in both.collect())
+
+
+def test_looked_up_entries_are_not_shuffled_again(spark):
+    """Rows that meet by position are shuffled before their entries are looked up, with or without a rest of keys."""
+    schema = "t string, pos int, key string"
+    rows = spark.createDataFrame([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z"), ("b", 1, None), ("b", 2, "none")], schema)
+    table = spark.createDataFrame([("x", 0, [1]), ("y", 1, [2]), ("z", 2, [3])], "key string, rank int, wide array<int>")
+    for head_rows in (1, 100):
+        found = lookup.lookup(rows, table, "key", "rank", head_rows=head_rows, by=["t", "pos"])
+        other = lookup.lookup(rows, table.withColumnRenamed("wide", "other"), "key", "rank", head_rows=head_rows, by=["t", "pos"])
+        both = found.select("t", "pos", "wide").join(other.select("t", "pos", "other").hint("merge"), ["t", "pos"], "left")
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "hashpartitioning(t#" in x and "ENSURE_REQUIREMENTS" in x]
+        got = {(r.t, r.pos): (r.wide, r.other) for r in both.collect()}
+        assert got == {("a", 0): ([1], [1]), ("a", 1): ([2], [2]), ("b", 0): ([3], [3]), ("b", 1): (None, None), ("b", 2): (None, None)}
