@@ -82,6 +82,16 @@ def test_compaction_shuffles_positions_once(spark, store, monkeypatch):
     }
 
 
+def test_buckets_grow_with_the_scores(spark, store, monkeypatch):
+    monkeypatch.setattr(score_store, "BUCKET_ENTRIES", 1000, raising=False)
+    store.append(spark.createDataFrame(rows_of("abcd"), SCHEMA), "one")
+    # 10,000 positions, 9,996 of them with two scores each.
+    after = store.compact()
+    assert after.buckets == 30 and store.positions(after).count() == 10_000
+    store.append(spark.createDataFrame(rows_of("ef"), SCHEMA), "two")
+    assert store.compact().buckets == 45
+
+
 def test_a_commit_is_refused_where_another_was_first(spark):
     folder = fresh_path(spark, "manifest")
     assert manifest.commit(spark, folder, 1, {"runs": ["é"]})

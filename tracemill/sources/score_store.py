@@ -27,6 +27,8 @@ from tracemill.sources import manifest
 from tracemill.sources.clustered import write_clustered
 
 KEYS = ["trajectory_id", "chunk"]
+#: Positions and scores of a bucket. A columnar reader decodes 4,096 chunk rows at once, that is a whole bucket.
+BUCKET_ENTRIES = 1 << 20
 _IN_CHUNK = ("pos", "token_id", "loss_mask", "is_valid", "top_ids", "top_vals")
 _STORED = T.StructType(
     [*(f for f in CACHE_POSITIONS if f.name != "run_id"), T.StructField("prompt_boundary", T.IntegerType())]
@@ -157,14 +159,17 @@ class ScoreStore:
         """Merge all runs of the newest version into one clustered generation.
 
         Runs that are committed meanwhile stay runs. Readers of older versions are not disturbed.
+        Without ``buckets`` there are as many as before, or as shuffle partitions, and more where a bucket
+        would hold more than ``BUCKET_ENTRIES``.
         """
         before = self.snapshot()
         if not before.runs:
             return before
         name = uuid.uuid4().hex
-        buckets = buckets or before.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        positions = self.positions(before)
+        buckets = buckets or self._buckets(positions, before)
         # Shuffled once: positions go where the buckets of their chunks are written.
-        placed = self.positions(before).repartition(buckets, *KEYS)
+        placed = positions.repartition(buckets, *KEYS)
         write_clustered(
             to_chunks(placed), KEYS, order=KEYS, buckets=buckets,
             path=f"{self._generation(name)}/chunks", name="chunks", partitioned=True,
@@ -177,6 +182,13 @@ class ScoreStore:
             if self._commit(now, [r for r in now.runs if r not in before.runs], name, buckets):
                 return self.snapshot()
 
+    def _buckets(self, positions: DataFrame, snapshot: Snapshot) -> int:
+        entries = F.sum(1 + F.greatest(F.size("top_ids"), F.lit(0)))
+        (found,) = positions.agg(F.coalesce(entries, F.lit(0))).first()
+        most = int(self.spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+        usual = snapshot.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return max(usual, min(-(-found // BUCKET_ENTRIES), most))
+
     def quarantine(self, failed: DataFrame, run_id: str) -> None:
         """Set trajectories aside with their error; the attempt counts on from earlier runs."""
         earlier = self.quarantined().groupBy("trajectory_id").agg(F.max("attempt").alias("_before"))
