@@ -62,6 +62,33 @@ def test_windows_equal_whole_texts(spark, window, overlap):
     assert got == want
 
 
+@pytest.mark.parametrize("run_chars", [1, 200])
+def test_runs_of_windows_equal_whole_texts(spark, monkeypatch, run_chars):
+    monkeypatch.setattr(windows, "RUN_CHARS", run_chars, raising=False)
+    rng = random.Random(7)
+    words = ["a", "bcd", "é€", "𝒳y", "longer" * 3, "\n", "  "]
+    texts = {f"t{k}": [("user", " ".join(rng.choices(words, k=9))), ("assistant", " ".join(rng.choices(words, k=150 + k)))] for k in range(6)}
+    # No windows of 64 agree inside the long token, which stands in one run of several.
+    texts["long"] = [("user", "ab " * 200 + "x" * 700), ("assistant", "cd " * 200)]
+    parts = locate_parts(_messages(spark, texts))
+    rows = windows.windowed_tokens(parts, fx.word_encoder(), window=64, overlap=32, agree=4)
+    assert _together(rows.collect()) == {k: _whole(v) for k, v in texts.items()}
+
+
+def test_windows_are_written_once(spark, monkeypatch):
+    written = []
+
+    def materialise(df, name):
+        written.append(name)
+        return store(df, name)
+
+    store = windows.materialise
+    monkeypatch.setattr(windows, "materialise", materialise)
+    parts = locate_parts(_messages(spark, {"t": [("user", "ab cd " * 60)], "u": [("assistant", "k")]}))
+    windows.windowed_tokens(parts, fx.word_encoder(), window=128, overlap=64)
+    assert written == ["windows"]
+
+
 def test_special_tokens_once(spark):
     def make():
         plain = fx.word_encoder()()
