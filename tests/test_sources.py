@@ -3,6 +3,7 @@
 import io
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,3 +264,28 @@ def test_count_scores(spark):
     for key, n_masked in (("0", 778), ("1", 1024), ("4", 604)):
         assert losses[key].n_masked == n_masked
     assert losses["1"].loss == pytest.approx(2.067211, abs=1e-6)
+
+
+def test_a_format_in_one_file_that_all_tasks_wrote(spark, tmp_path):
+    n, path = 6000, str(tmp_path / "cache")
+    rows = spark.range(0, n, 1, 6).selectExpr(
+        "concat('t', id % 40) AS trajectory_id",
+        "cast(id / 40 AS int) AS pos",
+        "0 AS chunk",
+        "cast(id AS int) AS token_id",
+        "1 AS loss_mask",
+        "1 AS is_valid",
+        "array(cast(id AS int), 7) AS top_ids",
+        "if(id % 3 = 0, NULL, array(cast(id AS float), 0.5f)) AS top_vals",
+        "if(id % 40 % 2 = 0, 'logits', NULL) AS format",
+    )
+    score_cache.write_cache(rows, path, "run", one_file=True)
+    for folder in ("logits", "logprobs"):
+        (file,) = (tmp_path / "cache/positions/run_id=run" / f"format={folder}").glob("*.parquet")
+        assert pq.ParquetFile(file).num_row_groups == 6
+    assert not (tmp_path / "cache/parts/run").exists()
+    got = score_cache.read_cache(spark, path).selectExpr("token_id AS id", "trajectory_id", "pos", "format", "top_ids", "top_vals")
+    want = rows.selectExpr("token_id AS id", "trajectory_id", "pos", "coalesce(format, 'logprobs')", "top_ids", "top_vals")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert score_cache.cache_summary(spark, path).first().n_files == 2
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
